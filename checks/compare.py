@@ -63,8 +63,9 @@ def compare(spark, con, folder: str, names=()) -> list[str]:
         print(f"{'ok ' if ok else 'BAD'} {name}: {len(got[1])} rows, {took:.1f} s", flush=True)
         if not ok:
             bad.append(name)
-            extra = [r for r in got[1] if r not in set(want[1])][:3]
-            lack = [r for r in want[1] if r not in set(got[1])][:3]
+            in_got, in_want = set(got[1]), set(want[1])
+            extra = [r for r in got[1] if r not in in_want][:3]
+            lack = [r for r in want[1] if r not in in_got][:3]
             print("   columns", got[0], want[0], "\n   spark only", extra, "\n   sql only", lack,
                   len(want[1]), flush=True)
     return bad

@@ -135,7 +135,8 @@ def _rating_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path(x: Exploration) -> DataFrame:
-    return G.path_to_root(x.graph, _selected(x.graph.nodes, 3))
+    chosen = _selected(x.graph.nodes, 3).withColumn("order", F.lit(3))
+    return G.path_to_root(x.graph.links, chosen)
 
 
 def _topk_selected(x: Exploration) -> DataFrame:
@@ -236,5 +237,5 @@ def queries() -> dict[str, Query]:
         "user_documents": _on_tables(_user_documents),
         "reviewed_businesses": _on_tables(D.reviewed_businesses),
         "business_records": _on_tables(lambda t: records(
-            t.business.select("id", "name", "city", "stars", "review_count"))),
+            t.business.select("id", "name", "city", "stars", "review_count"), keep=("id",))),
     }

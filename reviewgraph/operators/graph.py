@@ -110,22 +110,20 @@ def comparison_topk(compared: DataFrame, selected: DataFrame, k: int = COMPARED)
             .select("seed_id", "selected_id", "position", "shown.*"))
 
 
-def path_to_root(graph: Graph, selected: DataFrame) -> DataFrame:
+def path_to_root(links: DataFrame, selected: DataFrame) -> DataFrame:
     """All links on a path from the selected node back to its seed.
 
-    ``selected`` holds ``seed_id, selected_id``. The walk takes one join per order.
+    ``selected`` holds ``seed_id, selected_id, order``: a user and a restaurant may carry the
+    same id, so the order tells which node is meant. The walk takes one join per order.
     """
-    reached = (selected.select("seed_id", "selected_id").distinct()
-               .join(graph.nodes.select("seed_id", F.col("id").alias("selected_id"), "order"),
-                     ["seed_id", "selected_id"])
-               .select("seed_id", "selected_id", F.col("selected_id").alias("target"), "order"))
+    reached = (selected.select("seed_id", "selected_id", "order").distinct()
+               .withColumn("target", F.col("selected_id")))
     path = None
     for src_order in (2, 1, 0):
-        links = graph.links.where(F.col("src_order") == src_order)
         step = (reached.where(F.col("order") == src_order + 1).drop("order")
-                .join(links, ["seed_id", "target"]))
+                .join(links.where(F.col("src_order") == src_order), ["seed_id", "target"]))
         path = step if path is None else path.unionByName(step)
         sources = step.select("seed_id", "selected_id", F.col("source").alias("target"),
                               F.lit(src_order).alias("order")).distinct()
-        reached = reached.where(F.col("order") <= src_order).unionByName(sources)
+        reached = reached.where(F.col("order") <= src_order).unionByName(sources).distinct()
     return path.select("seed_id", "selected_id", "source", "target", "src_order", "score")

@@ -97,9 +97,12 @@ def test_restaurant_graph_drops_what_led_nowhere(rest1):
 
 
 def test_path_to_root(spark, user0):
-    selected = spark.createDataFrame([("U0", "R4")], "seed_id string, selected_id string")
-    assert toy.rows(G.path_to_root(user0.graph, selected), "source", "target") == [
-        ("R1", "U2"), ("U0", "R1"), ("U2", "R4")]
+    selected = spark.createDataFrame([("U0", "R4", 3), ("U0", "U3", 2), ("U0", "R1", 1)],
+                                     "seed_id string, selected_id string, order int")
+    got = G.path_to_root(user0.graph.links, selected)
+    assert toy.rows(got, "selected_id", "source", "target") == [
+        ("R1", "U0", "R1"), ("R4", "R1", "U2"), ("R4", "U0", "R1"), ("R4", "U2", "R4"),
+        ("U3", "R2", "U3"), ("U3", "U0", "R2")]
 
 
 def test_comparison_keeps_the_selected_node(spark, user0):

@@ -57,7 +57,7 @@ def tables(spark, reviews=None, people=None, places=None, friends=None) -> Table
         users=users(spark, USERS if people is None else people),
         friend=spark.createDataFrame(FRIENDS if friends is None else friends, schemas.FRIEND),
         category=spark.createDataFrame(CATEGORIES, schemas.CATEGORY),
-        attribute=spark.createDataFrame(ATTRIBUTES, schemas.ATTRIBUTE))
+        attribute=spark.createDataFrame(ATTRIBUTES, schemas.ATTRIBUTE)).staged()
 
 
 def seeds(spark, *ids):
