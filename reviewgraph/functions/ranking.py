@@ -46,6 +46,20 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spr
     return rank_within(df, by, order, k)
 
 
+def place_bit(position: Column) -> Column:
+    """A bit of its own for each of up to 62 positions, to remember which ones met.
+
+    Bits are merged with ``bit_or`` in an ordinary hash aggregation, where lists would be kept
+    as objects.
+    """
+    return F.when(position > 62, F.raise_error(F.lit("more than 62 positions per key"))).otherwise(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int")))
+
+
+def has_bit(bits: Column, bit: Column) -> Column:
+    return bits.bitwiseAND(bit) != 0
+
+
 def clip(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """Keep ``limit + 1`` rows per key: the limit names the last position that is kept."""
     return rank_within(df, by, order, limit + 1)

@@ -1,8 +1,8 @@
 """Score expressions. All of them are built-in Spark columns, none is a UDF.
 
 Every published score is a non-negative number with two decimals. Sums of such scores are
-taken over ``DECIMAL(18,2)`` so that the order in which partial sums arrive cannot change
-a result.
+taken over whole hundredths so that the order in which partial sums arrive cannot change a
+result.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ def r2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def money(x: Column) -> Column:
-    """Two-decimal score as an exact decimal, for order-independent sums."""
-    return x.cast("decimal(18,2)")
+def exact_sum(x: Column) -> Column:
+    """Sum of two-decimal scores, independent of their order."""
+    return F.sum(F.floor(x * 100 + 0.5)) / 100
 
 
 def capped_log(count: Column, divisor: int) -> Column:

@@ -11,8 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewgraph.functions.ranking import clip, rank_within, spread_join, top_k
-from reviewgraph.functions.scoring import SINGLE_VOTE_WEIGHT, money, r2
+from reviewgraph.functions.ranking import (
+    clip,
+    has_bit,
+    place_bit,
+    rank_within,
+    spread_join,
+    top_k,
+)
+from reviewgraph.functions.scoring import SINGLE_VOTE_WEIGHT, exact_sum, r2
 from reviewgraph.operators.similarity import FIRST_ORDER
 from reviewgraph.sources.tables import Tables
 
@@ -26,38 +33,51 @@ RESTAURANT_AVERAGE = "Restaurant's Average Rating"
 USER_AVERAGE = "User's Average Rating"
 
 
-def _third_order(like: DataFrame, rated: DataFrame, via: str, item: str, score: str,
-                 excluded: DataFrame, weight: Column, cap: int, limit: int,
-                 everyone: bool) -> DataFrame:
+def _third_order(like: DataFrame, ratings: DataFrame, side: DataFrame, side_key: str, via: str,
+                 item: str, score: str, weight: Column, cap: int, limit: int, everyone: bool) -> DataFrame:
     """Rated items of each seed's look-alikes with contribution and relevancy.
 
-    ``rated`` holds ``via, item, rating, avg_rating`` and the ``weight`` column that decides
-    which rows stay when a seed has more than ``cap`` of them.
+    ``ratings`` holds ``via, item, rating``. ``side`` adds ``avg_rating`` and the ``weight``
+    column that decides which rows stay when a seed has more than ``cap`` of them.
     """
+    rated = ratings.join(side, side_key)
+    # The first-order items, already known to the seed: few per seed, so they travel with its
+    # look-alikes and the known items drop out before the large shuffle by seed.
+    known = like.groupBy("seed_id").agg(F.collect_set(item).alias("known"))
     mine = like.select("seed_id", via, score).distinct()
+    position = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(score), via))
+    mine = mine.withColumn("place", place_bit(position))
     order = [weight, F.asc(item)]
     if not everyone:
         rated = rated.join(mine.select(via).distinct(), via, "left_semi")
     rated = top_k(rated, [via], order, cap + FIRST_ORDER, spread=item)
-    joined = (spread_join(mine, rated, via, spread="seed_id") if everyone
-              else mine.join(rated, via))
-    # the first-order items are already known to the seed
-    unknown = joined.join(excluded, ["seed_id", item], "left_anti")
+    walking = mine.join(known, "seed_id")
+    joined = (spread_join(walking, rated, via, spread="seed_id") if everyone
+              else walking.join(rated, via))
+    unknown = joined.where(~F.array_contains("known", F.col(item))).drop("known")
     rows = rank_within(unknown, ["seed_id"], [*order, F.asc(via)], cap).withColumn(
         "contribution", r2(F.col("rating") * F.col(score)))
-    # one entry per look-alike, so at most limit + 1 of them
     found = rows.groupBy("seed_id", item).agg(
         F.count(F.lit(1)).alias("votes"), F.max("avg_rating").alias("avg_rating"),
-        F.sum(money(F.col(score))).cast("double").alias("sum_score"),
-        F.sum(money(F.col("contribution"))).cast("double").alias("sum_contribution"),
-        F.collect_list(F.struct(via, "rating", score, "contribution")).alias("parts"))
+        exact_sum(F.col(score)).alias("sum_score"),
+        exact_sum(F.col("contribution")).alias("sum_contribution"),
+        F.bit_or("place").alias("places"))
     several = F.try_divide(F.col("sum_contribution"), F.col("sum_score"))
     single = ((F.col("avg_rating") * SINGLE_VOTE_WEIGHT + F.col("sum_contribution"))
               / (F.col("sum_score") + SINGLE_VOTE_WEIGHT))
     found = found.withColumn("relevancy", r2(F.when(F.col("votes") > 1, several).otherwise(single)))
     kept = clip(found, ["seed_id"], [F.desc("relevancy"), F.desc(item)], limit)
-    return (kept.withColumn("part", F.explode("parts"))
-            .select("seed_id", item, "avg_rating", "part.*", "votes", "relevancy"))
+    # the votes behind the kept items: who, from the collected bits, and then the rating itself
+    voted = kept.join(mine, "seed_id").where(has_bit(F.col("places"), F.col("place")))
+    return (voted.join(ratings, [via, item])
+            .select("seed_id", item, "avg_rating", via, "rating", score,
+                    r2(F.col("rating") * F.col(score)).alias("contribution"), "votes",
+                    "relevancy"))
+
+
+def _ratings(t: Tables) -> DataFrame:
+    return t.ratings().select("user_id", F.col("business_id").alias("restaurant_id"),
+                              F.col("stars").alias("rating"))
 
 
 def recommended_restaurants(t: Tables, like_users: DataFrame,
@@ -68,12 +88,8 @@ def recommended_restaurants(t: Tables, like_users: DataFrame,
     """
     places = t.business.select(F.col("id").alias("restaurant_id"), "name",
                                F.col("stars").alias("avg_rating"))
-    rated = (t.ratings().select("user_id", F.col("business_id").alias("restaurant_id"),
-                                F.col("stars").alias("rating"))
-             .join(places.drop("name"), "restaurant_id"))
-    rows = _third_order(like_users, rated, via="user_id", item="restaurant_id",
-                        score="lmu_score",
-                        excluded=like_users.select("seed_id", "restaurant_id").distinct(),
+    rows = _third_order(like_users, _ratings(t), places.drop("name"), "restaurant_id",
+                        via="user_id", item="restaurant_id", score="lmu_score",
                         weight=F.desc("avg_rating"), cap=RECOMMENDATION_ROWS, limit=limit,
                         everyone=everyone)
     users = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user"))
@@ -90,12 +106,8 @@ def customer_prospects(t: Tables, like_restaurants: DataFrame, limit: int = PROS
     people = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user"),
                             F.col("average_stars").alias("avg_rating"),
                             F.col("useful").alias("usefulness"))
-    rated = (t.ratings().select("user_id", F.col("business_id").alias("restaurant_id"),
-                                F.col("stars").alias("rating"))
-             .join(people.drop("user"), "user_id"))
-    rows = _third_order(like_restaurants, rated, via="restaurant_id", item="user_id",
-                        score="compete_score",
-                        excluded=like_restaurants.select("seed_id", "user_id").distinct(),
+    rows = _third_order(like_restaurants, _ratings(t), people.drop("user"), "user_id",
+                        via="restaurant_id", item="user_id", score="compete_score",
                         weight=F.desc("usefulness"), cap=PROSPECT_ROWS, limit=limit,
                         everyone=everyone)
     places = t.business.select(F.col("id").alias("restaurant_id"),
@@ -142,7 +154,7 @@ def prospect_relevance(prospects: DataFrame, selected: DataFrame | None = None)
 def relevance_totals(relevance: DataFrame, score: str) -> DataFrame:
     """The two closing rows under a relevance table: the totals and their ratio."""
     sums = relevance.groupBy("seed_id", "selected_id").agg(
-        F.sum(money(F.col(score))).cast("double").alias("similarity"),
+        exact_sum(F.col(score)).alias("similarity"),
         F.sum(F.col("contribution").cast("decimal(28,6)")).cast("double").alias("contribution"),
         F.max("relevancy").alias("relevancy"))
     lines = F.array(

@@ -15,7 +15,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewgraph.functions.ranking import clip, rank_within, spread_join, top_k
+from reviewgraph.functions.ranking import (
+    clip,
+    has_bit,
+    place_bit,
+    rank_within,
+    spread_join,
+    top_k,
+)
 from reviewgraph.functions.scoring import (
     CUSTOMER_OVERLAP_DIVISOR,
     SHARED_CUSTOMERS_FULL,
@@ -51,12 +58,14 @@ RESTAURANT_SIMILARITY = ("shared_val", "shared_score", "overlap_val", "overlap_s
 
 def _first_order(ratings: DataFrame, seed: str, item: str, order: Sequence[Column],
                  seeds: DataFrame | None) -> DataFrame:
-    """``seed_id, item, sel_rating``: at most FIRST_ORDER items per seed."""
+    """``seed_id, item, sel_rating, place``: at most FIRST_ORDER items per seed, each marked
+    with a bit of its own."""
     if seeds is not None:
         ratings = ratings.join(seeds.select(F.col("seed_id").alias(seed)).distinct(), seed,
                                "left_semi")
-    return (rank_within(ratings, [seed], order, FIRST_ORDER)
-            .select(F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating")))
+    return (rank_within(ratings, [seed], order, FIRST_ORDER, "position")
+            .select(F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating"),
+                    place_bit(F.col("position")).alias("place")))
 
 
 def _candidates(first: DataFrame, raters: DataFrame, item: str, rater: str,
@@ -69,16 +78,15 @@ def _candidates(first: DataFrame, raters: DataFrame, item: str, rater: str,
     rows = rank_within(joined.where(F.col(rater) != F.col("seed_id")), ["seed_id"], order, cap)
     agreed = rows.withColumn("low", least_of(F.col("stars"), F.col("sel_rating"))).withColumn(
         "high", greatest_of(F.col("stars"), F.col("sel_rating")))
-    # at most FIRST_ORDER shared items per row
     return agreed.groupBy("seed_id", rater).agg(
         F.count(F.lit(1)).alias("shared_val"), F.sum("low").alias("sum_low"),
-        F.sum("high").alias("sum_high"),
-        F.collect_list(F.struct(item, "sel_rating")).alias("shared_items"), *extra())
+        F.sum("high").alias("sum_high"), F.bit_or("place").alias("places"), *extra())
 
 
-def _unfold(scored: DataFrame, item: str) -> DataFrame:
-    return scored.withColumn("shared", F.explode("shared_items")).select(
-        "*", f"shared.{item}", "shared.sel_rating").drop("shared", "shared_items")
+def _unfold(scored: DataFrame, first: DataFrame) -> DataFrame:
+    """One row per shared first-order item, found by the bits collected in ``places``."""
+    return (scored.join(first, "seed_id").where(has_bit(F.col("places"), F.col("place")))
+            .drop("places", "place"))
 
 
 def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +137,7 @@ def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMI
                   + F.col("influence_score") + F.col("influ_sim_score"))))
     kept = clip(scored, ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")], limit)
     users, business = _names(t)
-    return (_unfold(kept, "business_id").join(users, "user_id").join(business, "business_id")
+    return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "restaurant", F.col("business_id").alias("restaurant_id"), "user",
                     "user_id", "sel_rating", *USER_SIMILARITY))
 
@@ -174,7 +182,7 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None,
                   + F.col("review_sim_score") + F.col("zip_score"))))
     kept = clip(scored, ["seed_id"], [F.desc("compete_score"), F.desc("business_id")], limit)
     users, business = _names(t)
-    return (_unfold(kept, "user_id").join(users, "user_id").join(business, "business_id")
+    return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "user", "user_id", "restaurant",
                     F.col("business_id").alias("restaurant_id"), "sel_rating",
                     *RESTAURANT_SIMILARITY))
