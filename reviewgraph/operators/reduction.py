@@ -24,6 +24,12 @@ BUSINESS_CHILDREN = ("attribute", "category", "checkin", "hours", "photo", "revi
 CITY_TABLES = ("attribute", "business", "category", "friend", "review", "users")
 
 
+def _only(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``column`` is (or, with ``left_anti``, is not) among the ids, columns as before."""
+    wanted = ids.select(F.col(ids.columns[0]).alias(column))
+    return df.join(wanted, column, how).select(*df.columns)
+
+
 def with_category(t: Tables, category: str = RESTAURANTS) -> DataFrame:
     """Ids of the businesses that carry the category."""
     return t.category.where(F.col("category") == category).select("business_id").distinct()
@@ -32,11 +38,9 @@ def with_category(t: Tables, category: str = RESTAURANTS) -> DataFrame:
 def reduce_to_category(t: Tables, category: str = RESTAURANTS) -> Tables:
     """Keep the businesses of one category and the rows that belong to them."""
     keep = with_category(t, category)
-    frames = {name: df.join(keep, "business_id", "left_semi")
+    frames = {name: _only(df, "business_id", keep)
               for name, df in t.present().items() if name in BUSINESS_CHILDREN}
-    frames["business"] = t.business.join(keep, t.business["id"] == keep["business_id"],
-                                         "left_semi")
-    return t.with_tables(**frames)
+    return t.with_tables(business=_only(t.business, "id", keep), **frames)
 
 
 def normalise_city(business: DataFrame, city: str = CITY, spellings=CITY_SPELLINGS,
@@ -55,18 +59,14 @@ def reduce_to_city(t: Tables, city: str = CITY) -> Tables:
     ``business.city`` is expected to be normalised. Five tables are dropped.
     """
     business = t.business.where(F.col("city") == city)
-    ids = business.select(F.col("id").alias("business_id"))
-    review = t.review.join(ids, "business_id", "left_semi")
+    ids = business.select("id")
+    review = _only(t.review, "business_id", ids)
     reviewers = review.select("user_id").distinct()
-    friend = (t.friend.join(reviewers, "user_id", "left_semi")
-              .join(reviewers.withColumnRenamed("user_id", "friend_id"), "friend_id",
-                    "left_semi").select(*t.friend.columns))
+    friend = _only(_only(t.friend, "user_id", reviewers), "friend_id", reviewers)
     return Tables(
-        review=review, business=business,
-        users=t.users.join(reviewers.withColumnRenamed("user_id", "id"), "id", "left_semi"),
-        friend=friend,
-        category=t.category.join(ids, "business_id", "left_semi"),
-        attribute=t.attribute.join(ids, "business_id", "left_semi"),
+        review=review, business=business, users=_only(t.users, "id", reviewers), friend=friend,
+        category=_only(t.category, "business_id", ids),
+        attribute=_only(t.attribute, "business_id", ids),
         one_review_per_pair=t.one_review_per_pair)
 
 
@@ -80,12 +80,10 @@ def inactive_users(t: Tables) -> DataFrame:
 def drop_inactive(t: Tables) -> Tables:
     """Remove inactive users, their elite years and every friendship they are part of."""
     gone = inactive_users(t)
-    friend = (t.friend.join(gone, "user_id", "left_anti")
-              .join(gone.withColumnRenamed("user_id", "friend_id"), "friend_id", "left_anti")
-              .select(*t.friend.columns))
-    return t.with_tables(
-        users=t.users.join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti"),
-        elite_years=t.elite_years.join(gone, "user_id", "left_anti"), friend=friend)
+    friend = _only(_only(t.friend, "user_id", gone, "left_anti"), "friend_id", gone, "left_anti")
+    return t.with_tables(users=_only(t.users, "id", gone, "left_anti"),
+                         elite_years=_only(t.elite_years, "user_id", gone, "left_anti"),
+                         friend=friend)
 
 
 def table_counts(before: Tables, after: Tables | None = None) -> DataFrame:
