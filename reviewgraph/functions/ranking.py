@@ -32,6 +32,17 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: in
     return ranked if position else ranked.drop(name)
 
 
+def cap_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
+    """First ``cap`` rows per key where most keys have fewer.
+
+    A limit inside the map tasks would sort all rows once more and drop next to none, so the
+    condition is written in a way that does not ask for it.
+    """
+    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_position", position).where(
+        F.lit(cap) - F.col("_position") >= 0).drop("_position")
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spread: str,
           slices: int = SALT_SLICES) -> DataFrame:
     """First ``k`` rows per key, for keys of any size.

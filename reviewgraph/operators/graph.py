@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewgraph.functions.ranking import rank_within
 from reviewgraph.functions.scoring import r2
 
 NODE = ("seed_id", "id", "name", "type", "order", "score")
@@ -87,11 +86,11 @@ def restaurant_graph(business: DataFrame, like_restaurants: DataFrame,
 
 def comparison(nodes: DataFrame, order: int) -> DataFrame:
     """Names and scores of one order, best first, with their position per seed."""
-    chosen = nodes.where(F.col("order") == order).withColumn("score", r2(F.col("score")))
-    # a graph holds at most limit + 1 nodes of one order, so nothing is cut here
-    return rank_within(chosen, ["seed_id"], [F.desc("score"), F.asc("name"), F.asc("id")],
-                       2_000_000_000, "position").select("seed_id", "position", "id", "name",
-                                                         "score")
+    # a graph holds at most limit + 1 nodes of one order
+    best_first = Window.partitionBy("seed_id").orderBy(F.desc("score"), F.asc("name"), F.asc("id"))
+    return (nodes.where(F.col("order") == order).withColumn("score", r2(F.col("score")))
+            .select("seed_id", F.row_number().over(best_first).alias("position"), "id", "name",
+                    "score"))
 
 
 def comparison_topk(compared: DataFrame, selected: DataFrame, k: int = COMPARED) -> DataFrame:

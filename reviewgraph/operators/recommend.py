@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewgraph.functions.ranking import (
+    cap_rows,
     clip,
     has_bit,
     place_bit,
-    rank_within,
     spread_join,
     top_k,
 )
@@ -55,7 +55,7 @@ def _third_order(like: DataFrame, ratings: DataFrame, side: DataFrame, side_key:
     joined = (spread_join(walking, rated, via, spread="seed_id") if everyone
               else walking.join(rated, via))
     unknown = joined.where(~F.array_contains("known", F.col(item))).drop("known")
-    rows = rank_within(unknown, ["seed_id"], [*order, F.asc(via)], cap).withColumn(
+    rows = cap_rows(unknown, ["seed_id"], [*order, F.asc(via)], cap).withColumn(
         "contribution", r2(F.col("rating") * F.col(score)))
     found = rows.groupBy("seed_id", item).agg(
         F.count(F.lit(1)).alias("votes"), F.max("avg_rating").alias("avg_rating"),

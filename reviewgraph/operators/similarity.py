@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewgraph.functions.ranking import (
+    cap_rows,
     clip,
     has_bit,
     place_bit,
@@ -75,7 +76,7 @@ def _candidates(first: DataFrame, raters: DataFrame, item: str, rater: str,
     raters = top_k(raters, [item], per_item_order, cap + 1, spread=rater)
     joined = (spread_join(first, raters, item, spread="seed_id") if everyone
               else first.join(raters, item))
-    rows = rank_within(joined.where(F.col(rater) != F.col("seed_id")), ["seed_id"], order, cap)
+    rows = cap_rows(joined.where(F.col(rater) != F.col("seed_id")), ["seed_id"], order, cap)
     agreed = rows.withColumn("low", least_of(F.col("stars"), F.col("sel_rating"))).withColumn(
         "high", greatest_of(F.col("stars"), F.col("sel_rating")))
     return agreed.groupBy("seed_id", rater).agg(

@@ -57,6 +57,7 @@ class NodeDetail(NamedTuple):
 
 def explore_user(t: Tables, seeds: DataFrame | None = None) -> Exploration:
     everyone = seeds is None
+    t = t.prepared() if everyone else t
     like = staged(like_users(t, seeds), "like_users")
     third = staged(recommended_restaurants(t, like, everyone=everyone), "recommended")
     return Exploration(user_profile(t, seeds), like, third, user_graph(t.users, like, third),
@@ -65,6 +66,7 @@ def explore_user(t: Tables, seeds: DataFrame | None = None) -> Exploration:
 
 def explore_restaurant(t: Tables, seeds: DataFrame | None = None) -> Exploration:
     everyone = seeds is None
+    t = t.prepared() if everyone else t
     like = staged(like_restaurants(t, seeds), "like_restaurants")
     third = staged(customer_prospects(t, like, everyone=everyone), "prospects")
     return Exploration(restaurant_profile(t, seeds), like, third,

@@ -7,13 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks join strategies from measured sizes, merges small partitions and
-# splits skewed ones. The group limit lets Spark cut the per-key top-k of candidate rows inside
-# the map tasks as well.
+# splits skewed ones.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "2500",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -33,21 +33,32 @@ class Tables:
     photo: DataFrame | None = None
     cities_and_counties: DataFrame | None = None
     one_review_per_pair: bool = False
+    edges: DataFrame | None = None
 
     def present(self) -> dict[str, DataFrame]:
         """Name and frame of every table that was given."""
         return {f.name: getattr(self, f.name) for f in fields(self)
-                if isinstance(getattr(self, f.name), DataFrame)}
+                if f.name in TABLES and getattr(self, f.name) is not None}
 
     def with_tables(self, **frames: DataFrame) -> Tables:
-        return replace(self, **frames)
+        """The same catalog with some tables replaced."""
+        edges = None if "review" in frames else self.edges
+        return replace(self, **{"edges": edges, **frames})
+
+    def prepared(self) -> Tables:
+        """Write :meth:`ratings` once, for several operators that follow."""
+        return self if self.edges is not None else replace(
+            self, edges=staged(self.ratings(), "ratings"))
 
     def ratings(self) -> DataFrame:
         """``user_id, business_id, stars, useful``: the latest review of every pair.
 
         The text never enters the joins of the scoring operators.
         """
-        thin = self.review.select("user_id", "business_id", "stars", "useful", "date", "id")
+        if self.edges is not None:
+            return self.edges
+        thin = self.review.select("user_id", "business_id", "stars", "useful", "date", "id").where(
+            F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
         if self.one_review_per_pair:
             return thin.drop("date", "id")
         latest = F.max_by(F.struct("stars", "useful"), F.struct("date", "id"))
