@@ -691,6 +691,18 @@ QUERIES: dict[str, str] = {
           || cast(review_count AS string) || '}' AS record FROM business""",
 }
 
+for _name, _seed, _key in (
+        ("user_profile", "busy_user", "user_id"),
+        ("restaurant_profile", "busy_business", "restaurant_id"),
+        ("like_users", "busy_user", "seed_id"), ("like_restaurants", "busy_business", "seed_id"),
+        ("recommended_restaurants", "busy_user", "seed_id"),
+        ("customer_prospects", "busy_business", "seed_id"),
+        ("user_graph_links", "busy_user", "seed_id"),
+        ("restaurant_graph_links", "busy_business", "seed_id")):
+    QUERIES[f"{_name}_of_busiest"] = (
+        f"SELECT q.* FROM ({QUERIES[_name]}) q JOIN (SELECT seed_id AS chosen FROM {_seed}) s "
+        f"ON s.chosen = q.{_key}")
+
 _PART_NAMES = {**VIEWS, **PARTS}
 
 

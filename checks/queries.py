@@ -147,6 +147,21 @@ def _comparison(order: int) -> Callable[[Exploration], DataFrame]:
     return lambda x: G.comparison(x.graph.nodes, order)
 
 
+def _of_one_user(f: Callable[[Exploration], DataFrame]) -> Query:
+    """The path for given seeds: only what the busiest user's graph touches is computed."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables(spark, sf_dir)
+        return f(explore_user(t, busiest_user(t)))
+    return run
+
+
+def _of_one_restaurant(f: Callable[[Exploration], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables(spark, sf_dir)
+        return f(explore_restaurant(t, busiest_business(t)))
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_prefix": _on_tables(lambda t: search(t.business, PREFIX)),
@@ -169,6 +184,14 @@ def queries() -> dict[str, Query]:
         "restaurant_graph_links": _on_restaurant(lambda x: x.graph.links),
         "explore_like_nodes_user": _on_user(lambda x: x.like_nodes),
         "explore_like_nodes_restaurant": _on_restaurant(lambda x: x.like_nodes),
+        "user_profile_of_busiest": _of_one_user(lambda x: x.profile),
+        "restaurant_profile_of_busiest": _of_one_restaurant(lambda x: x.profile),
+        "like_users_of_busiest": _of_one_user(lambda x: x.like),
+        "like_restaurants_of_busiest": _of_one_restaurant(lambda x: x.like),
+        "recommended_restaurants_of_busiest": _of_one_user(lambda x: x.third),
+        "customer_prospects_of_busiest": _of_one_restaurant(lambda x: x.third),
+        "user_graph_links_of_busiest": _of_one_user(lambda x: x.graph.links),
+        "restaurant_graph_links_of_busiest": _of_one_restaurant(lambda x: x.graph.links),
         "rating_of_restaurant": _rating_of_restaurant,
         "rating_by_user": _rating_by_user,
         **{f"comparison_order{k}": _on_user(_comparison(k)) for k in (1, 2, 3)},

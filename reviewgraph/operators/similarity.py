@@ -124,18 +124,18 @@ def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMI
     both = F.col("total_reviews") + F.col("sel_reviews")
     low = F.least("influence_val", "sel_influ")
     high = F.greatest("influence_val", "sel_influ")
-    scored = (scored.join(own, "seed_id")
-              .withColumn("shared_score", share_score(F.col("shared_val"), SHARED_RESTAURANTS_FULL))
-              .withColumn("overlap_val", label(F.col("shared_val"), both))
-              .withColumn("overlap_score", overlap_score(F.col("shared_val"), both))
-              .withColumn("rate_sim_val", label(whole(F.col("sum_low")), whole(F.col("sum_high"))))
-              .withColumn("rate_sim_score", ratio_score(F.col("sum_low"), F.col("sum_high")))
-              .withColumn("influence_score", r2(F.col("influence_val") / 5))
-              .withColumn("influ_sim_val", label(low, high))
-              .withColumn("influ_sim_score", ratio_score(low, high))
-              .withColumn("lmu_score", r2(
-                  F.col("overlap_score") + F.col("rate_sim_score") + F.col("shared_score")
-                  + F.col("influence_score") + F.col("influ_sim_score"))))
+    scored = scored.join(own, "seed_id").withColumns({
+        "shared_score": share_score(F.col("shared_val"), SHARED_RESTAURANTS_FULL),
+        "overlap_val": label(F.col("shared_val"), both),
+        "overlap_score": overlap_score(F.col("shared_val"), both),
+        "rate_sim_val": label(whole(F.col("sum_low")), whole(F.col("sum_high"))),
+        "rate_sim_score": ratio_score(F.col("sum_low"), F.col("sum_high")),
+        "influence_score": r2(F.col("influence_val") / 5),
+        "influ_sim_val": label(low, high),
+        "influ_sim_score": ratio_score(low, high),
+    }).withColumn("lmu_score", r2(
+        F.col("overlap_score") + F.col("rate_sim_score") + F.col("shared_score")
+        + F.col("influence_score") + F.col("influ_sim_score")))
     kept = clip(scored, ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")], limit)
     users, business = _names(t)
     return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
@@ -165,22 +165,20 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None,
                         F.col("reviews").alias("sel_reviews"))
     both = F.col("reviews") + F.col("sel_reviews")
     same_zip = F.coalesce(F.col("zip") == F.col("sel_zip"), F.lit(False))
-    scored = (scored.join(places, "business_id").join(own, "seed_id")
-              .withColumn("shared_score", share_score(F.col("shared_val"), SHARED_CUSTOMERS_FULL))
-              .withColumn("overlap_val", label(F.col("shared_val"), both))
-              .withColumn("overlap_score", overlap_score(F.col("shared_val"), both,
-                                                         CUSTOMER_OVERLAP_DIVISOR))
-              .withColumn("review_sim_val", label(F.least("reviews", "sel_reviews"),
-                                                  F.greatest("reviews", "sel_reviews")))
-              .withColumn("review_sim_score", log_ratio_score(F.col("reviews"),
-                                                              F.col("sel_reviews")))
-              .withColumn("rate_sim_val", label(whole(F.col("sum_low")), whole(F.col("sum_high"))))
-              .withColumn("rate_sim_score", ratio_score(F.col("sum_low"), F.col("sum_high")))
-              .withColumn("zip_val", F.when(same_zip, "Yes").otherwise("No"))
-              .withColumn("zip_score", F.when(same_zip, 1).otherwise(0))
-              .withColumn("compete_score", r2(
-                  F.col("rate_sim_score") + F.col("shared_score") + F.col("overlap_score")
-                  + F.col("review_sim_score") + F.col("zip_score"))))
+    scored = scored.join(places, "business_id").join(own, "seed_id").withColumns({
+        "shared_score": share_score(F.col("shared_val"), SHARED_CUSTOMERS_FULL),
+        "overlap_val": label(F.col("shared_val"), both),
+        "overlap_score": overlap_score(F.col("shared_val"), both, CUSTOMER_OVERLAP_DIVISOR),
+        "review_sim_val": label(F.least("reviews", "sel_reviews"),
+                                F.greatest("reviews", "sel_reviews")),
+        "review_sim_score": log_ratio_score(F.col("reviews"), F.col("sel_reviews")),
+        "rate_sim_val": label(whole(F.col("sum_low")), whole(F.col("sum_high"))),
+        "rate_sim_score": ratio_score(F.col("sum_low"), F.col("sum_high")),
+        "zip_val": F.when(same_zip, "Yes").otherwise("No"),
+        "zip_score": F.when(same_zip, 1).otherwise(0),
+    }).withColumn("compete_score", r2(
+        F.col("rate_sim_score") + F.col("shared_score") + F.col("overlap_score")
+        + F.col("review_sim_score") + F.col("zip_score")))
     kept = clip(scored, ["seed_id"], [F.desc("compete_score"), F.desc("business_id")], limit)
     users, business = _names(t)
     return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
