@@ -28,8 +28,8 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 COMMON_WORDS = 16
 # Documents with fewer words are not compared with the references.
-COMPARED_WORDS = 100
-MAX_CHAR_DISTANCE = 0.25
+COMPARED_WORDS = 50
+MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
 # The symbols of the base rules, and sentence marks.
 SYMBOLS = "[#*$%&|<>]"
