@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewgraph.llm import bpe, chat_format, language_id, warc
+from reviewgraph.llm.decontamination import benchmark_leaks
+from reviewgraph.llm.jaccard_join import jaccard_components
 from reviewgraph.llm.line_dedup import drop_repeated_lines
 from reviewgraph.llm.quality_rules import quality_rules
 
@@ -28,6 +30,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at nine tenths of their three-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them."""
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back."""
     out = warc.archived_and_read(table(spark, sf_dir, "pages"))
@@ -80,6 +92,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return {
+        "op1_jaccard_join": op1_jaccard_join,
+        "op2_decontamination": op2_decontamination,
         "op3_warc": op3_warc,
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,

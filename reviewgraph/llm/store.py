@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,7 +26,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet to the shared folder, read back without their lineage."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written once as Parquet to the shared folder, read back without their lineage.
+
+    The shuffle files of the writing job are not needed any more and are cleaned with it.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def one_text_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (long) and text of the rows with an id; of rows with one id, the text sorted last.
+
+    Texts are moved only if any id is repeated.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = rows.groupBy("doc_id").count().where(F.col("count") > 1)
+    if repeated.isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"))
