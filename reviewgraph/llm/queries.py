@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from reviewgraph.llm import bpe, chat_format, language_id, warc
 from reviewgraph.llm.decontamination import benchmark_leaks
 from reviewgraph.llm.jaccard_join import jaccard_components
+from reviewgraph.llm.license_scan import license_notices
 from reviewgraph.llm.line_dedup import drop_repeated_lines
 from reviewgraph.llm.quality_rules import quality_rules
+from reviewgraph.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +71,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages by a model that never saw the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -89,6 +96,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(formatted)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 400 bytes that start anywhere else too."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return {
@@ -98,6 +111,8 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,
         "op6_quality_rules": op6_quality_rules,
+        "op7_license_scan": op7_license_scan,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
+        "op10_substring_dedup": op10_substring_dedup,
     }

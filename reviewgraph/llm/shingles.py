@@ -65,7 +65,7 @@ def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.n
     return hashes, of, start - begins[of]
 
 
-def _joined(words: np.ndarray, size: int) -> np.ndarray:
+def joined(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of so many words."""
     h = words[:len(words) - size + 1].copy()
     for k in range(1, size):
@@ -81,13 +81,13 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     words, of, _ = word_hashes(texts)
     counts = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
     ends = np.cumsum(counts)
-    runs = _joined(words, size) if len(words) >= size else np.empty(0, np.uint64)
+    runs = joined(words, size) if len(words) >= size else np.empty(0, np.uint64)
     for n, end in zip(counts.tolist(), ends.tolist()):
         if n >= size:
             h = np.sort(runs[end - n:end - size + 1])
             yield h[np.append(True, h[1:] != h[:-1])]
         else:
-            yield _joined(words[end - n:end], n) if n else np.empty(0, np.uint64)
+            yield joined(words[end - n:end], n) if n else np.empty(0, np.uint64)
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
