@@ -1,7 +1,11 @@
 """From raw documents to token ids: the stages of a training-data pipeline.
 
 Each stage reads all rows that its predecessor kept. All but the last return the columns of
-documents.
+documents, further ones included, whatever their names.
+
+Defined results: a null text, or one without a letter, has no language and goes in the first
+stage. Stages that decide about documents by their id keep rows without one. Repeated rows with one
+id are one document: they stay or go together.
 """
 
 from __future__ import annotations
@@ -20,21 +24,26 @@ from reviewgraph.llm.store import stored
 SHINGLE, PERCENT = 5, 80
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text and the whole row, whose names cannot clash with those of results."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identification does not reject."""
     model = language_id.train_on(docs)
-    told = language_id.predict(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return told.where(~F.col("rejected")).select(*docs.columns)
+    told = language_id.predict(_packed(docs), model, keep=("_row",))
+    return told.where(~F.col("rejected")).select("_row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines repeated across documents; n_chars follows the text."""
-    out = drop_repeated_lines(docs)
+    out = drop_repeated_lines(_packed(docs))
     changed = F.col("n_dropped") > 0
-    return (out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-            .withColumn("n_chars", F.when(changed, F.length("text").cast("long"))
-                        .otherwise(F.col("n_chars")))
-            .select(*docs.columns))
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+           "n_chars": F.when(changed, F.length("kept_text").cast("long"))
+           .otherwise(F.col("_row.n_chars"))}
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
