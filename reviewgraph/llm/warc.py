@@ -24,7 +24,6 @@ import io
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,9 +188,19 @@ def _opened(block: bytes) -> bytes | None:
         return None
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(),
+             "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+
 RECORDS = ("origin string, number int, total long, page_id long, record_type string,"
            " refers_to long, told_digest string, told_bytes long, segmented boolean, block binary")
-_FIELDS = [x.split()[0] for x in RECORDS.split(", ")]
+_FIELDS = _names(RECORDS)
 
 
 def _fields(headers: dict[str, str], block: bytes) -> tuple:
@@ -217,9 +226,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(),
-                                 "boolean": pa.bool_(), "binary": pa.binary()}[k])
-                            for n, k in (x.split() for x in RECORDS.split(", "))])
+        schema = _arrow(RECORDS)
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
@@ -263,12 +270,10 @@ def reassembled(records: DataFrame) -> DataFrame:
     """
     fields = ["origin", "number", "total", "page_id", "record_type", "refers_to", "told_digest",
               "told_bytes", "block"]
-    names = [x.split()[0] for x in PAGES.split(", ")]
+    names, schema = _names(PAGES), _arrow(PAGES)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64",
-                           "complete": "bool"})
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 
     def typed(row: dict) -> tuple:
         return tuple(row[x] for x in ("page_id", "record_type", "refers_to", "told_digest",
@@ -276,8 +281,7 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = frame([_page(typed(r), r["block"]) for r in batch.to_pylist()])
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            yield frame([_page(typed(r), r["block"]) for r in batch.to_pylist()])
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin, held = None, []
@@ -297,9 +301,9 @@ def reassembled(records: DataFrame) -> DataFrame:
                     held = []
                 origin = row["origin"]
                 held.append(row)
-            yield pa.RecordBatch.from_pandas(frame(out), preserve_index=False)
+            yield frame(out)
         if held:
-            yield pa.RecordBatch.from_pandas(frame([done()]), preserve_index=False)
+            yield frame([done()])
 
     single = records.where(~F.col("segmented")).select(*fields).mapInArrow(whole, PAGES)
     cut = (records.where("segmented").select(*fields).repartition("origin")
