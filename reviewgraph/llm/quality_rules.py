@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewgraph.llm.store import stored
-from reviewgraph.llm.words import SPACE, SPACE_CLASS, lines_of, words_of
+from reviewgraph.llm.words import SPACE, lines_of, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -31,7 +31,10 @@ COMMON_WORDS = 16
 COMPARED_WORDS = 50
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
-# The symbols of the base rules, and sentence marks.
+# Common words have at most so many code points.
+COMMON_CHARS = 8
+# The symbols of the base rules, and sentence marks; what is in no class but letters.
+PLAIN = "[a-z ]+"
 SYMBOLS = "[#*$%&|<>]"
 MARKS = "[.,;:!?'\"()-]"
 
@@ -42,7 +45,7 @@ def _count(text: Column, of_class: str) -> Column:
 
 
 def _window_hashes(words: Column) -> Column:
-    """A hash for each window of five words, in order."""
+    """A hash for each window of five words, in order (words: hashes of single words)."""
     last = F.size(words) - WINDOW
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
@@ -91,12 +94,20 @@ def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     word_ref has one more share, for all other words. Ties go to the word that sorts first.
     """
-    counts = (docs.select(F.col(lang_col).alias("lang"),
-                          F.explode(words_of(F.col(text_col))).alias("word"))
-              .where(F.col("lang").isNotNull())
-              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("words"))
+    short = F.filter("words", lambda w: F.length(w) <= COMMON_CHARS)
+    # The first of a text's short words, or a null, carries how many longer words it has.
+    long = F.size("words") - F.size("short")
+    counts = (rows.withColumn("short", short).withColumn("long", long)
+              .select("lang", "long", F.posexplode_outer("short").alias("at", "word"))
+              .groupBy("lang", "word").agg(
+                  F.count("word").alias("n"),
+                  F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("long"))).alias("long")))
     counts = stored(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang").agg(
+        (F.sum("n") + F.coalesce(F.sum("long"), F.lit(0))).alias("total"))
+    counts = counts.where(F.col("word").isNotNull())
     first = W.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
     lists = top.groupBy("lang").agg(F.array_sort(F.collect_list(
@@ -111,24 +122,29 @@ def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", words: DataFrame | None = None) -> DataFrame:
     """Counts and histograms of each row, without its text."""
-    words = common_words(docs, text_col, lang_col) if words is None else words
+    # A small stored table: Spark broadcasts it by its size, or else shuffles.
+    words = stored(common_words(docs, text_col, lang_col)) if words is None else words
+    words = words.withColumn("longest", F.array_max(F.transform("common_words", F.length)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = (rows.join(words, "lang", "left")
             .withColumn("words", words_of(F.col("text")))
-            .withColumn("hashes", _window_hashes(F.col("words")))
+            .withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
+            .withColumn("hashes", _window_hashes(F.col("word_hashes")))
             .withColumn("repeats", F.size("hashes") > F.size(F.array_distinct("hashes")))
             .withColumn("places", F.when(F.col("repeats"), _hash_places(F.col("hashes"))))
             .withColumn("starts", F.when(F.col("repeats"), _repeated_starts(F.col("places"))))
             .withColumn("lines", F.filter(lines_of(F.col("text")),
                                           lambda x: F.btrim(x, F.lit(SPACE)) != ""))
             .withColumn("n_chars", F.length("text").cast("long"))
-            .withColumn("n_space", _count(F.col("text"), SPACE_CLASS))
-            .withColumn("n_symbols", _count(F.col("text"), SYMBOLS))
-            .withColumn("found", F.filter("words", lambda w: F.array_contains(
-                F.col("common_words"), w))))
-    classes = [F.col("n_space"), F.col("n_symbols"), _count(F.col("text"), "[A-Z]"),
-               _count(F.col("text"), "[0-9]"), _count(F.col("text"), MARKS),
+            .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+            .withColumn("rare", F.regexp_replace("text", PLAIN, ""))
+            .withColumn("n_symbols", _count(F.col("rare"), SYMBOLS))
+            .withColumn("found", F.filter("words", lambda w: (
+                F.length(w) <= F.col("longest")) & F.array_contains(F.col("common_words"), w))))
+    classes = [F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"),
+               _count(F.col("rare"), "[A-Z]"), _count(F.col("rare"), "[0-9]"),
+               _count(F.col("rare"), MARKS),
                (F.octet_length("text") - F.length("text")).cast("long")]
     rows = rows.withColumn("classes", F.array(*classes))
     rest = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
@@ -136,7 +152,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "found", lambda x: x == w)).cast("long"))
     return rows.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"),
-        (F.col("n_chars") - F.col("n_space")).alias("word_chars"), "n_symbols",
+        "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("repeats"), _covered_words(F.col("starts")))
         .otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
