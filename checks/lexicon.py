@@ -7,3 +7,6 @@ LEXICON = {
     "sich": 0.4, "heit": 1.3, "nicht": -1.0, "pour": 0.5, "avec": 0.9, "mente": 0.7,
     "para": 0.3, "queci": -0.8,
 }
+
+# Words with apostrophes and hyphens and emoticons, beside plain ones.
+TOKEN_LEXICON = {**LEXICON, "isn't": -0.5, "well-made": 2.1, ":)": 2.0, ":(": -2.0, ":-d": 2.3}

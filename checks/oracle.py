@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 
-from checks.lexicon import LEXICON
+from checks.lexicon import LEXICON, TOKEN_LEXICON
 from checks.views import VIEWS
 from reviewgraph.operators.reduction import CITY_DISTRICTS, CITY_SPELLINGS
+from reviewgraph.operators.sentiment import TOKENS
 
 
 def r2(x: str) -> str:
@@ -86,7 +87,7 @@ USER_SIM = ("shared_val, shared_score, overlap_val, overlap_score, rate_sim_val,
             "influence_val, influence_score, influ_sim_val, influ_sim_score, lmu_score")
 PARTS["like_u"] = f"""
   SELECT c.seed_id, b.name AS restaurant, x.business_id AS restaurant_id, u.name AS "user",
-         c.user_id, x.sel_rating, {USER_SIM}
+         c.user_id, x.sel_rating, {USER_SIM}, c.n AS position
   FROM user_clip c JOIN (SELECT seed_id, user_id, business_id, sel_rating FROM user_rows) x ON x.seed_id = c.seed_id AND x.user_id = c.user_id
   JOIN business b ON b.id = x.business_id JOIN users u ON u.id = c.user_id"""
 
@@ -134,7 +135,7 @@ REST_SIM = ("shared_val, shared_score, overlap_val, overlap_score, review_sim_va
             "review_sim_score, rate_sim_val, rate_sim_score, zip_val, zip_score, compete_score")
 PARTS["like_r"] = f"""
   SELECT c.seed_id, u.name AS "user", x.user_id, b.name AS restaurant,
-         c.business_id AS restaurant_id, x.sel_rating, {REST_SIM}
+         c.business_id AS restaurant_id, x.sel_rating, {REST_SIM}, c.n AS position
   FROM rest_clip c JOIN rest_rows x ON x.seed_id = c.seed_id AND x.business_id = c.business_id
   JOIN business b ON b.id = c.business_id JOIN users u ON u.id = x.user_id"""
 
@@ -146,7 +147,7 @@ _RELEVANCY = r2("CASE WHEN votes > 1 THEN sum_contribution / sum_score "
 
 def _third(rows: str, item: str, score: str) -> str:
     return f"""
-  SELECT x.*, k.votes, k.relevancy FROM {rows} x JOIN (
+  SELECT x.*, k.votes, k.relevancy, k.m AS position FROM {rows} x JOIN (
     SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY relevancy DESC, {item} DESC) AS m
     FROM (SELECT seed_id, {item}, votes, {_RELEVANCY} AS relevancy
           FROM (SELECT seed_id, {item}, count(*) AS votes, max(avg_rating) AS avg_rating,
@@ -172,7 +173,7 @@ PARTS["reco_rows"] = f"""
 PARTS["reco_kept"] = _third("reco_rows", "restaurant_id", "lmu_score")
 PARTS["reco"] = """
   SELECT k.seed_id, k.restaurant, k.restaurant_id, k.avg_rating, u.name AS "user", k.user_id,
-         k.lmu_rating, k.lmu_score, k.contribution, k.relevancy
+         k.lmu_rating, k.lmu_score, k.contribution, k.relevancy, k.position
   FROM reco_kept k JOIN users u ON u.id = k.user_id"""
 PARTS["prospect_rows"] = f"""
   SELECT * FROM (
@@ -189,7 +190,8 @@ PARTS["prospect_rows"] = f"""
 PARTS["prospect_kept"] = _third("prospect_rows", "user_id", "compete_score")
 PARTS["prospect"] = """
   SELECT k.seed_id, k."user", k.user_id, k.avg_rating, b.name AS restaurant, k.restaurant_id,
-         k.user_rating, k.compete_score, k.contribution, k.votes AS reviewed, k.relevancy
+         k.user_rating, k.compete_score, k.contribution, k.votes AS reviewed, k.relevancy,
+         k.position
   FROM prospect_kept k JOIN business b ON b.id = k.restaurant_id"""
 
 # --- graphs --------------------------------------------------------------------------------
@@ -302,10 +304,19 @@ def _totals(rel: str, score: str) -> str:
 
 # --- profiles and ratings ------------------------------------------------------------------
 
-PARTS["rating"] = """
-  SELECT b.name AS restaurant, b.id AS restaurant_id, u.name AS "user", r.user_id,
-         r.stars AS rating, r.date, r.text AS review, r.useful, r.funny, r.cool
-  FROM review r JOIN business b ON r.business_id = b.id JOIN users u ON r.user_id = u.id"""
+# The columns of a rating and of a restaurant's profile, in display order.
+RATING_COLUMNS = ('restaurant, restaurant_id, "user", user_id, rating, date, review, useful, '
+                  "funny, cool")
+PROFILE_COLUMNS = ("name, restaurant_id, avg_rating, total_reviews, neighborhood, address, city, "
+                   "state, zip, categories, attributes")
+
+PARTS["rating"] = f"""
+  WITH reviewed AS (SELECT id AS restaurant_id, name AS restaurant FROM business),
+       reviewers AS (SELECT id AS user_id, name AS "user" FROM users),
+       reviews AS (SELECT user_id, business_id AS restaurant_id, stars AS rating, date,
+                          text AS review, useful, funny, cool FROM review)
+  SELECT {RATING_COLUMNS} FROM reviews JOIN reviewers USING (user_id)
+  JOIN reviewed USING (restaurant_id)"""
 
 # --- mining seeds --------------------------------------------------------------------------
 
@@ -329,8 +340,23 @@ PARTS["u1"] = ("SELECT r.business_id, r.stars FROM review r JOIN busy_user s "
 PARTS["b1"] = ("SELECT r.user_id, r.stars FROM review r JOIN busy_business s "
                "ON s.seed_id = r.business_id")
 PARTS["followed"] = """
-  SELECT DISTINCT business_id FROM review WHERE user_id IN (SELECT user_id FROM b1)
-  ORDER BY business_id LIMIT 100"""
+  SELECT business_id FROM review WHERE user_id IN (SELECT user_id FROM b1)
+  GROUP BY business_id ORDER BY count(DISTINCT user_id) DESC, business_id LIMIT 100"""
+PARTS["three_businesses"] = """
+  SELECT business_id AS seed_id FROM review GROUP BY business_id
+  ORDER BY count(*) DESC, business_id LIMIT 3"""
+PARTS["three_users"] = """
+  SELECT user_id AS seed_id FROM review GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 3"""
+PARTS["three_followed"] = """
+  SELECT seed_id, business_id FROM (
+    SELECT s.seed_id, o.business_id, row_number() OVER (
+             PARTITION BY s.seed_id ORDER BY count(DISTINCT o.user_id) DESC, o.business_id) AS n
+    FROM three_businesses s JOIN review r ON r.business_id = s.seed_id
+    JOIN review o ON o.user_id = r.user_id GROUP BY s.seed_id, o.business_id) WHERE n <= 20"""
+PARTS["three_reviewed"] = """
+  SELECT s.seed_id, o.business_id AS rest_id, o.user_id, o.stars AS rating
+  FROM three_businesses s JOIN review r ON r.business_id = s.seed_id
+  JOIN review o ON o.user_id = r.user_id"""
 
 # --- reductions ----------------------------------------------------------------------------
 
@@ -396,10 +422,13 @@ PARTS["labelled"] = """
                               OR (l.seed_id = p.user2 AND l.user_id = p.user1))
     THEN 1 ELSE 0 END AS lmu FROM pairs1 p"""
 PARTS["alike_pairs"] = f"""
-  SELECT DISTINCT least(l.seed_id, l.user_id) || '+++' || greatest(l.seed_id, l.user_id)
-           AS user_pair, l.restaurant, l.restaurant_id AS rest_id,
-         {_match("l.sel_rating", "r.stars")} AS rating_match
-  FROM like_u l JOIN review r ON r.user_id = l.user_id AND r.business_id = l.restaurant_id"""
+  SELECT p.one || '+++' || p.two AS user_pair, b.name AS restaurant, b.id AS rest_id,
+         {_match("x.stars", "y.stars")} AS rating_match
+  FROM (SELECT DISTINCT least(seed_id, user_id) AS one, greatest(seed_id, user_id) AS two
+        FROM user_clip) p
+  JOIN review x ON x.user_id = p.one
+  JOIN review y ON y.user_id = p.two AND y.business_id = x.business_id
+  JOIN business b ON b.id = x.business_id"""
 PARTS["alike_cross"] = """
   SELECT p.user_pair, p.restaurant AS restaurant1, p.rating_match AS match1,
          q.restaurant AS restaurant2, q.rating_match AS match2
@@ -422,6 +451,24 @@ PARTS["doc_sums"] = """
   ON w.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+PARTS["token_lexicon"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{w.replace(chr(39), chr(39) * 2)}', {v})" for w, v in TOKEN_LEXICON.items()) \
+    + ") AS t(word, valence)"
+PARTS["turn_words"] = f"""
+  SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{TOKENS.replace("'", "''")}')) AS word
+  FROM conversations"""
+PARTS["turn_sums"] = """
+  SELECT d.conv_id, d.turn, count(w.word) AS n_words,
+         cast(coalesce(sum(v), 0) AS double) AS total,
+         cast(coalesce(sum(CASE WHEN v > 0 THEN v + 1 END), 0) AS double) AS up,
+         cast(coalesce(sum(CASE WHEN v < 0 THEN 1 - v END), 0) AS double) AS down,
+         count(CASE WHEN w.word IS NOT NULL AND coalesce(v, 0) = 0 THEN 1 END) AS flat
+  FROM conversations d LEFT JOIN (
+    SELECT w.conv_id, w.turn, w.word, cast(l.valence AS decimal(10, 4)) AS v
+    FROM turn_words w LEFT JOIN token_lexicon l ON l.word = w.word) w
+  ON w.conv_id = d.conv_id AND w.turn = d.turn GROUP BY d.conv_id, d.turn"""
+
+
 def _share(x: str) -> str:
     return (f"CASE WHEN up + down + flat = 0 THEN 0.0 "
             f"ELSE floor({x} / (up + down + flat) * 1000 + 0.5) / 1000 END")
@@ -442,6 +489,41 @@ def _quartiles(value: str) -> str:
 
 # --- queries -------------------------------------------------------------------------------
 
+def _json(fields) -> str:
+    """A JSON object of texts, missing ones as null."""
+    def value(c: str) -> str:
+        text = f"cast({c} AS string)"
+        safe = f"""replace(replace({text}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')"""
+        return f"""coalesce('"' || {safe} || '"', 'null')"""
+
+    return "'{' || " + " || ',' || ".join(f"""'"{c}":' || {value(c)}""" for c in fields) + " || '}'"
+
+
+def _documents(parent: str, fields, key: str, children: dict, kind: str | None = None) -> str:
+    parts = [f"SELECT id, '{kind or parent}' AS kind, {_json(fields)} AS record FROM {parent}"]
+    parts += [f"SELECT {key}, '{name}', {_json(own)} FROM {table} "
+              f"WHERE {key} IN (SELECT id FROM {parent})"
+              for name, (table, own) in children.items()]
+    return " UNION ALL ".join(parts)
+
+
+# The fields of the documents that the test tables have.
+BUSINESS_FIELDS = ("name", "neighborhood", "address", "city", "state", "postal_code", "stars",
+                   "review_count", "is_open")
+USER_FIELDS = ("name", "review_count", "yelping_since", "useful", "funny", "cool", "fans",
+               "average_stars")
+REVIEW_FIELDS = ("id", "stars", "date", "text", "useful", "funny", "cool", "business_id",
+                 "user_id")
+TIP_FIELDS = ("business_id", "user_id", "text", "date", "likes")
+
+
+def _significant(x: str) -> str:
+    """Two significant digits of a number from 0.1 to under 99.5."""
+    return (f"CASE WHEN {x} >= 9.95 THEN printf('%.0f', round({x})) "
+            f"WHEN {x} >= 0.995 THEN printf('%.1f', round({x} / 0.1) / 10) "
+            f"ELSE printf('%.2f', round({x} / 0.01) / 100) END")
+
+
 QUERIES: dict[str, str] = {
     "search_prefix": """SELECT name || ' (' || address || ')' AS name, id FROM business
         WHERE lower(name) LIKE 'red%' ORDER BY business.name, id LIMIT 10""",
@@ -449,17 +531,21 @@ QUERIES: dict[str, str] = {
         FROM business""",
     "user_profile": "SELECT * EXCLUDE (influence_val) FROM people",
     "candidate_influence": "SELECT user_id, influence_val FROM people",
-    "restaurant_profile": """
-        SELECT b.name, b.id AS restaurant_id, b.stars AS avg_rating, b.review_count AS total_reviews,
-               b.neighborhood, b.address, b.city, b.state, b.postal_code AS zip,
-               coalesce(c.c, '(No category information)') AS categories,
-               coalesce(a.a, '(No attributes information)') AS attributes
-        FROM business b
-        LEFT JOIN (SELECT business_id, string_agg(category, ',' ORDER BY category) AS c
-                   FROM category GROUP BY business_id) c ON c.business_id = b.id
-        LEFT JOIN (SELECT business_id, string_agg(name, ',' ORDER BY name) AS a
-                   FROM attribute WHERE value = '1' GROUP BY business_id) a
-          ON a.business_id = b.id""",
+    "restaurant_profile": f"""
+        WITH lists AS (
+          SELECT id AS restaurant_id,
+            (SELECT string_agg(category, ',' ORDER BY category) FROM category x
+             WHERE x.business_id = business.id) AS listed,
+            (SELECT string_agg(x.name, ',' ORDER BY x.name) FROM attribute x
+             WHERE x.business_id = business.id AND x.value = '1') AS switched_on
+          FROM business),
+        places AS (SELECT *, id AS restaurant_id, stars AS avg_rating,
+                          review_count AS total_reviews, postal_code AS zip FROM business),
+        texts AS (SELECT restaurant_id,
+                         coalesce(listed, '(No category information)') AS categories,
+                         coalesce(switched_on, '(No attributes information)') AS attributes
+                  FROM lists)
+        SELECT {PROFILE_COLUMNS} FROM places JOIN texts USING (restaurant_id)""",
     "user_restaurant_rating": "SELECT * FROM rating",
     "rating_card": """
         SELECT restaurant, restaurant_id, "user", user_id, repeat('★', cast(rating AS int)) AS rating,
@@ -483,12 +569,12 @@ QUERIES: dict[str, str] = {
                  PARTITION BY seed_id ORDER BY score DESC, id DESC) AS position
           FROM (SELECT DISTINCT seed_id, restaurant AS name, restaurant_id AS id,
                        compete_score AS score FROM like_r)) WHERE position <= 10""",
-    "rating_of_restaurant": """
+    "rating_of_restaurant_detail": """
         SELECT r.restaurant, r.restaurant_id, r."user", r.user_id, r.rating, r.date, r.review,
                r.useful, r.funny, r.cool
         FROM rating r JOIN user_nodes n
           ON n."order" = 1 AND n.seed_id = r.user_id AND n.id = r.restaurant_id""",
-    "rating_by_user": """
+    "rating_by_user_detail": """
         SELECT r.restaurant, r.restaurant_id, r."user", r.user_id, r.rating, r.date, r.review,
                r.useful, r.funny, r.cool
         FROM rating r JOIN rest_nodes n
@@ -510,6 +596,21 @@ QUERIES: dict[str, str] = {
             unnest([shared_score, overlap_score, rate_sim_score, influence_score,
                     influ_sim_score, lmu_score]) AS score
           FROM (SELECT DISTINCT seed_id, user_id AS selected_id, {USER_SIM} FROM like_u))""",
+    "competitor_card": f"""
+        SELECT seed_id, selected_id, line, factor, value, printf('%.2f', score) AS score FROM (
+          SELECT seed_id, selected_id, unnest([1, 2, 3, 4, 5, 6]) AS line,
+            unnest(['Shared Customers', 'Customer Overlap', 'Review Count Similarity',
+                    'Ratings Similarity', 'Postal Code Match', 'Total']) AS factor,
+            unnest([cast(shared_val AS string), overlap_val, review_sim_val, rate_sim_val,
+                    zip_val, '']) AS value,
+            unnest([shared_score, overlap_score, review_sim_score, rate_sim_score,
+                    cast(zip_score AS double), compete_score]) AS score
+          FROM (SELECT DISTINCT seed_id, restaurant_id AS selected_id, {REST_SIM} FROM like_r))""",
+    "relevance_card": f"""
+        SELECT seed_id, selected_id, "user", {_significant("lmu_rating")} AS lmu_rating,
+          {_significant("lmu_score")} AS lmu_score,
+          printf('%.2f', contribution) AS contribution, printf('%.2f', relevancy) AS relevancy
+        FROM reco_rel""",
     "reco_relevance": "SELECT * FROM reco_rel",
     "prospect_relevance": "SELECT * FROM prospect_rel",
     "relevance_totals": _totals("reco_rel", "lmu_score"),
@@ -581,15 +682,35 @@ QUERIES: dict[str, str] = {
                (SELECT count(*) FROM category c WHERE c.business_id = i.business_id) AS categories,
                (SELECT count(*) FROM review r WHERE r.business_id = i.business_id) AS reviews
         FROM rest_ids i""",
-    "city_zip_pairs": "SELECT city, postal_code FROM business GROUP BY city, postal_code",
+    "city_zip_pairs": "SELECT DISTINCT postal_code, city FROM business",
     "attribute_competitors": "SELECT * FROM competitors",
     "new_prospects": """
         SELECT DISTINCT c.seed_id, r.user_id, u.name FROM competitors c
         JOIN review r ON r.business_id = c.business_id JOIN users u ON u.id = r.user_id
         WHERE r.user_id NOT IN (SELECT user_id FROM b1)""",
     "third_order_users": """
+        SELECT DISTINCT s.seed_id, r.user_id FROM review r JOIN busy_business s ON true
+        WHERE r.business_id IN (SELECT business_id FROM review
+                                WHERE user_id IN (SELECT user_id FROM b1))""",
+    "third_order_users_of_top": """
         SELECT DISTINCT s.seed_id, r.user_id FROM review r JOIN busy_business s ON true
         WHERE r.business_id IN (SELECT business_id FROM followed)""",
+    "third_order_users_of_three": """
+        SELECT DISTINCT f.seed_id, r.user_id
+        FROM three_followed f JOIN review r ON r.business_id = f.business_id""",
+    "co_reviewers_of_three": """
+        SELECT s.seed_id, o.user_id, u.name AS "user", count(*) AS shared
+        FROM three_users s JOIN review r ON r.user_id = s.seed_id
+        JOIN review o ON o.business_id = r.business_id JOIN users u ON u.id = o.user_id
+        GROUP BY ALL""",
+    "rating_matrix_of_three": """
+        SELECT x.seed_id, b.name AS restaurant, x.rest_id, x.user_id, x.rating
+        FROM three_reviewed x JOIN (
+          SELECT seed_id, rest_id, row_number() OVER (
+                   PARTITION BY seed_id ORDER BY count(*) DESC, rest_id) AS n
+          FROM three_reviewed GROUP BY seed_id, rest_id) k
+        ON k.seed_id = x.seed_id AND k.rest_id = x.rest_id JOIN business b ON b.id = x.rest_id
+        WHERE k.n <= 10""",
     "third_order_businesses": """
         SELECT DISTINCT s.seed_id, r.business_id, b.name FROM review r JOIN busy_user s ON true
         JOIN business b ON b.id = r.business_id
@@ -658,6 +779,25 @@ QUERIES: dict[str, str] = {
     "alike_pair_corr": """
         SELECT count(*) AS n, round(avg(match1), 6) AS mean1, round(avg(match2), 6) AS mean2,
                round(corr(match1, match2), 6) AS corr FROM alike_cross""",
+    "messy_ratings": """
+        WITH messy AS (
+          SELECT id, user_id, business_id, stars, useful, date FROM review
+          UNION ALL SELECT id || '-b', user_id, business_id, stars % 5 + 1, useful,
+                           date + INTERVAL 1 DAY FROM review WHERE useful = 3
+          UNION ALL SELECT id || '-g', 'ghost' || user_id, business_id, stars, useful, date
+                    FROM review WHERE useful = 5
+          UNION ALL SELECT id || '-l', user_id, 'lost' || business_id, stars, useful, date
+                    FROM review WHERE useful = 2 AND funny = 1)
+        SELECT m.user_id, m.business_id, m.stars, m.useful
+        FROM messy m JOIN users u ON u.id = m.user_id JOIN business b ON b.id = m.business_id
+        WHERE NOT EXISTS (SELECT 1 FROM messy x
+                          WHERE x.user_id = m.user_id AND x.business_id = m.business_id
+                            AND (x.date > m.date OR (x.date = m.date AND x.id > m.id)))""",
+    "sentiment_tokens": f"""
+        SELECT cast(conv_id AS string) || '/' || cast(turn AS string) AS key, n_words,
+          {_share("down")} AS neg, {_share("flat")} AS neu, {_share("up")} AS pos,
+          sign(total) * floor(abs(total / sqrt(total * total + 15)) * 10000 + 0.5) / 10000
+            AS compound FROM turn_sums""",
     "sentiment": "SELECT * FROM doc_scores",
     "sentiment_by_stars": " UNION ALL ".join(
         f"SELECT quality AS stars, '{s}' AS share, {_quartiles(s)} "
@@ -668,22 +808,21 @@ QUERIES: dict[str, str] = {
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS expanding_mean
         FROM (SELECT business_id, cast(date AS date) AS day, count(*) AS reviews,
                      avg(stars) AS daily FROM review GROUP BY ALL)""",
-    "business_documents": """
-        SELECT b.id, cast(0 AS bigint) AS page, b.name, b.stars, b.review_count,
-          (SELECT coalesce(string_agg(r.id, ',' ORDER BY r.id), '') FROM review r
-           WHERE r.business_id = b.id) AS review_ids,
-          (SELECT coalesce(string_agg(a.name || '=' || a.value, ',' ORDER BY a.name), '')
-           FROM attribute a WHERE a.business_id = b.id) AS attributes,
-          (SELECT coalesce(string_agg(c.category, ',' ORDER BY c.category), '') FROM category c
-           WHERE c.business_id = b.id) AS categories
-        FROM business b""",
-    "user_documents": """
-        SELECT u.id, cast(0 AS bigint) AS page, u.name, u.fans,
-          (SELECT coalesce(string_agg(r.id, ',' ORDER BY r.id), '') FROM review r
-           WHERE r.user_id = u.id) AS review_ids,
-          (SELECT cast(coalesce(sum(t.likes), 0) AS bigint) FROM tip t WHERE t.user_id = u.id)
-            AS tip_likes
-        FROM users u""",
+    "business_documents": _documents("business", BUSINESS_FIELDS, "business_id", {
+        "attribute": ("attribute", ("name", "value")), "category": ("category", ("category",)),
+        "review": ("review", REVIEW_FIELDS)}),
+    "user_documents": _documents("users", USER_FIELDS, "user_id", {
+        "review": ("review", REVIEW_FIELDS), "tip": ("tip", TIP_FIELDS)}, kind="user"),
+    "review_by_id": """
+        SELECT id, user_id, business_id, stars, text FROM review
+        WHERE user_id IN (SELECT seed_id FROM busy_user) ORDER BY id LIMIT 1""",
+    "row_by_key": "SELECT business_id, category FROM category ORDER BY business_id, category LIMIT 1",
+    "csv_round_trip": "SELECT business_id, category FROM category",
+    "appended_rows": "SELECT user_id, friend_id FROM friend",
+    "review_texts": "SELECT " + ", ".join(
+        f"cast({c} AS string) AS {c}" for c in REVIEW_FIELDS) + " FROM review",
+    "dates_from_millis": """
+        SELECT doc_id, DATE '1970-01-01' + cast(n_chars AS integer) AS day FROM documents""",
     "reviewed_businesses": "SELECT DISTINCT user_id, business_id FROM review",
     "business_records": """
         SELECT id, '{"id":"' || id || '","name":"' || name || '","city":"' || city
@@ -691,6 +830,72 @@ QUERIES: dict[str, str] = {
           || cast(review_count AS string) || '}' AS record FROM business""",
 }
 
+_LIKE_U = ("user_first", "user_rows", "user_pairs_scored", "user_clip", "like_u")
+_LIKE_R = ("rest_first", "rest_rows", "rest_pairs_scored", "rest_clip", "like_r")
+_RECO, _PROSPECT = ("reco_rows", "reco_kept", "reco"), ("prospect_rows", "prospect_kept", "prospect")
+
+
+def _variant(suffix: str, names: tuple[str, ...], **changes: tuple[str, str]) -> str:
+    """The last of the named parts, with changes to some of them; a copy of all is added."""
+    for name in names:
+        sql = PARTS[name]
+        if name in changes:
+            old, new = changes[name]
+            assert old in sql, (name, old)
+            sql = sql.replace(old, new)
+        for other in names:
+            sql = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 {other}{suffix}", sql)
+        PARTS[f"{name}{suffix}"] = sql
+    return f"SELECT * FROM {names[-1]}{suffix}"
+
+
+def _of(sql: str, seeds: str) -> str:
+    return f"SELECT q.* FROM ({sql}) q WHERE q.seed_id IN (SELECT seed_id FROM {seeds})"
+
+
+QUERIES["like_users_highest"] = _variant(
+    "_highest", _LIKE_U, user_first=("ORDER BY stars, business_id", "ORDER BY stars DESC, business_id"))
+QUERIES["like_restaurants_exclusive"] = _variant("_five", _LIKE_R, rest_clip=("n <= 21", "n <= 5"))
+QUERIES["like_users_uncut_of_busiest"] = _of(_variant(
+    "_uncut", _LIKE_U, user_first=("WHERE n <= 10", ""), user_rows=("WHERE n <= 2000", "")),
+    "busy_user")
+QUERIES["like_restaurants_uncut_of_busiest"] = _of(_variant(
+    "_uncut", _LIKE_R, rest_first=("WHERE n <= 10", ""), rest_rows=("WHERE n <= 1000", "")),
+    "busy_business")
+QUERIES["recommended_new_restaurants"] = _variant("_new", _RECO, reco_rows=(
+    """FROM like_u f
+                      WHERE f.seed_id = l.seed_id AND f.restaurant_id = r.business_id""",
+    "FROM review f WHERE f.user_id = l.seed_id AND f.business_id = r.business_id"))
+QUERIES["new_customer_prospects"] = _variant("_new", _PROSPECT, prospect_rows=(
+    """FROM like_r f
+                      WHERE f.seed_id = l.seed_id AND f.user_id = r.user_id""",
+    "FROM review f WHERE f.business_id = l.seed_id AND f.user_id = r.user_id"))
+QUERIES["recommended_by_hundred"] = _of(_variant(
+    "_hundred", _LIKE_U + _RECO, user_clip=("n <= 21", "n <= 101")), "busy_user")
+QUERIES["recommended_uncut_of_busiest"] = _of(_variant(
+    "_all", _RECO, reco_rows=("WHERE n <= 2000", "")), "busy_user")
+
+_LIKE_NODES = {"user": QUERIES["explore_like_nodes_user"],
+               "restaurant": QUERIES["explore_like_nodes_restaurant"]}
+for _name, _nodes, _order, _type in (
+        ("rating_of_restaurant", "user_nodes", 1, "restaurant"),
+        ("rating_by_user", "rest_nodes", 1, "user"),
+        ("likeminded_user", "user_nodes", 2, "user"),
+        ("direct_competitor", "rest_nodes", 2, "restaurant"),
+        ("recommended_restaurant", "user_nodes", 3, "restaurant"),
+        ("customer_prospect", "rest_nodes", 3, "user")):
+    _clicked = f'SELECT id FROM {_nodes} WHERE "order" = {_order}'
+    QUERIES[f"{_name}_like_nodes"] = (
+        f"SELECT q.* FROM ({_LIKE_NODES[_type]}) q WHERE q.seed_id IN ({_clicked})")
+for _name, _rows, _nodes, _order in (
+        ("likeminded_user", "likeminded_user_similarity", "user_nodes", 2),
+        ("direct_competitor", "direct_competitor_similarity", "rest_nodes", 2),
+        ("recommended_restaurant", "reco_relevance", "user_nodes", 3),
+        ("customer_prospect", "prospect_relevance", "rest_nodes", 3)):
+    QUERIES[f"{_name}_detail"] = (
+        f"SELECT q.* FROM ({QUERIES[_rows]}) q JOIN {_nodes} c "
+        f'ON c.seed_id = q.seed_id AND c.id = q.selected_id AND c."order" = {_order}')
+
 for _name, _seed, _key in (
         ("user_profile", "busy_user", "user_id"),
         ("restaurant_profile", "busy_business", "restaurant_id"),
@@ -703,7 +908,7 @@ for _name, _seed, _key in (
         f"SELECT q.* FROM ({QUERIES[_name]}) q JOIN (SELECT seed_id AS chosen FROM {_seed}) s "
         f"ON s.chosen = q.{_key}")
 
-_PART_NAMES = {**VIEWS, **PARTS}
+_PART_NAMES = {**VIEWS, **PARTS}  # after all variants
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

@@ -6,12 +6,14 @@ defines for one chosen seed (walks around it) run for the busiest one, found in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.lexicon import LEXICON
+from checks.lexicon import LEXICON, TOKEN_LEXICON
 from checks.tables import base, tables
 from reviewgraph.functions import display
 from reviewgraph.operators import documents as D
@@ -25,23 +27,38 @@ from reviewgraph.operators import similarity as S
 from reviewgraph.operators import validation as V
 from reviewgraph.operators.momentum import momentum
 from reviewgraph.operators.search import full_list, search
+from reviewgraph.plans import explore as X
 from reviewgraph.plans.explore import Exploration, explore_restaurant, explore_user
-from reviewgraph.sources.export import records
-from reviewgraph.sources.tables import Tables
+from reviewgraph.sources.export import as_text, read_csv, records, write_csv
+from reviewgraph.sources.schemas import TABLES
+from reviewgraph.sources.staging import shared_folder
+from reviewgraph.sources.tables import Tables, append_rows, empty_like
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREFIX = "red"
 
-_explored: dict[tuple[str, str, str], Exploration] = {}
+# Tables that the scoring operators read several times are written first, as loaded ones are.
+SCORED = ("review", "business", "users", "friend")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> Tables:
+    return tables(spark, sf_dir).staged(*SCORED)
 
 
 def _explore(spark: SparkSession, sf_dir: str, side: str) -> Exploration:
-    """One exploration of all seeds per session, folder and side, shared by its views."""
-    key = (spark.sparkContext.applicationId, sf_dir, side)
-    if key not in _explored:
-        run = explore_user if side == "user" else explore_restaurant
-        _explored[key] = run(tables(spark, sf_dir))
-    return _explored[key]
+    """An exploration of all seeds; each query makes its own."""
+    run = explore_user if side == "user" else explore_restaurant
+    return run(_scored(spark, sf_dir))
+
+
+def _like_u(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
+    t = _scored(spark, sf_dir)
+    return t, S.like_users(t)
+
+
+def _like_r(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
+    t = _scored(spark, sf_dir)
+    return t, S.like_restaurants(t)
 
 
 def _on_tables(f: Callable[[Tables], DataFrame]) -> Query:
@@ -84,14 +101,38 @@ def _matrix(t: Tables) -> DataFrame:
 
 def _labelled(f: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        like = _explore(spark, sf_dir, "user").like
-        return f(V.labelled_classes(_matrix(tables(spark, sf_dir)), like))
+        t, like = _like_u(spark, sf_dir)
+        return f(V.labelled_classes(_matrix(t), like))
     return run
 
 
 def _alike(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(
-        V.user_pairs(tables(spark, sf_dir), _explore(spark, sf_dir, "user").like))
+    return lambda spark, sf_dir: f(V.user_pairs(*_like_u(spark, sf_dir)))
+
+
+def _on_like_u(f: Callable[[Tables, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(*_like_u(spark, sf_dir))
+
+
+def _on_like_r(f: Callable[[Tables, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(*_like_r(spark, sf_dir))
+
+
+def _on_scored(f: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_scored(spark, sf_dir))
+
+
+def messy_reviews(t: Tables) -> Tables:
+    """The tables with second, later reviews of some pairs and reviews by and of missing ids."""
+    again = t.review.where("useful = 3").withColumns({
+        "id": F.concat("id", F.lit("-b")), "date": F.col("date") + F.expr("INTERVAL 1 DAY"),
+        "stars": F.col("stars") % 5 + 1})
+    ghosts = t.review.where("useful = 5").withColumns({
+        "id": F.concat("id", F.lit("-g")), "user_id": F.concat(F.lit("ghost"), "user_id")})
+    lost = t.review.where("useful = 2 AND funny = 1").withColumns({
+        "id": F.concat("id", F.lit("-l")), "business_id": F.concat(F.lit("lost"), "business_id")})
+    rows = t.review.unionByName(again).unionByName(ghosts).unionByName(lost)
+    return replace(t.with_tables(review=rows), one_review_per_pair=False)
 
 
 def _sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,39 +140,73 @@ def _sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sentiment(base(spark, sf_dir, "documents"), lexicon, key="doc_id")
 
 
+def _sentiment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(list(TOKEN_LEXICON.items()), "word string, valence double")
+    return T.sentiment(base(spark, sf_dir, "conversations").select(
+        F.concat("conv_id", F.lit("/"), "turn").alias("key"), "text"), lexicon, key="key",
+        token=T.TOKENS)
+
+
 def _sentiment_by_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = base(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("stars"))
     return T.sentiment_by_stars(_sentiment(spark, sf_dir).join(stars, "doc_id"))
 
 
-def _ids(column: str, field: str):
-    return F.array_join(F.transform(column, lambda x: x[field]), ",")
+def _detail(side: str, order: int, view: Callable, part: int) -> Query:
+    """One of the three parts that a click on a node of this order brings up, for all nodes."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _scored(spark, sf_dir)
+        explored = (explore_user if side == "user" else explore_restaurant)(t)
+        return view(t, explored, _selected(explored.graph.nodes, order))[part]
+    return run
+
+
+def _details() -> dict[str, Query]:
+    """Detail and look-alikes of the six kinds of nodes; comparisons have queries of their own."""
+    views = {"rating_of_restaurant": ("user", 1, X.rating_of_restaurant),
+             "rating_by_user": ("restaurant", 1, X.rating_by_user),
+             "likeminded_user": ("user", 2, X.likeminded_user_similarity),
+             "direct_competitor": ("restaurant", 2, X.direct_competitor_similarity),
+             "recommended_restaurant": ("user", 3, X.recommended_restaurant_relevance),
+             "customer_prospect": ("restaurant", 3, X.customer_prospect_relevance)}
+    return {f"{name}_{part}": _detail(*view, i) for name, view in views.items()
+            for part, i in (("detail", 0), ("like_nodes", 2))}
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories written as csv to the shared folder and read back."""
+    rows = tables(spark, sf_dir).category
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(rows, path)
+    return read_csv(spark, path, TABLES["category"])
 
 
-def _business_documents(t: Tables) -> DataFrame:
-    pairs = F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"]))
-    return D.business_documents(t).select(
-        "id", "page", "name", "stars", "review_count", _ids("reviews", "id").alias("review_ids"),
-        F.array_join(pairs, ",").alias("attributes"), _ids("categories", "category").alias("categories"))
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty clone of the friends table in a folder, to which the rows are appended."""
+    friend = tables(spark, sf_dir).friend
+    folder = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
+    empty_like(friend).write.parquet(f"{folder}/friend")
+    append_rows(friend, folder, "friend")
+    return spark.read.parquet(f"{folder}/friend")
 
 
-def _user_documents(t: Tables) -> DataFrame:
-    likes = F.aggregate("tips", F.lit(0).cast("bigint"), lambda a, x: a + x["likes"])
-    return D.user_documents(t, reviews=True, tips=True).select(
-        "id", "page", "name", "fans", _ids("reviews", "id").alias("review_ids"),
-        likes.alias("tip_likes"))
+def _reviews_by_id(t: Tables) -> DataFrame:
+    """The busiest user's first review, by both keys."""
+    user, review = (t.review.join(busiest_user(t), F.col("user_id") == F.col("seed_id"))
+                    .orderBy("id").select("user_id", "id").first())
+    return D.review_by_id(t, user, review).select("id", "user_id", "business_id", "stars", "text")
 
 
-def _rating_of_restaurant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _explore(spark, sf_dir, "user").graph.nodes.where("order = 1")
-    return P.user_restaurant_rating(tables(spark, sf_dir), nodes.select(
-        F.col("seed_id").alias("user_id"), F.col("id").alias("restaurant_id")))
+def _by_key(t: Tables) -> DataFrame:
+    """The first row of a table with a key of two columns, found again by that key."""
+    row = t.first("category").first()
+    return t.get("category", row["business_id"], row["category"])
 
 
-def _rating_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _explore(spark, sf_dir, "restaurant").graph.nodes.where("order = 1")
-    return P.user_restaurant_rating(tables(spark, sf_dir), nodes.select(
-        F.col("seed_id").alias("restaurant_id"), F.col("id").alias("user_id")))
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sizes read as days since the epoch, in milliseconds."""
+    return base(spark, sf_dir, "documents").select("doc_id", display.date_from_millis(
+        F.col("n_chars") * 86_400_000).alias("day"))
 
 
 def _path(x: Exploration) -> DataFrame:
@@ -172,12 +247,26 @@ def queries() -> dict[str, Query]:
         "restaurant_profile": _on_tables(P.restaurant_profile),
         "user_restaurant_rating": _on_tables(P.user_restaurant_rating),
         "rating_card": _on_tables(lambda t: display.rating_card(P.user_restaurant_rating(t))),
-        "like_users": _on_tables(S.like_users),
-        "like_restaurants": _on_tables(S.like_restaurants),
-        "recommended_restaurants": lambda spark, sf: R.recommended_restaurants(
-            tables(spark, sf), _explore(spark, sf, "user").like),
-        "customer_prospects": lambda spark, sf: R.customer_prospects(
-            tables(spark, sf), _explore(spark, sf, "restaurant").like),
+        "like_users": _on_scored(S.like_users),
+        "like_restaurants": _on_scored(S.like_restaurants),
+        "recommended_restaurants": _on_user(lambda x: x.third),
+        "customer_prospects": _on_restaurant(lambda x: x.third),
+        "like_users_highest": _on_scored(lambda t: S.like_users(t, first_order_by="highest")),
+        "like_restaurants_exclusive": _on_scored(
+            lambda t: S.like_restaurants(t, limit=5, inclusive=False)),
+        "like_users_uncut_of_busiest": _on_scored(lambda t: S.like_users(
+            t, busiest_user(t), first_order=None, candidate_rows=None)),
+        "like_restaurants_uncut_of_busiest": _on_scored(lambda t: S.like_restaurants(
+            t, busiest_business(t), first_order=None, candidate_rows=None)),
+        "recommended_new_restaurants": _on_like_u(
+            lambda t, like: R.recommended_restaurants(t, like, exclude="all_reviewed")),
+        "new_customer_prospects": _on_like_r(
+            lambda t, like: R.customer_prospects(t, like, exclude="all_reviewed")),
+        "recommended_by_hundred": _on_scored(lambda t: R.recommended_restaurants(
+            t, S.like_users(t, busiest_user(t), limit=100), few=True)),
+        "recommended_uncut_of_busiest": _on_scored(lambda t: R.recommended_restaurants(
+            t, S.like_users(t, busiest_user(t)), considered_rows=None, few=True)),
+        "messy_ratings": _on_tables(lambda t: messy_reviews(t).ratings()),
         "user_graph_nodes": _on_user(lambda x: x.graph.nodes),
         "user_graph_links": _on_user(lambda x: x.graph.links),
         "restaurant_graph_nodes": _on_restaurant(lambda x: x.graph.nodes),
@@ -192,15 +281,20 @@ def queries() -> dict[str, Query]:
         "customer_prospects_of_busiest": _of_one_restaurant(lambda x: x.third),
         "user_graph_links_of_busiest": _of_one_user(lambda x: x.graph.links),
         "restaurant_graph_links_of_busiest": _of_one_restaurant(lambda x: x.graph.links),
-        "rating_of_restaurant": _rating_of_restaurant,
-        "rating_by_user": _rating_by_user,
+        **_details(),
         **{f"comparison_order{k}": _on_user(_comparison(k)) for k in (1, 2, 3)},
         **{f"restaurant_comparison_order{k}": _on_restaurant(_comparison(k)) for k in (1, 2, 3)},
         "comparison_topk_selected": _on_user(_topk_selected),
         "restaurant_comparison_topk_selected": _on_restaurant(_topk_selected),
-        "likeminded_user_similarity": _on_user(lambda x: S.user_similarity(x.like)),
-        "direct_competitor_similarity": _on_restaurant(lambda x: S.restaurant_similarity(x.like)),
-        "similarity_card": _on_user(lambda x: display.similarity_card(S.user_similarity(x.like))),
+        "likeminded_user_similarity": _on_like_u(lambda t, like: S.user_similarity(like)),
+        "direct_competitor_similarity": _on_like_r(
+            lambda t, like: S.restaurant_similarity(like)),
+        "similarity_card": _on_like_u(
+            lambda t, like: display.similarity_card(S.user_similarity(like))),
+        "competitor_card": _on_like_r(lambda t, like: display.similarity_card(
+            S.restaurant_similarity(like), display.RESTAURANT_SIMILARITY_ROWS)),
+        "relevance_card": _on_user(lambda x: display.relevance_card(
+            R.restaurant_relevance(x.third), "user", "lmu_rating", "lmu_score")),
         "reco_relevance": _on_user(lambda x: R.restaurant_relevance(x.third)),
         "prospect_relevance": _on_restaurant(lambda x: R.prospect_relevance(x.third)),
         "relevance_totals": _on_user(
@@ -228,6 +322,10 @@ def queries() -> dict[str, Query]:
         "attribute_competitors": _on_tables(_competitors),
         "new_prospects": _on_tables(lambda t: M.new_prospects(t, _competitors(t))),
         "third_order_users": _on_tables(lambda t: M.third_order_users(t, busiest_business(t))),
+        "third_order_users_of_top": _on_tables(
+            lambda t: M.third_order_users(t, busiest_business(t), followed=100)),
+        "third_order_users_of_three": _on_tables(lambda t: M.third_order_users(
+            t, M.busiest(t.review, "business_id", 3), followed=20)),
         "third_order_businesses": _on_tables(
             lambda t: M.third_order_businesses(t, busiest_user(t))),
         "edge_sample": _on_tables(M.edge_sample),
@@ -239,6 +337,10 @@ def queries() -> dict[str, Query]:
         "co_reviewed": _on_tables(lambda t: M.co_reviewed(t, busiest_business(t))),
         "same_rating_restaurants": _on_tables(
             lambda t: M.same_rating_restaurants(t, busiest_business(t))),
+        "co_reviewers_of_three": _on_tables(
+            lambda t: M.co_reviewers(t, M.busiest(t.review, "user_id", 3))),
+        "rating_matrix_of_three": _on_tables(
+            lambda t: V.rating_matrix(t, M.busiest(t.review, "business_id", 3))),
         "review_counts": _on_tables(lambda t: M.review_counts(
             t, t.business.where(F.col("city") == C.CITY).select(F.col("id").alias("business_id")))),
         "rating_matrix": _on_tables(_matrix),
@@ -255,9 +357,17 @@ def queries() -> dict[str, Query]:
         "alike_pair_corr": _alike(lambda pairs: V.pair_corr(V.pair_cross(pairs))),
         "sentiment": _sentiment,
         "sentiment_by_stars": _sentiment_by_stars,
+        "sentiment_tokens": _sentiment_tokens,
         "momentum": _on_tables(lambda t: momentum(t.review)),
-        "business_documents": _on_tables(_business_documents),
-        "user_documents": _on_tables(_user_documents),
+        "business_documents": _on_tables(D.business_documents),
+        "user_documents": _on_tables(
+            lambda t: D.user_documents(t, reviews=True, tips=True)),
+        "review_by_id": _on_tables(_reviews_by_id),
+        "row_by_key": _on_tables(_by_key),
+        "csv_round_trip": _csv_round_trip,
+        "appended_rows": _appended,
+        "review_texts": _on_tables(lambda t: as_text(t.review)),
+        "dates_from_millis": _dates,
         "reviewed_businesses": _on_tables(D.reviewed_businesses),
         "business_records": _on_tables(lambda t: records(
             t.business.select("id", "name", "city", "stars", "review_count"), keep=("id",))),

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from checks.views import BASE_TABLES, VIEWS
 from reviewgraph.sources.tables import Tables
 
-_staged: dict[tuple[str, str], Tables] = {}
-
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -26,9 +24,5 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The review tables, written once per session and folder, like the loaded tables of a
-    database."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _staged:
-        _staged[key] = derive(spark, sf_dir).staged()
-    return _staged[key]
+    """The review tables as they are in the folder now, nothing kept from earlier calls."""
+    return derive(spark, sf_dir)

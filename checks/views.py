@@ -6,7 +6,8 @@ consecutive orders (and customers a supplier delivered to), so that their number
 orders and not with the square of a group.
 """
 
-BASE_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "documents", "labels")
+BASE_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "documents", "labels",
+               "conversations")
 
 VIEWS = {
     "review": """

@@ -7,24 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARES of all rows, so there are never more
-# than HOT_SHARES hot keys: that table can always be broadcast, whatever the data size.
-HOT_SHARES = 2_000
-HOT_MIN_ROWS = 20_000
-SALT_SLICES = 64
-
-
-def _partial_limit(df: DataFrame) -> int:
-    """Largest k for which Spark cuts groups to k rows before it shuffles them."""
-    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+# About how many rows one slice of a key may make in a join.
+SLICE_ROWS = 1_000_000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
                 position: str | None = None) -> DataFrame:
-    """First ``k`` rows per key. For groups of bounded size, or for small ``k``.
+    """First ``k`` rows per key.
 
-    With a small ``k`` Spark limits every group inside the map tasks, so a hot key sends only
-    ``k`` rows per task through the shuffle.
+    Up to the session's group limit, Spark cuts every group to ``k`` rows inside the map tasks,
+    so that a hot key sends only ``k`` rows per task through the shuffle.
     """
     name = position or "_position"
     w = Window.partitionBy(*by).orderBy(*order)
@@ -32,70 +25,66 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: in
     return ranked if position else ranked.drop(name)
 
 
-def cap_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
-    """First ``cap`` rows per key where most keys have fewer.
+def cap_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column],
+             cap: int | None) -> DataFrame:
+    """First ``cap`` rows per key where most keys have fewer; all of them without a cap.
 
     A limit inside the map tasks would sort all rows once more and drop next to none, so the
     condition is written in a way that does not ask for it.
     """
+    if cap is None:
+        return df
     position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("_position", position).where(
         F.lit(cap) - F.col("_position") >= 0).drop("_position")
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spread: str,
-          slices: int = SALT_SLICES) -> DataFrame:
-    """First ``k`` rows per key, for keys of any size.
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
+    """First ``k`` rows per key, for keys of any size; all rows without a ``k``.
 
-    Where ``k`` is too large for Spark's own map-side limit, each key is first cut to ``k``
-    rows in each of ``slices`` parts (by the hash of column ``spread``) and the survivors are
-    ranked once more. No row of the true top ``k`` can be lost in the first cut.
+    Raises the session's group limit where it is below ``k``, so that hot keys are cut inside
+    the map tasks.
     """
-    if k > _partial_limit(df):
-        salted = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
-        df = rank_within(salted, [*by, "_slice"], order, k).drop("_slice")
+    if k is None:
+        return df
+    session = df.sparkSession
+    if k > int(session.conf.get(GROUP_LIMIT, "1000")):
+        session.conf.set(GROUP_LIMIT, str(k))
     return rank_within(df, by, order, k)
 
 
-def place_bit(position: Column) -> Column:
-    """A bit of its own for each of up to 62 positions, to remember which ones met.
+def clip(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int,
+         inclusive: bool = True) -> DataFrame:
+    """The first rows per key with their ``position`` from 1 on.
 
-    Bits are merged with ``bit_or`` in an ordinary hash aggregation, where lists would be kept
-    as objects.
+    ``limit`` counts from 0 and names the last row, kept if ``inclusive``.
     """
-    return F.when(position > 62, F.raise_error(F.lit("more than 62 positions per key"))).otherwise(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int")))
-
-
-def has_bit(bits: Column, bit: Column) -> Column:
-    return bits.bitwiseAND(bit) != 0
-
-
-def clip(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """Keep ``limit + 1`` rows per key: the limit names the last position that is kept."""
-    return rank_within(df, by, order, limit + 1)
+    return rank_within(df, by, order, limit + 1 if inclusive else limit, "position")
 
 
-def spread_join(many: DataFrame, bounded: DataFrame, key: str, spread: str,
-                min_rows: int = HOT_MIN_ROWS, shares: int = HOT_SHARES) -> DataFrame:
-    """Inner join on ``key`` where ``bounded`` has a bounded number of rows per key.
+def spread_join(many: DataFrame, matched: DataFrame, key: str, spread: str,
+                per_key: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Inner join on ``key`` in which no task has to expand a hot key.
 
-    Keys that are hot on the ``many`` side are cut into slices by the hash of ``spread`` and
-    the few rows of ``bounded`` for these keys are repeated once per slice, so that no single
-    task has to expand a hot key.
+    A key makes as many rows as its rows on both sides multiplied (``per_key`` bounds the side
+    of ``matched``; without it they are counted). Keys with more than ``slice_rows`` are cut into
+    slices by the hash of ``spread``, and their rows of ``matched`` are repeated for each slice.
+    The number of slices follows the rows that come out, so a slice stays as large at any size.
     """
-    sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    share = sizes.agg(F.greatest(F.lit(float(min_rows)),
-                                 F.coalesce(F.sum("_rows"), F.lit(0)) / shares).alias("_share"))
-    hot = (sizes.where(F.col("_rows") > share.scalar())
-           .select(key, F.ceil(F.col("_rows") / share.scalar()).alias("_slices")))
-    hot = F.broadcast(hot)
+    made = many.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    if per_key is None:
+        each = matched.groupBy(key).agg(F.count(F.lit(1)).alias("_each"))
+        made = made.join(each, key)
+    else:
+        made = made.withColumn("_each", F.lit(per_key))
+    hot = (made.withColumn("_slices", F.ceil(F.col("_rows") * F.col("_each") / slice_rows))
+           .where(F.col("_slices") > 1).select(key, "_slices"))
+    first = F.lit(0).cast("bigint")
     left = (many.join(hot, key, "left")
-            .withColumn("_slice", F.coalesce(
-                F.pmod(F.xxhash64(spread), F.col("_slices")), F.lit(0).cast("bigint")))
+            .withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_slices")), first))
             .drop("_slices"))
-    right = (bounded.join(hot, key, "left")
+    right = (matched.join(hot, key, "left")
              .withColumn("_slice", F.explode(F.sequence(
-                 F.lit(0).cast("bigint"), F.coalesce(F.col("_slices") - 1, F.lit(0).cast("bigint")))))
+                 first, F.coalesce(F.col("_slices") - 1, first))))
              .drop("_slices"))
     return left.join(right, [key, "_slice"]).drop("_slice")

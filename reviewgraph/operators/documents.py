@@ -1,23 +1,21 @@
-"""Nested documents of businesses and users.
+"""Nested documents of businesses and users, as records.
 
-Children whose number per parent is bounded by their key (attributes, categories, hours,
-check-ins) are nested in full. Reviews and tips are not bounded: a parent with more than
-``page_rows`` of them gets several rows, numbered by ``page``. Page 0 holds the parent's own
-fields and its first share of children, the further pages only more children.
+A document is its parent's record and one record for each child, all under the parent's id: the
+same layout at any size, whether a parent has one review or a third of all of them. Readers that
+want one nested value can gather a parent's records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewgraph.sources.export import as_text, records
 from reviewgraph.sources.schemas import COMPLIMENTS
 from reviewgraph.sources.tables import Tables
 
-PAGE_ROWS = 1000
-
 # Fields of the nested documents.
 BUSINESS_FIELDS = ("name", "neighborhood", "address", "city", "state", "postal_code", "latitude",
                    "longitude", "stars", "review_count", "is_open")
@@ -28,80 +26,46 @@ REVIEW_FIELDS = ("id", "stars", "date", "text", "useful", "funny", "cool", "busi
 TIP_FIELDS = ("business_id", "user_id", "text", "date", "likes")
 
 
-def _spread_value(columns: Sequence[str]) -> Column:
-    """A number from the row's key that spreads rows evenly over pages."""
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
-def _paged(children: DataFrame, parent: str, key: Sequence[str], fields: Sequence[str],
-           name: str, page_rows: int) -> DataFrame:
-    """``parent, page, <name>``: children in arrays of about ``page_rows`` entries."""
-    long = (children.groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > page_rows)
-            .select(parent, F.ceil(F.col("n") / page_rows).alias("pages")))
-    page = F.coalesce(F.pmod(_spread_value(key), F.col("pages")), F.lit(0).cast("bigint"))
-    return (children.join(long, parent, "left").withColumn("page", page)
-            .groupBy(F.col(parent).alias("id"), "page")
-            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)))
-
-
-def _nested(children: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
-    return (children.groupBy(F.col("business_id").alias("id"))
-            .agg(F.array_sort(F.collect_set(F.struct(*fields))).alias(name)))
-
-
-def _document(parent: DataFrame, fields: Sequence[str], bounded: list[DataFrame],
-              paged: list[tuple[str, DataFrame]]) -> DataFrame:
-    doc = parent.select("id", *[f for f in fields if f in parent.columns])
-    nested = []
-    for child in bounded:
-        nested.append(child.columns[-1])
-        doc = doc.join(child, "id", "left")
-    doc = doc.withColumn("page", F.lit(0).cast("bigint"))
-    rest = None
-    for name, child in paged:
-        doc = doc.join(child.where("page = 0").drop("page"), "id", "left")
-        nested.append(name)
-        more = child.where("page > 0")
-        rest = more if rest is None else rest.unionByName(more, allowMissingColumns=True)
-    own = [c for c in doc.columns if c not in ("id", "page", *nested)]
-    if rest is not None:
-        doc = doc.unionByName(rest, allowMissingColumns=True)
-    # a missing list is an empty one
-    return doc.select("id", "page", *own, *[
-        F.coalesce(F.col(n), F.array().cast(doc.schema[n].dataType)).alias(n) for n in nested])
+def _part(rows: DataFrame, parent: str, kind: str, fields: Sequence[str]) -> DataFrame:
+    """``id, kind, record``: the fields that are there as one JSON object of texts."""
+    present = [f for f in fields if f in rows.columns]
+    texts = as_text(rows.select(F.col(parent).alias("_parent"), *present))
+    return records(texts, keep=("_parent",), fields=present).select(
+        F.col("_parent").alias("id"), F.lit(kind).alias("kind"), "record")
+
+
+def _of_parents(parents: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Children whose parent is there."""
+    return rows.join(parents.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def business_documents(t: Tables, reviews: bool = True, attributes: bool = True,
-                       hours: bool = False, checkins: bool = False, categories: bool = True,
-                       page_rows: int = PAGE_ROWS) -> DataFrame:
-    bounded = []
-    if attributes:
-        bounded.append(_nested(t.attribute, ("name", "value"), "attributes"))
-    if hours:
-        bounded.append(_nested(t.hours, ("hours",), "hours"))
-    if checkins:
-        bounded.append(_nested(t.checkin, ("date", "count"), "checkins"))
-    if categories:
-        bounded.append(_nested(t.category, ("category",), "categories"))
-    paged = []
-    if reviews:
-        paged.append(("reviews", _paged(t.review, "business_id", ("id",), REVIEW_FIELDS,
-                                        "reviews", page_rows)))
-    return _document(t.business, BUSINESS_FIELDS, bounded, paged)
-
-
-def user_documents(t: Tables, reviews: bool = False, tips: bool = False,
-                   page_rows: int = PAGE_ROWS) -> DataFrame:
-    paged = []
-    if reviews:
-        paged.append(("reviews", _paged(t.review, "user_id", ("id",), REVIEW_FIELDS, "reviews",
-                                        page_rows)))
-    if tips:
-        paged.append(("tips", _paged(t.tip, "user_id", ("business_id", "date"), TIP_FIELDS,
-                                     "tips", page_rows)))
-    return _document(t.users, USER_FIELDS, [], paged)
+                       hours: bool = False, checkins: bool = False,
+                       categories: bool = True) -> DataFrame:
+    """``id, kind, record`` of every business and its chosen children."""
+    chosen = [("attribute", t.attribute, ("name", "value"), attributes),
+              ("hours", t.hours, ("hours",), hours),
+              ("checkin", t.checkin, ("date", "count"), checkins),
+              ("category", t.category, ("category",), categories),
+              ("review", t.review, REVIEW_FIELDS, reviews)]
+    return _union([_part(t.business, "id", "business", BUSINESS_FIELDS)] + [
+        _part(_of_parents(t.business, rows, "business_id"), "business_id", kind, fields)
+        for kind, rows, fields, wanted in chosen if wanted])
+
+
+def user_documents(t: Tables, reviews: bool = False, tips: bool = False) -> DataFrame:
+    """``id, kind, record`` of every user and their chosen children."""
+    chosen = [("review", t.review, REVIEW_FIELDS, reviews), ("tip", t.tip, TIP_FIELDS, tips)]
+    return _union([_part(t.users, "id", "user", USER_FIELDS)] + [
+        _part(_of_parents(t.users, rows, "user_id"), "user_id", kind, fields)
+        for kind, rows, fields, wanted in chosen if wanted])
 
 
 def review_by_id(t: Tables, user_id: str, review_id: str) -> DataFrame:

@@ -98,31 +98,42 @@ def comparison_topk(compared: DataFrame, selected: DataFrame, k: int = COMPARED)
 
     ``selected`` holds ``seed_id, selected_id``.
     """
-    wanted = selected.select("seed_id", "selected_id").distinct()
-    chosen = wanted.join(compared.select(
-        "seed_id", F.col("id").alias("selected_id"), F.col("position").alias("own_position"),
-        F.struct("id", "name", "score").alias("own")), ["seed_id", "selected_id"], "left")
-    below = F.coalesce(F.col("own_position") > k, F.lit(False))
-    return (chosen.join(compared.where(F.col("position") <= k), "seed_id")
-            .withColumn("shown", F.when(below & (F.col("position") == k), F.col("own"))
-                        .otherwise(F.struct("id", "name", "score")))
-            .select("seed_id", "selected_id", "position", "shown.*"))
+    node = F.struct("position", "id", "name", "score")
+    # One row per seed with its whole comparison: few rows, as a graph is of bounded size.
+    lists = compared.groupBy("seed_id").agg(F.array_sort(F.collect_list(node)).alias("all"))
+    wanted = selected.select("seed_id", "selected_id").distinct().join(lists, "seed_id")
+    own = F.get(F.filter("all", lambda x: (x["id"] == F.col("selected_id"))
+                         & (x["position"] > k)), F.lit(0))
+    shown = F.transform(F.filter("all", lambda x: x["position"] <= k), lambda x: F.when(
+        F.col("own").isNotNull() & (x["position"] == k),
+        F.struct(x["position"].alias("position"), F.col("own.id").alias("id"),
+                 F.col("own.name").alias("name"), F.col("own.score").alias("score")))
+        .otherwise(x))
+    return (wanted.withColumn("own", own).select("seed_id", "selected_id",
+                                                 F.explode(shown).alias("shown"))
+            .select("seed_id", "selected_id", "shown.*"))
 
 
 def path_to_root(links: DataFrame, selected: DataFrame) -> DataFrame:
     """All links on a path from the selected node back to its seed.
 
     ``selected`` holds ``seed_id, selected_id, order``: a user and a restaurant may carry the
-    same id, so the order tells which node is meant. The walk takes one join per order.
+    same id, so the order tells which node is meant. A graph is of bounded size: each seed's
+    links travel as one list, and the walk happens inside the row, without a join per order.
     """
-    reached = (selected.select("seed_id", "selected_id", "order").distinct()
-               .withColumn("target", F.col("selected_id")))
-    path = None
-    for src_order in (2, 1, 0):
-        step = (reached.where(F.col("order") == src_order + 1).drop("order")
-                .join(links.where(F.col("src_order") == src_order), ["seed_id", "target"]))
-        path = step if path is None else path.unionByName(step)
-        sources = step.select("seed_id", "selected_id", F.col("source").alias("target"),
-                              F.lit(src_order).alias("order")).distinct()
-        reached = reached.where(F.col("order") <= src_order).unionByName(sources).distinct()
-    return path.select("seed_id", "selected_id", "source", "target", "src_order", "score")
+    link = F.struct("src_order", "source", "target", "score")
+    lists = links.groupBy("seed_id").agg(F.collect_list(link).alias("links"))
+    rows = (selected.select("seed_id", "selected_id", "order").distinct().join(lists, "seed_id")
+            .withColumn("ends", F.array("selected_id")))
+    none = F.array().cast(lists.schema["links"].dataType)
+    for k in (2, 1, 0):
+        # the walk begins at the node's own order
+        walks = F.col("order") > k
+        step = F.filter("links", lambda x: (x["src_order"] == F.lit(k))  # noqa: B023
+                        & F.array_contains(F.col("ends"), x["target"]))
+        rows = rows.withColumn(f"step{k}", F.when(walks, step).otherwise(none))
+        sources = F.array_distinct(F.transform(f"step{k}", lambda x: x["source"]))
+        rows = rows.withColumn("ends", F.when(walks, sources).otherwise(F.col("ends")))
+    return (rows.select("seed_id", "selected_id",
+                        F.explode(F.concat("step2", "step1", "step0")).alias("x"))
+            .select("seed_id", "selected_id", "x.source", "x.target", "x.src_order", "x.score"))

@@ -15,8 +15,7 @@ from reviewgraph.functions.ranking import top_k
 from reviewgraph.operators.reduction import RESTAURANTS, with_category
 from reviewgraph.sources.tables import Tables
 
-# Items followed per seed, and reviewers per business in an edge sample.
-FOLLOWED = 100
+# Fixed value: reviewers per business in an edge sample.
 SAMPLED = 10
 
 
@@ -29,12 +28,13 @@ def attribute_competitors(t: Tables, seeds: DataFrame,
     """
     own = (seeds.select("seed_id").distinct()
            .join(t.business.select(F.col("id").alias("seed_id"), "postal_code"), "seed_id"))
-    places = (t.business.withColumnRenamed("id", "business_id")
-              .join(with_category(t), "business_id", "left_semi").join(own, "postal_code"))
+    # By zip code first: few businesses are left when their categories are looked up.
+    places = (t.business.withColumnRenamed("id", "business_id").join(own, "postal_code")
+              .join(with_category(t), "business_id", "left_semi"))
     labels = t.category
     if isinstance(categories, DataFrame):
-        wanted = labels.join(categories.select("seed_id", "category").distinct(), "category")
-        matched = places.join(wanted, ["business_id", "seed_id"])
+        wanted = categories.select("seed_id", "category").distinct()
+        matched = places.join(labels, "business_id").join(wanted, ["seed_id", "category"])
     else:
         matched = places.join(labels.where(F.col("category").isin(list(categories))),
                               "business_id")
@@ -56,7 +56,8 @@ def new_prospects(t: Tables, competitors: DataFrame) -> DataFrame:
     ratings = t.review.select("user_id", "business_id")
     theirs = (ratings.join(competitors.select("seed_id", "business_id"), "business_id")
               .select("seed_id", "user_id").distinct())
-    mine = ratings.withColumnRenamed("business_id", "seed_id")
+    mine = ratings.withColumnRenamed("business_id", "seed_id").join(
+        competitors.select("seed_id").distinct(), "seed_id", "left_semi")
     names = t.users.select(F.col("id").alias("user_id"), "name")
     return theirs.join(mine, ["seed_id", "user_id"], "left_anti").join(names, "user_id").select(
         "seed_id", "user_id", "name")
@@ -73,14 +74,17 @@ def _step(t: Tables, reached: DataFrame, via: str, other: str) -> DataFrame:
             .select("seed_id", other).distinct())
 
 
-def third_order_users(t: Tables, seeds: DataFrame, followed: int = FOLLOWED) -> DataFrame:
+def third_order_users(t: Tables, seeds: DataFrame, followed: int | None = None) -> DataFrame:
     """Reviewers of the items that a seed business's reviewers reviewed.
 
-    The first ``followed`` items of each seed by id are followed.
+    With ``followed`` only each seed's top items are followed: those that most of its reviewers
+    reviewed, then by id.
     """
-    items = _step(t, _first_order(t, seeds, "business_id", "user_id"), "user_id", "business_id")
-    items = top_k(items, ["seed_id"], [F.asc("business_id")], followed, spread="business_id")
-    return _step(t, items, "business_id", "user_id")
+    reviewers = _first_order(t, seeds, "business_id", "user_id")
+    reached = (t.review.select("user_id", "business_id").distinct().join(reviewers, "user_id")
+               .groupBy("seed_id", "business_id").agg(F.count(F.lit(1)).alias("shared")))
+    items = top_k(reached, ["seed_id"], [F.desc("shared"), F.asc("business_id")], followed)
+    return _step(t, items.select("seed_id", "business_id"), "business_id", "user_id")
 
 
 def third_order_businesses(t: Tables, seeds: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def edge_sample(t: Tables, businesses: DataFrame | None = None, k: int = SAMPLED
     if businesses is not None:
         edges = edges.join(businesses.select("business_id").distinct(), "business_id",
                            "left_semi")
-    kept = top_k(edges, ["business_id"], [F.asc("user_id")], k, spread="user_id")
+    kept = top_k(edges, ["business_id"], [F.asc("user_id")], k)
     names = t.users.select(F.col("id").alias("user_id"), "name")
     return kept.join(names, "user_id").select("business_id", "user_id", "name")
 
@@ -125,11 +129,11 @@ def _co_rated(t: Tables, seeds: DataFrame, seed: str, via: str) -> DataFrame:
 def _ranked(rows: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
     counted = rows.groupBy("seed_id", key).agg(F.count(F.lit(1)).alias("shared"))
     return (counted.join(names.select(F.col("id").alias(key), F.col("name").alias(name)), key)
-            .select("seed_id", key, name, "shared"))
+            .select("seed_id", key, name, "shared").orderBy("seed_id", F.desc("shared"), key))
 
 
 def co_reviewers(t: Tables, seeds: DataFrame) -> DataFrame:
-    """Everyone who reviewed a seed user's restaurants, with the number of shared ones."""
+    """Everyone who reviewed a seed user's restaurants, most shared ones first."""
     return _ranked(_co_rated(t, seeds, "user_id", "business_id"), "user_id", t.users, "user")
 
 
@@ -140,7 +144,7 @@ def same_rating_users(t: Tables, seeds: DataFrame) -> DataFrame:
 
 
 def co_reviewed(t: Tables, seeds: DataFrame) -> DataFrame:
-    """Restaurants reviewed by a seed business's reviewers, with the number of shared ones."""
+    """Restaurants reviewed by a seed business's reviewers, most shared ones first."""
     return _ranked(_co_rated(t, seeds, "business_id", "user_id"), "business_id", t.business,
                    "restaurant")
 
@@ -152,12 +156,13 @@ def same_rating_restaurants(t: Tables, seeds: DataFrame) -> DataFrame:
 
 
 def review_counts(t: Tables, businesses: DataFrame | None = None) -> DataFrame:
-    """Number of reviews of each chosen business (column ``business_id``)."""
+    """Number of reviews of each chosen business (column ``business_id``), most first."""
     reviews = t.review.select("business_id", "user_id")
     if businesses is not None:
         reviews = reviews.join(businesses.select("business_id").distinct(), "business_id",
                                "left_semi")
-    return reviews.groupBy("business_id").agg(F.count("user_id").alias("reviews"))
+    return (reviews.groupBy("business_id").agg(F.count("user_id").alias("reviews"))
+            .orderBy(F.desc("reviews"), "business_id"))
 
 
 def busiest(ratings: DataFrame, key: str, n: int = 1) -> DataFrame:

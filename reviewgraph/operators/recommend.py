@@ -2,8 +2,8 @@
 
 Both rate items by the look-alikes' ratings, weighted with their similarity. As for the
 look-alikes, the per-seed cap on rows makes an exact cut per look-alike possible: of one
-look-alike's ratings only the first ``cap`` plus the at most ``FIRST_ORDER`` excluded ones can
-reach any seed's result.
+look-alike's ratings only the first ``considered_rows`` plus the at most ``first_order`` excluded
+ones can reach any seed's result. Where either number is None, nothing is cut there.
 """
 
 from __future__ import annotations
@@ -11,19 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewgraph.functions.ranking import (
-    cap_rows,
-    clip,
-    has_bit,
-    place_bit,
-    spread_join,
-    top_k,
-)
+from reviewgraph.functions.ranking import cap_rows, clip, spread_join, top_k
 from reviewgraph.functions.scoring import SINGLE_VOTE_WEIGHT, exact_sum, r2
 from reviewgraph.operators.similarity import FIRST_ORDER
 from reviewgraph.sources.tables import Tables
 
-# Nodes kept per seed and rating rows considered per seed.
+# Fixed values, the defaults: nodes kept per seed and rating rows considered per seed.
 RECOMMENDATION_LIMIT = 30
 PROSPECT_LIMIT = 30
 RECOMMENDATION_ROWS = 2000
@@ -34,45 +27,51 @@ USER_AVERAGE = "User's Average Rating"
 
 
 def _third_order(like: DataFrame, ratings: DataFrame, side: DataFrame, side_key: str, via: str,
-                 item: str, score: str, weight: Column, cap: int, limit: int, everyone: bool) -> DataFrame:
+                 item: str, score: str, weight: Column, cap: int | None, limit: int,
+                 inclusive: bool, exclude: str, first_order: int | None, few: bool) -> DataFrame:
     """Rated items of each seed's look-alikes with contribution and relevancy.
 
     ``ratings`` holds ``via, item, rating``. ``side`` adds ``avg_rating`` and the ``weight``
     column that decides which rows stay when a seed has more than ``cap`` of them.
     """
+    if exclude not in ("first_order", "all_reviewed"):
+        raise ValueError("exclude is 'first_order' or 'all_reviewed'")
     rated = ratings.join(side, side_key)
-    # The first-order items, already known to the seed: few per seed, so they travel with its
-    # look-alikes and the known items drop out before the large shuffle by seed.
-    known = like.groupBy("seed_id").agg(F.collect_set(item).alias("known"))
     mine = like.select("seed_id", via, score).distinct()
-    position = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc(score), via))
-    mine = mine.withColumn("place", place_bit(position))
     order = [weight, F.asc(item)]
-    if not everyone:
+    if few:
         rated = rated.join(mine.select(via).distinct(), via, "left_semi")
-    rated = top_k(rated, [via], order, cap + FIRST_ORDER, spread=item)
-    walking = mine.join(known, "seed_id")
-    joined = (spread_join(walking, rated, via, spread="seed_id") if everyone
-              else walking.join(rated, via))
-    unknown = joined.where(~F.array_contains("known", F.col(item))).drop("known")
+    if exclude == "all_reviewed":
+        # What a seed has reviewed is not bounded: no cut beforehand, and no lists.
+        walking, per_via = mine, None
+        known = ratings.select(F.col(via).alias("seed_id"), item).join(
+            mine.select("seed_id").distinct(), "seed_id", "left_semi")
+    else:
+        # The first-order items, few per seed, travel with its look-alikes, so that known items
+        # drop out before the large shuffle by seed.
+        walking = mine.join(like.groupBy("seed_id").agg(F.collect_set(item).alias("known")),
+                            "seed_id")
+        per_via = None if cap is None or first_order is None else cap + first_order
+    rated = top_k(rated, [via], order, per_via)
+    joined = spread_join(walking, rated, via, spread="seed_id", per_key=per_via)
+    if exclude == "all_reviewed":
+        unknown = joined.join(known, ["seed_id", item], "left_anti")
+    else:
+        unknown = joined.where(~F.array_contains("known", F.col(item))).drop("known")
     rows = cap_rows(unknown, ["seed_id"], [*order, F.asc(via)], cap).withColumn(
         "contribution", r2(F.col("rating") * F.col(score)))
     found = rows.groupBy("seed_id", item).agg(
         F.count(F.lit(1)).alias("votes"), F.max("avg_rating").alias("avg_rating"),
         exact_sum(F.col(score)).alias("sum_score"),
         exact_sum(F.col("contribution")).alias("sum_contribution"),
-        F.bit_or("place").alias("places"))
+        F.collect_list(F.struct(via, "rating", score, "contribution")).alias("voted"))
     several = F.try_divide(F.col("sum_contribution"), F.col("sum_score"))
     single = ((F.col("avg_rating") * SINGLE_VOTE_WEIGHT + F.col("sum_contribution"))
               / (F.col("sum_score") + SINGLE_VOTE_WEIGHT))
     found = found.withColumn("relevancy", r2(F.when(F.col("votes") > 1, several).otherwise(single)))
-    kept = clip(found, ["seed_id"], [F.desc("relevancy"), F.desc(item)], limit)
-    # the votes behind the kept items: who, from the collected bits, and then the rating itself
-    voted = kept.join(mine, "seed_id").where(has_bit(F.col("places"), F.col("place")))
-    return (voted.join(ratings, [via, item])
-            .select("seed_id", item, "avg_rating", via, "rating", score,
-                    r2(F.col("rating") * F.col(score)).alias("contribution"), "votes",
-                    "relevancy"))
+    kept = clip(found, ["seed_id"], [F.desc("relevancy"), F.desc(item)], limit, inclusive)
+    return (kept.withColumn("vote", F.explode("voted"))
+            .select("seed_id", item, "avg_rating", "vote.*", "votes", "relevancy", "position"))
 
 
 def _ratings(t: Tables) -> DataFrame:
@@ -81,41 +80,53 @@ def _ratings(t: Tables) -> DataFrame:
 
 
 def recommended_restaurants(t: Tables, like_users: DataFrame,
-                            limit: int = RECOMMENDATION_LIMIT, everyone: bool = True) -> DataFrame:
+                            limit: int = RECOMMENDATION_LIMIT, inclusive: bool = True,
+                            exclude: str = "first_order",
+                            considered_rows: int | None = RECOMMENDATION_ROWS,
+                            first_order: int | None = FIRST_ORDER,
+                            few: bool = False) -> DataFrame:
     """Restaurants rated by each seed's like-minded users, one row per (seed, restaurant, user).
 
-    Set ``everyone=False`` when ``like_users`` covers only a few seeds.
+    Left out are the first-order restaurants in ``like_users`` (``first_order`` tells how many a
+    seed has there at most), or with ``exclude="all_reviewed"`` all that the seed has reviewed.
+    ``considered_rows`` bounds the ratings per seed, None: no bound. ``few`` has the ratings cut to
+    the look-alikes first; it changes the plan, never the rows.
     """
     places = t.business.select(F.col("id").alias("restaurant_id"), "name",
                                F.col("stars").alias("avg_rating"))
     rows = _third_order(like_users, _ratings(t), places.drop("name"), "restaurant_id",
                         via="user_id", item="restaurant_id", score="lmu_score",
-                        weight=F.desc("avg_rating"), cap=RECOMMENDATION_ROWS, limit=limit,
-                        everyone=everyone)
+                        weight=F.desc("avg_rating"), cap=considered_rows, limit=limit,
+                        inclusive=inclusive, exclude=exclude, first_order=first_order, few=few)
     users = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user"))
     return (rows.join(places.select("restaurant_id", F.col("name").alias("restaurant")),
                       "restaurant_id").join(users, "user_id")
             .select("seed_id", "restaurant", "restaurant_id", "avg_rating", "user", "user_id",
                     F.col("rating").alias("lmu_rating"), "lmu_score", "contribution",
-                    "relevancy"))
+                    "relevancy", "position"))
 
 
 def customer_prospects(t: Tables, like_restaurants: DataFrame, limit: int = PROSPECT_LIMIT,
-                       everyone: bool = True) -> DataFrame:
-    """Users who rated each seed's competitors, one row per (seed, user, competitor)."""
+                       inclusive: bool = True, exclude: str = "first_order",
+                       considered_rows: int | None = PROSPECT_ROWS,
+                       first_order: int | None = FIRST_ORDER, few: bool = False) -> DataFrame:
+    """Users who rated each seed's competitors, one row per (seed, user, competitor).
+
+    The arguments are those of :func:`recommended_restaurants`.
+    """
     people = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user"),
                             F.col("average_stars").alias("avg_rating"),
                             F.col("useful").alias("usefulness"))
     rows = _third_order(like_restaurants, _ratings(t), people.drop("user"), "user_id",
                         via="restaurant_id", item="user_id", score="compete_score",
-                        weight=F.desc("usefulness"), cap=PROSPECT_ROWS, limit=limit,
-                        everyone=everyone)
+                        weight=F.desc("usefulness"), cap=considered_rows, limit=limit,
+                        inclusive=inclusive, exclude=exclude, first_order=first_order, few=few)
     places = t.business.select(F.col("id").alias("restaurant_id"),
                                F.col("name").alias("restaurant"))
     return (rows.join(people.select("user_id", "user"), "user_id").join(places, "restaurant_id")
             .select("seed_id", "user", "user_id", "avg_rating", "restaurant", "restaurant_id",
                     F.col("rating").alias("user_rating"), "compete_score", "contribution",
-                    F.col("votes").alias("reviewed"), "relevancy"))
+                    F.col("votes").alias("reviewed"), "relevancy", "position"))
 
 
 def _relevance(rows: DataFrame, item: str, who: str, rating: str, score: str, caption: str,

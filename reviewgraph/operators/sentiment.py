@@ -9,11 +9,15 @@ from reviewgraph.operators.validation import quartiles
 
 # Fixed value: the constant that maps an unbounded valence sum into (-1, 1).
 COMPOUND_ALPHA = 15
-WORD_BREAK = r"[^\p{L}]+"
+# What a token is, by default: a run of letters. TOKENS also finds words with apostrophes or
+# hyphens and emoticons, for lexicons that list them.
+LETTERS = r"\p{L}+"
+TOKENS = r"\p{L}+(?:['’-]\p{L}+)*|[:;=8][-o*']?[()\[\]dDpP/:}{@|]|[()\[\]dDpP/:}{@|][-o*']?[:;=8]"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+def words(text: Column, token: str = LETTERS) -> Column:
+    """The tokens of a text in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({token})"), F.lit(1))
 
 
 def _rounded(x: Column, digits: int) -> Column:
@@ -21,17 +25,17 @@ def _rounded(x: Column, digits: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit
 
 
-def sentiment(reviews: DataFrame, lexicon: DataFrame, key: str = "id",
-              text: str = "text") -> DataFrame:
+def sentiment(reviews: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text",
+              token: str = LETTERS) -> DataFrame:
     """Share of negative, neutral and positive weight and the compound score of every text.
 
-    ``lexicon`` has ``word`` and ``valence``. A positive word weighs its valence plus one, a
+    ``lexicon`` has ``word`` (in lower case) and ``valence``, ``token`` is the pattern of a word. A positive word weighs its valence plus one, a
     negative word its size plus one, any other word one. A lexicon of usual size is broadcast
     by Spark, so the words never leave the task that split them and each text crosses the
     network as one row of partial sums; with a larger one Spark joins on the word instead.
     """
     valences = lexicon.select("word", F.col("valence").cast("decimal(10,4)").alias("valence"))
-    split = reviews.select(key, F.explode_outer(words(F.col(text))).alias("word"))
+    split = reviews.select(key, F.explode_outer(words(F.col(text), token)).alias("word"))
     found = split.join(valences, "word", "left")
     v = F.col("valence")
     zero = F.lit(0).cast("decimal(10,4)")

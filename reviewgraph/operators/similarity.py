@@ -2,10 +2,11 @@
 
 Both sides walk the same path: a seed's first-order items, the other raters of these items,
 a score per (seed, rater) and a clip per seed. Work per seed is bounded before anything is
-multiplied: a seed has at most ``FIRST_ORDER`` items, and of the raters of one item only the
-first ``cap + 1`` can ever be among the seed's best ``cap`` candidates, so each item is cut to
-that many raters once. The result is the same as ranking all co-ratings, without building
-them.
+multiplied: a seed has at most ``first_order`` items, and of the raters of one item only the
+first ``candidate_rows + 1`` can ever be among the seed's best ``candidate_rows`` candidates, so
+each item is cut to that many raters once. The result is the same as ranking all co-ratings,
+without building them. Either number can be None: then nothing is cut there, and a join in slices
+carries whatever the data make.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from reviewgraph.functions.ranking import (
     cap_rows,
     clip,
-    has_bit,
-    place_bit,
     rank_within,
     spread_join,
     top_k,
@@ -38,10 +37,10 @@ from reviewgraph.functions.scoring import (
     share_score,
     whole,
 )
-from reviewgraph.operators.profiles import with_influence
+from reviewgraph.operators.profiles import votes, with_influence
 from reviewgraph.sources.tables import Tables
 
-# Nodes per order and candidate rows per seed.
+# Fixed values, the defaults: nodes per order and candidate rows per seed.
 FIRST_ORDER = 10
 LIKE_LIMIT = 20
 LIKE_NODES = 10
@@ -57,37 +56,40 @@ RESTAURANT_SIMILARITY = ("shared_val", "shared_score", "overlap_val", "overlap_s
                          "zip_val", "zip_score", "compete_score")
 
 
-def _first_order(ratings: DataFrame, seed: str, item: str, order: Sequence[Column],
-                 seeds: DataFrame | None) -> DataFrame:
-    """``seed_id, item, sel_rating, place``: at most FIRST_ORDER items per seed, each marked
-    with a bit of its own."""
+def _first_order(ratings: DataFrame, seed: str, item: str, value: str, by: str,
+                 n: int | None, seeds: DataFrame | None) -> DataFrame:
+    """``seed_id, item, sel_rating``: the ``n`` items of each seed with the lowest or highest
+    ``value``."""
+    if by not in ("lowest", "highest"):
+        raise ValueError("first_order_by is 'lowest' or 'highest'")
     if seeds is not None:
         ratings = ratings.join(seeds.select(F.col("seed_id").alias(seed)).distinct(), seed,
                                "left_semi")
-    return (rank_within(ratings, [seed], order, FIRST_ORDER, "position")
-            .select(F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating"),
-                    place_bit(F.col("position")).alias("place")))
+    order = [F.asc(value) if by == "lowest" else F.desc(value), F.asc(item)]
+    return top_k(ratings, [seed], order, n).select(
+        F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating"))
 
 
 def _candidates(first: DataFrame, raters: DataFrame, item: str, rater: str,
-                per_item_order: Sequence[Column], order: Sequence[Column], cap: int,
-                extra: Callable[[], list[Column]], everyone: bool) -> DataFrame:
-    """One row per (seed, rater): shared items and rating agreement over the capped rows."""
-    raters = top_k(raters, [item], per_item_order, cap + 1, spread=rater)
-    joined = (spread_join(first, raters, item, spread="seed_id") if everyone
-              else first.join(raters, item))
+                per_item_order: Sequence[Column], order: Sequence[Column], cap: int | None,
+                extra: Callable[[], list[Column]]) -> DataFrame:
+    """One row per (seed, rater): the shared items and the agreement over the capped rows."""
+    per_item = None if cap is None else cap + 1
+    raters = top_k(raters, [item], per_item_order, per_item)
+    joined = spread_join(first, raters, item, spread="seed_id", per_key=per_item)
     rows = cap_rows(joined.where(F.col(rater) != F.col("seed_id")), ["seed_id"], order, cap)
     agreed = rows.withColumn("low", least_of(F.col("stars"), F.col("sel_rating"))).withColumn(
         "high", greatest_of(F.col("stars"), F.col("sel_rating")))
     return agreed.groupBy("seed_id", rater).agg(
         F.count(F.lit(1)).alias("shared_val"), F.sum("low").alias("sum_low"),
-        F.sum("high").alias("sum_high"), F.bit_or("place").alias("places"), *extra())
+        F.sum("high").alias("sum_high"),
+        F.collect_list(F.struct(item, "sel_rating")).alias("shared"), *extra())
 
 
-def _unfold(scored: DataFrame, first: DataFrame) -> DataFrame:
-    """One row per shared first-order item, found by the bits collected in ``places``."""
-    return (scored.join(first, "seed_id").where(has_bit(F.col("places"), F.col("place")))
-            .drop("places", "place"))
+def _unfold(scored: DataFrame) -> DataFrame:
+    """One row per shared first-order item."""
+    return scored.withColumn("_item", F.explode("shared")).select("*", "_item.*").drop(
+        "shared", "_item")
 
 
 def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -95,28 +97,36 @@ def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
             t.business.select(F.col("id").alias("business_id"), F.col("name").alias("restaurant")))
 
 
-def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT) -> DataFrame:
+def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
+               inclusive: bool = True, first_order: int | None = FIRST_ORDER,
+               first_order_by: str = "lowest",
+               candidate_rows: int | None = USER_CANDIDATES) -> DataFrame:
     """Like-minded users of every seed user, one row per (seed, user, shared restaurant).
 
-    ``seeds`` is a frame with ``seed_id``; without it every user is a seed.
+    ``position`` ranks a seed's users, best first.
+
+    ``seeds`` is a frame with ``seed_id``; without it every user is a seed. A seed's look-alikes
+    rated one of its ``first_order`` restaurants with the lowest (or highest) stars; of their
+    ratings the first ``candidate_rows`` by the rater's votes count. None for either: no cut.
     """
     ratings = t.ratings()
-    people = with_influence(t)
-    first = _first_order(ratings, "user_id", "business_id",
-                         [F.asc("stars"), F.asc("business_id")], seeds)
-    raters = ratings
+    first = _first_order(ratings, "user_id", "business_id", "stars", first_order_by, first_order,
+                         seeds)
+    raters = ratings.select("business_id", "user_id", "stars")
     if seeds is not None:
         raters = raters.join(first.select("business_id").distinct(), "business_id", "left_semi")
-    raters = (raters.select("business_id", "user_id", "stars")
-              .join(people.select("user_id", "total_reviews", "influence_val",
-                                  F.col("review_likes").alias("votes")), "user_id"))
+    raters = raters.join(t.users.select(F.col("id").alias("user_id"), votes().alias("votes")),
+                         "user_id")
     scored = _candidates(
         first, raters, "business_id", "user_id",
         per_item_order=[F.desc("votes"), F.asc("user_id")],
-        order=[F.desc("votes"), F.asc("user_id"), F.asc("business_id")], cap=USER_CANDIDATES,
-        extra=lambda: [F.max("total_reviews").alias("total_reviews"),
-                       F.max("influence_val").alias("influence_val")],
-        everyone=seeds is None)
+        order=[F.desc("votes"), F.asc("user_id"), F.asc("business_id")], cap=candidate_rows,
+        extra=list)
+    # Friends are counted only for those who are left.
+    ids = None if seeds is None else scored.select(F.explode(F.array("user_id", "seed_id")).alias(
+        "seed_id")).distinct()
+    people = with_influence(t, ids)
+    scored = scored.join(people.select("user_id", "total_reviews", "influence_val"), "user_id")
 
     own = people.select(F.col("user_id").alias("seed_id"),
                         F.col("total_reviews").alias("sel_reviews"),
@@ -136,18 +146,24 @@ def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMI
     }).withColumn("lmu_score", r2(
         F.col("overlap_score") + F.col("rate_sim_score") + F.col("shared_score")
         + F.col("influence_score") + F.col("influ_sim_score")))
-    kept = clip(scored, ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")], limit)
+    kept = clip(scored, ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")], limit, inclusive)
     users, business = _names(t)
-    return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
+    return (_unfold(kept).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "restaurant", F.col("business_id").alias("restaurant_id"), "user",
-                    "user_id", "sel_rating", *USER_SIMILARITY))
+                    "user_id", "sel_rating", *USER_SIMILARITY, "position"))
 
 
-def like_restaurants(t: Tables, seeds: DataFrame | None = None,
-                     limit: int = LIKE_LIMIT) -> DataFrame:
-    """Direct competitors of every seed restaurant, one row per (seed, restaurant, customer)."""
+def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
+                     inclusive: bool = True, first_order: int | None = FIRST_ORDER,
+                     first_order_by: str = "lowest",
+                     candidate_rows: int | None = RESTAURANT_CANDIDATES) -> DataFrame:
+    """Direct competitors of every seed restaurant, one row per (seed, restaurant, customer).
+
+    First-order customers are those of the seed's reviews with the lowest (or highest)
+    usefulness; the arguments are those of :func:`like_users`.
+    """
     ratings = t.ratings()
-    first = _first_order(ratings, "business_id", "user_id", [F.asc("useful"), F.asc("user_id")],
+    first = _first_order(ratings, "business_id", "user_id", "useful", first_order_by, first_order,
                          seeds)
     rated = ratings.select("user_id", "business_id", "stars")
     if seeds is not None:
@@ -159,7 +175,7 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None,
         first, rated, "user_id", "business_id",
         per_item_order=[F.desc("stars"), F.asc("business_id")],
         order=[F.desc("stars"), F.asc("business_id"), F.asc("user_id")],
-        cap=RESTAURANT_CANDIDATES, extra=list, everyone=seeds is None)
+        cap=candidate_rows, extra=list)
 
     own = places.select(F.col("business_id").alias("seed_id"), F.col("zip").alias("sel_zip"),
                         F.col("reviews").alias("sel_reviews"))
@@ -179,12 +195,13 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None,
     }).withColumn("compete_score", r2(
         F.col("rate_sim_score") + F.col("shared_score") + F.col("overlap_score")
         + F.col("review_sim_score") + F.col("zip_score")))
-    kept = clip(scored, ["seed_id"], [F.desc("compete_score"), F.desc("business_id")], limit)
+    kept = clip(scored, ["seed_id"], [F.desc("compete_score"), F.desc("business_id")], limit,
+                inclusive)
     users, business = _names(t)
-    return (_unfold(kept, first).join(users, "user_id").join(business, "business_id")
+    return (_unfold(kept).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "user", "user_id", "restaurant",
                     F.col("business_id").alias("restaurant_id"), "sel_rating",
-                    *RESTAURANT_SIMILARITY))
+                    *RESTAURANT_SIMILARITY, "position"))
 
 
 def like_nodes(like: DataFrame, id_: str, name: str, score: str, k: int = LIKE_NODES) -> DataFrame:

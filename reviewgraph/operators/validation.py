@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewgraph.functions.ranking import top_k
+from reviewgraph.functions.ranking import spread_join, top_k
 from reviewgraph.sources.tables import Tables
 
 COMPARED_RESTAURANTS = 10
@@ -37,8 +37,7 @@ def rating_matrix(t: Tables, seeds: DataFrame, k: int = COMPARED_RESTAURANTS) ->
                  .join(seeds.select("seed_id").distinct(), "seed_id", "left_semi"))
     theirs = ratings.join(reviewers, "user_id")
     counted = theirs.groupBy("seed_id", "rest_id").agg(F.count(F.lit(1)).alias("reviewers"))
-    chosen = top_k(counted, ["seed_id"], [F.desc("reviewers"), F.asc("rest_id")], k,
-                   spread="rest_id").select("seed_id", "rest_id")
+    chosen = top_k(counted, ["seed_id"], [F.desc("reviewers"), F.asc("rest_id")], k).select("seed_id", "rest_id")
     names = t.business.select(F.col("id").alias("rest_id"), F.col("name").alias("restaurant"))
     return (theirs.join(chosen, ["seed_id", "rest_id"]).join(names, "rest_id")
             .select("seed_id", "restaurant", "rest_id", "user_id", "rating"))
@@ -98,24 +97,31 @@ def pair_cross_classes(matrix: DataFrame) -> DataFrame:
 
 
 def user_pairs(t: Tables, like_users: DataFrame) -> DataFrame:
-    """Every pair of look-alikes at every restaurant that made them look alike.
+    """Every pair of look-alikes at every restaurant that both have rated.
 
-    Columns ``user_pair, restaurant, rest_id, rating_match``, one row per pair and restaurant.
+    Columns ``user_pair, restaurant, rest_id, rating_match``, one row per pair and restaurant. A
+    user has a bounded number of look-alikes, so rows grow with the ratings.
     """
-    ratings = t.ratings().select("user_id", F.col("business_id").alias("restaurant_id"),
-                                 F.col("stars").alias("rating"))
-    return (like_users.join(ratings, ["user_id", "restaurant_id"])
-            .select(pair_key(F.col("seed_id"), F.col("user_id")).alias("user_pair"),
-                    "restaurant", F.col("restaurant_id").alias("rest_id"),
-                    rating_match(F.col("sel_rating"), F.col("rating")).alias("rating_match"))
-            .distinct())
+    def rated(side: str) -> DataFrame:
+        return t.ratings().select(F.col("user_id").alias(side),
+                                  F.col("business_id").alias("rest_id"),
+                                  F.col("stars").alias(f"rating_{side}"))
+
+    pairs = like_users.select(F.least("seed_id", "user_id").alias("one"),
+                              F.greatest("seed_id", "user_id").alias("two")).distinct()
+    names = t.business.select(F.col("id").alias("rest_id"), F.col("name").alias("restaurant"))
+    return (spread_join(rated("one"), pairs, "one", spread="rest_id")
+            .join(rated("two"), ["two", "rest_id"]).join(names, "rest_id")
+            .select(pair_key(F.col("one"), F.col("two")).alias("user_pair"), "restaurant",
+                    "rest_id",
+                    rating_match(F.col("rating_one"), F.col("rating_two")).alias("rating_match")))
 
 
 def pair_cross(pairs: DataFrame) -> DataFrame:
     """Two restaurants of one user pair side by side, each combination once.
 
-    Meant for listed pairs of look-alikes, which share at most as many restaurants as a seed
-    has first-order ones.
+    The list of combinations is the result itself; for their statistics alone use
+    :func:`pair_cross_classes`, which does not list them.
     """
     shared = pairs.groupBy("user_pair").agg(F.array_sort(F.collect_list(
         F.struct("rest_id", "restaurant", "rating_match"))).alias("shared"))

@@ -55,20 +55,23 @@ class NodeDetail(NamedTuple):
     like_nodes: DataFrame
 
 
-def explore_user(t: Tables, seeds: DataFrame | None = None) -> Exploration:
-    everyone = seeds is None
-    t = t.prepared() if everyone else t
-    like = staged(like_users(t, seeds), "like_users")
-    third = staged(recommended_restaurants(t, like, everyone=everyone), "recommended")
+def explore_user(t: Tables, seeds: DataFrame | None = None,
+                 folder: str | None = None) -> Exploration:
+    """Runs: the look-alikes and recommendations are written to ``folder`` (default: the shared
+    one, until it is released)."""
+    t = t.prepared() if seeds is None else t
+    like = staged(like_users(t, seeds), "like_users", folder)
+    third = staged(recommended_restaurants(t, like, few=seeds is not None), "recommended", folder)
     return Exploration(user_profile(t, seeds), like, third, user_graph(t.users, like, third),
                        like_user_nodes(like))
 
 
-def explore_restaurant(t: Tables, seeds: DataFrame | None = None) -> Exploration:
-    everyone = seeds is None
-    t = t.prepared() if everyone else t
-    like = staged(like_restaurants(t, seeds), "like_restaurants")
-    third = staged(customer_prospects(t, like, everyone=everyone), "prospects")
+def explore_restaurant(t: Tables, seeds: DataFrame | None = None,
+                       folder: str | None = None) -> Exploration:
+    """As :func:`explore_user`, for restaurants."""
+    t = t.prepared() if seeds is None else t
+    like = staged(like_restaurants(t, seeds), "like_restaurants", folder)
+    third = staged(customer_prospects(t, like, few=seeds is not None), "prospects", folder)
     return Exploration(restaurant_profile(t, seeds), like, third,
                        restaurant_graph(t.business, like, third), like_restaurant_nodes(like))
 

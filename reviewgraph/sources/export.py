@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,9 +17,11 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexis
     df.write.csv(path, header=True, sep=sep, encoding="utf-8", mode=mode)
 
 
-def records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row as one JSON object in column ``record``; ``keep`` names columns to keep."""
-    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+def records(df: DataFrame, keep: Sequence[str] = (),
+            fields: Sequence[str] = ("*",)) -> DataFrame:
+    """Every row's fields as one JSON object in column ``record``; ``keep`` names columns to keep.
+    """
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     return df.select(*keep, body.alias("record"))
 
 

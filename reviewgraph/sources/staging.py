@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+# Settings that name a folder which driver and executors share, the first one that is set counts.
+SHARED = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Only a session in local mode, where driver and executors are one process, falls back to
-    a folder of its own. A cluster without the setting gets ``None``.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="reviewgraph-")
-    return _local_roots[context.applicationId]
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder below the shared one."""
+    roots = (spark.conf.get(name, None) for name in SHARED)
+    root = next(r for r in roots if r)
+    return f"{root.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table below ``folder`` (default: the shared one) and read it back.
 
     Readers of the result prune columns and push filters into the files, and losing executors
-    does not cause the steps before it to run again. Without a shared folder the frame is
-    persisted instead and keeps its lineage.
+    does not cause the steps before it to run again. :func:`release` deletes the shared ones.
     """
-    root = shared_folder(df.sparkSession)
-    if root is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = (folder or shared_folder(df.sparkSession)).rstrip("/")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session has staged in the shared folder; staged frames end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

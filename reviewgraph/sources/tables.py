@@ -8,7 +8,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewgraph.sources.schemas import TABLES
+from reviewgraph.functions.ranking import top_k
+from reviewgraph.sources.schemas import KEYS, TABLES
 from reviewgraph.sources.staging import staged
 
 
@@ -53,34 +54,43 @@ class Tables:
     def ratings(self) -> DataFrame:
         """``user_id, business_id, stars, useful``: the latest review of every pair.
 
-        The text never enters the joins of the scoring operators.
+        Reviews by users or of businesses that are not there are left out, as in a join with
+        both. The text never enters the joins of the scoring operators.
         """
         if self.edges is not None:
             return self.edges
-        thin = self.review.select("user_id", "business_id", "stars", "useful", "date", "id").where(
-            F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
-        if self.one_review_per_pair:
-            return thin.drop("date", "id")
-        latest = F.max_by(F.struct("stars", "useful"), F.struct("date", "id"))
-        return (thin.groupBy("user_id", "business_id").agg(latest.alias("latest"))
-                .select("user_id", "business_id", "latest.stars", "latest.useful"))
-
-    def staged(self, *names: str) -> Tables:
-        """Write the named tables (default: all) to the shared folder and use those copies."""
+        thin = self.review.select("user_id", "business_id", "stars", "useful", "date", "id")
+        thin = (thin.join(self.users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+                .join(self.business.select(F.col("id").alias("business_id")), "business_id",
+                      "left_semi"))
+        if not self.one_review_per_pair:
+            thin = top_k(thin, ["user_id", "business_id"], [F.desc("date"), F.desc("id")], 1)
+        return thin.select("user_id", "business_id", "stars", "useful")
+
+    def staged(self, *names: str, folder: str | None = None) -> Tables:
+        """Write the named tables (default: all) to a folder and use those copies."""
         chosen = names or tuple(self.present())
-        return replace(self, **{name: staged(getattr(self, name), name) for name in chosen})
+        return replace(self, **{name: staged(getattr(self, name), name, folder)
+                                for name in chosen})
 
     def register(self, prefix: str = "") -> None:
         """Make every table available to ``spark.sql`` under its name."""
         for name, df in self.present().items():
             df.createOrReplaceTempView(prefix + name)
 
-    def get(self, table: str, id_: str) -> DataFrame:
-        """The row with this primary key."""
-        return getattr(self, table).where(F.col("id") == F.lit(id_))
-
-    def first(self, table: str, order: str = "id") -> DataFrame:
-        return getattr(self, table).orderBy(order).limit(1)
+    def get(self, table: str, *key: object) -> DataFrame:
+        """The row with this primary key, its values in the order of the table's key columns."""
+        columns = KEYS[table]
+        if len(key) != len(columns):
+            raise ValueError(f"the key of {table} is {columns}")
+        rows = getattr(self, table)
+        for column, value in zip(columns, key):
+            rows = rows.where(F.col(column) == F.lit(value))
+        return rows
+
+    def first(self, table: str) -> DataFrame:
+        """The row with the smallest primary key."""
+        return getattr(self, table).orderBy(*KEYS[table]).limit(1)
 
 
 # The tables that remain after a reduction to one city.

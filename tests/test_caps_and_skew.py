@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewgraph.functions import ranking
 from reviewgraph.operators import recommend as R
 from reviewgraph.operators import similarity as S
+from reviewgraph.operators import validation as V
 from tests import toy
 
 
@@ -40,16 +42,12 @@ def t(spark, data):
 
 
 @pytest.fixture
-def small_caps(monkeypatch):
-    """Caps that bind on the small data, and slicing for keys with more than three rows."""
-    for module, name, value in ((S, "USER_CANDIDATES", 12), (S, "RESTAURANT_CANDIDATES", 9),
-                                (S, "FIRST_ORDER", 3), (R, "FIRST_ORDER", 3),
-                                (R, "RECOMMENDATION_ROWS", 8), (R, "PROSPECT_ROWS", 7)):
-        monkeypatch.setattr(module, name, value)
-    sliced = functools.partial(ranking.spread_join, min_rows=3, shares=1000)
+def small_slices(monkeypatch):
+    """Slicing for keys that make more than three rows."""
+    sliced = functools.partial(ranking.spread_join, slice_rows=3)
     monkeypatch.setattr(S, "spread_join", sliced)
     monkeypatch.setattr(R, "spread_join", sliced)
-    monkeypatch.setattr(ranking, "_partial_limit", lambda df: 1)
+    monkeypatch.setattr(V, "spread_join", sliced)
 
 
 def influence(data, user):
@@ -108,47 +106,143 @@ def plain_third(data, like, cap, limit):
     return result
 
 
-def test_like_users_and_recommendations_under_binding_caps(data, t, small_caps):
-    like = S.like_users(t, limit=4)
-    got = {(r.seed_id, r.user_id, r.restaurant_id): (r.sel_rating, r.shared_val, r.lmu_score)
-           for r in like.collect()}
-    want = plain_like_users(data, cap=12, first_order=3, limit=4)
-    assert got == want
-    third = R.recommended_restaurants(t, like, limit=2)
-    got = {(r.seed_id, r.restaurant_id, r.user_id): (r.lmu_rating, r.contribution, r.relevancy)
-           for r in third.collect()}
-    assert got == plain_third(data, want, cap=8, limit=2)
+def like_rows(like):
+    return {(r.seed_id, r.user_id, r.restaurant_id): (r.sel_rating, r.shared_val, r.lmu_score)
+            for r in like.collect()}
 
 
-def test_few_seeds_give_the_same_under_binding_caps(spark, t, small_caps):
-    everyone = S.like_restaurants(t, limit=4)
-    some = S.like_restaurants(t, toy.seeds(spark, "B0", "B3"), limit=4)
+def third_rows(third):
+    return {(r.seed_id, r.restaurant_id, r.user_id): (r.lmu_rating, r.contribution, r.relevancy)
+            for r in third.collect()}
+
+
+@pytest.mark.parametrize("cap, first_order, rows, limit", [
+    (12, 3, 8, 4), (None, 3, None, 4), (12, None, 8, 2), (None, None, None, 100)])
+def test_like_users_and_recommendations_under_any_caps(data, t, small_slices, cap, first_order,
+                                                       rows, limit):
+    like = S.like_users(t, limit=limit, first_order=first_order, candidate_rows=cap)
+    want = plain_like_users(data, cap, first_order, limit)
+    assert like_rows(like) == want
+    third = R.recommended_restaurants(t, like, limit=2, considered_rows=rows,
+                                      first_order=first_order)
+    assert third_rows(third) == plain_third(data, want, cap=rows, limit=2)
+
+
+def test_limits_are_inclusive_or_not(t):
+    def most(rows):
+        return rows.groupBy("seed_id").agg(F.countDistinct("user_id").alias("n")).agg(
+            F.max("n")).first()[0]
+
+    assert most(S.like_users(t, limit=4)) == 5
+    assert most(S.like_users(t, limit=4, inclusive=False)) == 4
+    ranks = S.like_users(t, limit=4).select("seed_id", "user_id", "position").distinct()
+    assert ranks.count() == ranks.select("seed_id", "position").distinct().count()
+
+
+def test_highest_first_order(spark):
+    t = toy.tables(spark)
+    low = S.like_users(t, toy.seeds(spark, "U1"), first_order=1)
+    high = S.like_users(t, toy.seeds(spark, "U1"), first_order=1, first_order_by="highest")
+    assert {r.restaurant_id for r in low.collect()} == {"R2"}
+    assert {r.restaurant_id for r in high.collect()} == {"R3"}
+    with pytest.raises(ValueError):
+        S.like_users(t, first_order_by="best")
+
+
+def test_excluding_all_reviewed(data, t, small_slices):
+    reviewed = {(u, b) for u, b, *_ in data[0]}
+    like = S.like_users(t, limit=4, first_order=2)
+    some = R.recommended_restaurants(t, like, first_order=2)
+    new = R.recommended_restaurants(t, like, exclude="all_reviewed")
+    assert any((r.seed_id, r.restaurant_id) in reviewed for r in some.collect())
+    assert not any((r.seed_id, r.restaurant_id) in reviewed for r in new.collect())
+    places = S.like_restaurants(t, limit=4, first_order=2)
+    people = R.customer_prospects(t, places, exclude="all_reviewed")
+    assert people.count() and not any(
+        (r.user_id, r.seed_id) in reviewed for r in people.collect())
+
+
+def test_few_seeds_give_the_same(spark, t, small_slices):
+    caps = {"limit": 4, "first_order": 3, "candidate_rows": 9}
+    everyone = S.like_restaurants(t, **caps)
+    some = S.like_restaurants(t, toy.seeds(spark, "B0", "B3"), **caps)
     assert toy.rows(everyone.where("seed_id in ('B0', 'B3')")) == toy.rows(some)
-    all_p = R.customer_prospects(t, everyone, limit=3)
-    some_p = R.customer_prospects(t, some, limit=3, everyone=False)
+    caps = {"limit": 3, "first_order": 3, "considered_rows": 7}
+    all_p = R.customer_prospects(t, everyone, **caps)
+    some_p = R.customer_prospects(t, some, few=True, **caps)
     assert toy.rows(all_p.where("seed_id in ('B0', 'B3')")) == toy.rows(some_p)
-    kept = some.groupBy("seed_id").agg(F.countDistinct("restaurant_id").alias("n"))
-    assert all(r.n <= 5 for r in kept.collect())
 
 
-def test_top_k_with_slices_is_exact(spark, monkeypatch):
+def test_pairs_of_look_alikes_at_all_common_restaurants(data, t, small_slices):
+    like = S.like_users(t, limit=4, first_order=2)
+    stars = {(u, b): s for u, b, s, _ in data[0]}
+    want = set()
+    for one, two in {tuple(sorted((r.seed_id, r.user_id))) for r in like.collect()}:
+        for b in {b for u, b in stars if u == one} & {b for u, b in stars if u == two}:
+            x, y = sorted((stars[one, b], stars[two, b]))
+            want.add((f"{one}+++{two}", b, round(x / y, 4)))
+    got = [(r.user_pair, r.rest_id, r.rating_match) for r in V.user_pairs(t, like).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_top_k_of_any_size_is_exact(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id % 11) AS key", "id",
                                       "pmod(id * 7919, 1009) AS weight")
     order = [F.desc("weight"), F.asc("id")]
-    want = toy.rows(ranking.rank_within(df, ["key"], order, 40))
-    monkeypatch.setattr(ranking, "_partial_limit", lambda df: 10)
-    assert toy.rows(ranking.top_k(df, ["key"], order, 40, spread="id", slices=7)) == want
+    for k in (40, 1500):
+        want = {key: sorted(own, key=lambda r: (-r.weight, r.id))[:k]
+                for key, own in _by_key(df.collect()).items()}
+        got = _by_key(ranking.top_k(df, ["key"], order, k).collect())
+        assert {x: sorted(y) for x, y in got.items()} == {x: sorted(y) for x, y in want.items()}
+    assert ranking.top_k(df, ["key"], order, None).count() == 5000
+    assert int(spark.conf.get(ranking.GROUP_LIMIT)) >= 1500
+
 
+def _by_key(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.key, []).append(r)
+    return out
 
-def test_spread_join_equals_a_plain_join(spark):
+
+@pytest.mark.parametrize("per_key", [None, 2])
+def test_spread_join_equals_a_plain_join(spark, per_key):
     many = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 40)) AS key", "id")
     bounded = spark.sql("""SELECT key, x FROM (SELECT explode(array_append(transform(
         sequence(0, 39), i -> concat('k', i)), 'hot')) AS key) LATERAL VIEW explode(array(1, 2)) AS x""")
-    joined = ranking.spread_join(many, bounded, "key", spread="id", min_rows=50, shares=100)
+    joined = ranking.spread_join(many, bounded, "key", spread="id", per_key=per_key, slice_rows=100)
     assert toy.rows(joined.select("key", "id", "x")) == toy.rows(
         many.join(bounded, "key").select("key", "id", "x"))
 
 
+def test_a_hot_key_makes_bounded_rows_per_task(spark):
+    """A third of the rows share a key; no task makes more than a few slices' rows."""
+    many = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS key", "id")
+    matched = spark.range(50).selectExpr("'hot' AS key", "id AS x")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
+                "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = ranking.spread_join(many, matched, "key", spread="id", slice_rows=2_000)
+        made = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(made) == 150_000 and max(made) <= 15_000
+
+
+def test_dangling_reviews_do_not_count(spark):
+    ghosts = [("G", "R1", 5, 0), ("G", "R2", 5, 0), ("U0", "LOST", 1, 0), ("U1", "LOST", 1, 0)]
+    t, clean = toy.tables(spark, toy.REVIEWS + ghosts), toy.tables(spark)
+    for one in (False, True):
+        t = replace(t, one_review_per_pair=one)
+        for operator in (S.like_users, S.like_restaurants):
+            assert toy.rows(operator(t)) == toy.rows(operator(clean))
+
+
 def test_one_review_per_pair_keeps_the_latest(spark):
     t = toy.tables(spark)
     again = t.review.where("id = 'U0-R1'").selectExpr(

@@ -14,7 +14,7 @@ from reviewgraph.operators import profiles as P
 from reviewgraph.operators import validation as V
 from reviewgraph.operators.momentum import momentum
 from reviewgraph.operators.search import full_list, search
-from reviewgraph.operators.sentiment import sentiment, sentiment_by_stars
+from reviewgraph.operators.sentiment import TOKENS, sentiment, sentiment_by_stars, words
 from reviewgraph.sources import schemas
 from reviewgraph.sources.export import as_text, read_csv, records, write_csv
 from tests import toy
@@ -149,46 +149,77 @@ def test_momentum(spark):
         ("Q", 1, 4.0, 4.0), ("R", 1, 1.0, 2.25), ("R", 2, 3.5, 3.5)]
 
 
+def documents(df):
+    """``{id: {kind: [record, ...]}}``"""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.id, {}).setdefault(r.kind, []).append(json.loads(r.record))
+    return out
+
+
 def test_business_documents(spark, t):
     full = t.with_tables(
-        hours=spark.createDataFrame([("Mon 9-17", "R1")], schemas.HOURS),
+        hours=spark.createDataFrame([("Mon 9-17", "R1"), ("Sun 1-2", "LOST")], schemas.HOURS),
         checkin=spark.createDataFrame([("R1", "Fri-9", 2)], schemas.CHECKIN))
-    docs = {r.id: r for r in D.business_documents(full, hours=True, checkins=True).collect()}
-    assert len(docs) == 5
-    assert [x.id for x in docs["R1"].reviews] == ["U0-R1", "U1-R1", "U2-R1"]
-    assert [(a.name, a.value) for a in docs["R1"].attributes] == [
+    docs = documents(D.business_documents(full, hours=True, checkins=True))
+    assert sorted(docs) == ["R1", "R2", "R3", "R4", "R5"]
+    one = docs["R1"]
+    assert sorted(x["id"] for x in one["review"]) == ["U0-R1", "U1-R1", "U2-R1"]
+    assert {x["id"]: x["text"] for x in one["review"]}["U0-R1"] == "text U0 R1"
+    assert sorted((a["name"], a["value"]) for a in one["attribute"]) == [
         ("Alcohol", "1"), ("Parking", "0"), ("WiFi", "1")]
-    assert docs["R1"].hours[0].hours == "Mon 9-17" and docs["R1"].checkins[0]["count"] == 2
-    assert docs["R4"].categories == [] and docs["R4"].checkins == []
-    text = records(D.business_documents(full, hours=True), keep=("id",))
-    parsed = {r.id: json.loads(r.record) for r in text.collect()}
-    assert parsed["R1"]["reviews"][0]["text"] == "text U0 R1" and parsed["R1"]["page"] == 0
+    assert one["hours"] == [{"hours": "Mon 9-17"}]
+    assert one["checkin"] == [{"date": "Fri-9", "count": "2"}]
+    assert one["business"][0]["name"] == "R1" and one["business"][0]["latitude"] is None
+    assert "category" not in docs["R4"] and "checkin" not in docs["R4"]
+    assert {k for d in documents(D.business_documents(full, reviews=False)).values() for k in d} \
+        == {"business", "attribute", "category"}
 
 
-def test_long_documents_come_in_pages(spark, t):
-    reviews = [(f"U{n}", "R1", 3, 0) for n in range(200)] + [("U0", "R2", 1, 0)]
+def test_documents_have_one_layout_at_any_size(spark, t):
+    reviews = [(f"U{n}", "R1", 3, 0) for n in range(3000)] + [("U0", "R2", 1, 0)]
     many = t.with_tables(review=toy.review(spark, reviews))
-    docs = D.business_documents(many, page_rows=20).collect()
-    first = [r for r in docs if r.id == "R1"]
-    assert sorted(r.page for r in first) == list(range(10))
-    assert all(len(r.reviews) < 45 for r in first)
-    assert sorted(x.id for r in first for x in r.reviews) == sorted(f"U{n}-R1" for n in range(200))
-    assert {r.page: r.name for r in first}[0] == "R1" and all(
-        r.name is None and r.categories == [] for r in first if r.page)
-    assert len(docs) == 14
+    docs = documents(D.business_documents(many))
+    assert len(docs["R1"]["business"]) == len(docs["R2"]["business"]) == 1
+    assert {x["id"] for x in docs["R1"]["review"]} == {f"U{n}-R1" for n in range(3000)}
+    assert len(docs["R2"]["review"]) == 1
 
 
 def test_user_documents(spark, t):
     tips = spark.createDataFrame([("R4", "U1", "go", toy.DAY, 1)], schemas.TIP)
-    docs = {r.id: r for r in D.user_documents(t.with_tables(tip=tips), reviews=True, tips=True).collect()}
-    assert [x.id for x in docs["U1"].reviews] == ["U1-R1", "U1-R2", "U1-R3"]
-    assert docs["U1"].tips[0].text == "go" and docs["U0"].tips == []
-    assert "reviews" not in D.user_documents(t).columns
+    docs = documents(D.user_documents(t.with_tables(tip=tips), reviews=True, tips=True))
+    assert sorted(x["id"] for x in docs["U1"]["review"]) == ["U1-R1", "U1-R2", "U1-R3"]
+    assert docs["U1"]["tip"][0]["text"] == "go" and "tip" not in docs["U0"]
+    assert {k for d in documents(D.user_documents(t)).values() for k in d} == {"user"}
     assert D.review_by_id(t, "U1", "U1-R2").count() == 1
     assert D.review_by_id(t, "U0", "U1-R2").count() == 0
     assert D.reviewed_businesses(t).where("user_id = 'U1'").count() == 3
 
 
+def test_rows_by_key(t):
+    assert t.get("users", "U1").first().id == "U1"
+    assert t.get("category", "R2", "Food").count() == 1
+    assert tuple(t.first("category").first()) == ("R1", "Pizza")
+    with pytest.raises(ValueError):
+        t.get("category", "R2")
+
+
+def test_tokens_with_apostrophes_and_emoticons(spark):
+    rows = spark.createDataFrame([("Isn't it well-made? :-) no :(",)], "text string")
+    got = [r[0] for r in rows.select(words(rows.text, TOKENS)).collect()]
+    assert got == [["isn't", "it", "well-made", ":-)", "no", ":("]]
+    assert rows.select(words(rows.text)).first()[0] == ["isn", "t", "it", "well", "made", "no"]
+
+
+def test_staged_tables_are_shared_and_released(spark):
+    from reviewgraph.sources import staging
+
+    folder = staging.shared_folder(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+    kept = staging.staged(spark.range(3), "kept")
+    assert folder in kept.inputFiles()[0] and kept.count() == 3
+
+
 def test_search(spark):
     rows = [("1", "Pasta Bar", "x"), ("2", "pasta%", "y"), ("3", "The Pasta", "z"), ("4", "PASTA", None)]
     df = spark.createDataFrame(rows, "id string, name string, address string")
