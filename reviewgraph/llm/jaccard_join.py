@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,11 @@ from reviewgraph.llm.store import one_text_per_id, stored
 SLICE_BYTES = 2_000_000
 # Sizes fall into classes that grow by this factor.
 CLASS_GROWTH = 5 / 3
+LARGEST_CLASS = 40
+# One piece in so many is more than a pair can differ in.
+SPARE = 4
+# Keys are made and counted in so many parts, one after another, which bounds the room they take.
+KEY_PARTS = 2
 # Members that stream past one copy of a pivot, and undecided points that one task holds.
 SLICE_MEMBERS = 2_000
 SLICE_OTHERS = 256
@@ -82,7 +87,7 @@ class Classes:
 
     def pieces(self, c: int) -> int:
         t = self.differing(c)
-        return t + 1 + t // 4
+        return t + 1 + t // SPARE
 
     def of(self, n: int) -> list[int]:
         """The own class, and the next if a similar set can be in it."""
@@ -109,67 +114,92 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in texts]
 
 
-POINTS = "doc_id long, n int, d1 long, d2 long, keys array<struct<need:int,keys:array<long>>>"
+POINTS = "doc_id long, n int, d1 long, d2 long"
+KEYS = "doc_id long, class int, keys array<long>"
 
 
-def points(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, the size and digest of its set, and its keys by class (doc_id, text given).
-
-    need is how many keys of the class come first in the order of keys.
-    """
+def _sets(docs: DataFrame, size: int, schema: str,
+          told: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """What is told of the ids and shingle sets of documents (doc_id, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(percent)
         for batch in batches:
             texts = _encoded(batch.column(1).to_pylist())
             done = 0
             for part in slices(batch, [len(x) for x in texts], SLICE_BYTES):
-                n, d1, d2, outer, inner, need, flat = [], [], [], [0], [0], [], []
-                for h in shingle_sets(texts[done:done + part.num_rows], size):
-                    a, b = digest(h)
-                    n.append(len(h))
-                    d1.append(a)
-                    d2.append(b)
-                    for c in classes.of(len(h)) if len(h) else []:
-                        keys = piece_keys(h, c, classes.pieces(c))
-                        need.append(classes.differing(c) + 1)
-                        flat.append(keys)
-                        inner.append(inner[-1] + len(keys))
-                    outer.append(len(need))
+                yield told(part.column(0),
+                           list(shingle_sets(texts[done:done + part.num_rows], size)))
                 done += part.num_rows
-                keys = pa.ListArray.from_arrays(
-                    pa.array(inner, pa.int32()),
-                    pa.array(np.concatenate([*flat, np.empty(0, np.int64)]), pa.int64()))
-                by_class = pa.StructArray.from_arrays(
-                    [pa.array(need, pa.int32()), keys], ["need", "keys"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()),
-                     pa.array(d2, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(outer, pa.int32()), by_class)],
-                    names=["doc_id", "n", "d1", "d2", "keys"])
 
-    return docs.mapInArrow(run, POINTS)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def points(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, and the size and digest of its set."""
+    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        digests = [digest(h) for h in sets]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array([len(h) for h in sets], pa.int32()),
+             pa.array([d[0] for d in digests], pa.int64()),
+             pa.array([d[1] for d in digests], pa.int64())], names=["doc_id", "n", "d1", "d2"])
+
+    return _sets(docs, size, POINTS, told)
+
+
+def piece_rows(docs: DataFrame, size: int, percent: int, part: int, parts: int) -> DataFrame:
+    """doc_id, class and key: a part of the keys of each document in each of its classes."""
+    def told(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        classes = Classes(percent)
+        at, of, ends, flat = [], [], [0], []
+        for i, h in enumerate(sets):
+            for c in classes.of(len(h)) if len(h) else []:
+                keys = piece_keys(h, c, classes.pieces(c))
+                keys = keys[keys % parts == part]
+                at.append(i)
+                of.append(c)
+                ends.append(ends[-1] + len(keys))
+                flat.append(keys)
+        keys = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()),
+            pa.array(np.concatenate([*flat, np.empty(0, np.int64)]), pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(at, pa.int64())), pa.array(of, pa.int32()), keys],
+            names=["doc_id", "class", "keys"])
+
+    return _sets(docs, size, KEYS, told).select("doc_id", "class", F.explode("keys").alias("key"))
+
+
+def _shared_keys(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of points (first) whose key stands in other rows too.
+
+    Keys are made twice rather than kept: they take much room, and most are found once.
+    """
+    repeated = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
+    return stored(rows.join(repeated, "key", "left_semi")
+                  .join(first.select("doc_id"), "doc_id", "left_semi"))
 
 
-def neighbourhoods(found: DataFrame, first: DataFrame) -> DataFrame:
+def neighbourhoods(docs: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id and own of each point's first keys in the order of keys.
 
     own counts the pieces that no other point shares. first has the points to join.
     """
-    rows = (found.select("doc_id", "d1", F.explode("keys").alias("c"))
-            .select("doc_id", "d1", F.col("c.need").alias("need"),
-                    F.size("c.keys").alias("pieces"), F.explode("c.keys").alias("key")))
-    counts = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("d1").alias("low"),
-                                      F.max("d1").alias("high"))
-              .where(F.col("low") != F.col("high")).select("key", "df"))
-    common = (rows.drop("d1").join(counts, "key")
-              .join(first.select("doc_id"), "doc_id", "left_semi"))
-    own_class = W.partitionBy("doc_id", "need", "pieces")
-    ranked = (common.withColumn("own", F.col("pieces") - F.count(F.lit(1)).over(own_class))
+    common = _shared_keys(piece_rows(docs, size, percent, 0, KEY_PARTS), first)
+    for part in range(1, KEY_PARTS):
+        common = common.unionByName(
+            _shared_keys(piece_rows(docs, size, percent, part, KEY_PARTS), first))
+    # Those of copies alone end here, in the count of points.
+    counts = common.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    classes = Classes(percent)
+    need, pieces = (F.element_at(F.array(*[F.lit(f(c)) for c in range(LARGEST_CLASS + 1)]),
+                                 F.col("class") + 1)
+                    for f in (lambda c: classes.differing(c) + 1, classes.pieces))
+    own_class = W.partitionBy("doc_id", "class")
+    ranked = (common.join(counts, "key")
+              .withColumn("own", pieces - F.count(F.lit(1)).over(own_class))
               .withColumn("rank", F.row_number().over(own_class.orderBy("df", "key"))))
-    return (ranked.where(F.col("rank") <= F.col("need") - F.col("own"))
-            .select("key", "doc_id", "own"))
+    return ranked.where(F.col("rank") <= need - F.col("own")).select("key", "doc_id", "own")
 
 
 def regions(near: DataFrame) -> DataFrame:
@@ -233,18 +263,27 @@ def pivot_distances(docs: DataFrame, members: DataFrame, size: int) -> DataFrame
 def remaining_links(docs: DataFrame, distances: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links of the points that are not within the distance of their region's pivot.
 
-    Bins are half the join distance wide; a member goes to all bins that its window touches.
+    Regions with few such points are one bin. In larger ones bins are half the join distance wide,
+    and a member goes to all bins that its window touches.
     """
-    reach = 1 - percent / 100
-    width = max(reach / 2, SLACK)
+    reach = 1 - percent / 100 + SLACK
+    width = reach / 2
     far = distances.withColumn("d", 1 - F.col("both") / F.col("either")).withColumn(
         "linked", 100 * F.col("both") >= percent * F.col("either"))
-    others = far.where(~F.col("linked")).withColumn("bin", F.floor(F.col("d") / width))
+    others = far.where(~F.col("linked"))
+    spans = others.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"),
+                                        F.max("d").alias("high"))
+    far = far.join(spans, "pivot")
+    binned = F.col("n") > SLICE_OTHERS
+    others = far.where(~F.col("linked")).withColumn(
+        "bin", F.when(binned, F.floor(F.col("d") / width)).otherwise(F.lit(0)))
     sliced = _sliced(others.select("pivot", "bin", "doc_id"), ["pivot", "bin"], SLICE_OTHERS)
     sizes = sliced.select("pivot", "bin", "slices").distinct()
-    low = F.floor((F.col("d") - reach - SLACK) / width)
-    high = F.floor((F.col("d") + reach + SLACK) / width)
-    window = (far.withColumn("bin", F.explode(F.sequence(low, high))).join(sizes, ["pivot", "bin"])
+    touched = F.when(binned, F.sequence(F.floor((F.col("d") - reach) / width),
+                                        F.floor((F.col("d") + reach) / width))).otherwise(
+        F.array(F.lit(0).cast("bigint")))
+    window = (far.where(F.col("d").between(F.col("low") - reach, F.col("high") + reach))
+              .withColumn("bin", F.explode(touched)).join(sizes, ["pivot", "bin"])
               .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
               .select("pivot", "bin", "slice", "doc_id", F.lit(1).alias("role")))
     rows = sliced.select("pivot", "bin", "slice", "doc_id", F.lit(0).alias("role")) \
@@ -307,12 +346,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest document reachable by links."""
     docs = one_text_per_id(docs, id_col, text_col)
-    found = stored(points(docs, size, percent))
-    sets = found.select("doc_id", "n", "d1", "d2")
+    sets = stored(points(docs, size))
     same = (sets.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
     first = stored(same)
     ids = first.select(F.col("first").alias("doc_id"))
-    members = stored(regions(neighbourhoods(found, ids)))
+    members = stored(regions(neighbourhoods(docs, ids, size, percent)))
+    # Texts of all documents move once; the steps that compare read these few.
+    both = members.select(F.explode(F.array("pivot", "doc_id")).alias("doc_id")).distinct()
+    docs = stored(docs.join(both, "doc_id", "left_semi"))
     distances = stored(pivot_distances(docs, members, size))
     near = distances.where(100 * F.col("both") >= percent * F.col("either")).select(
         F.col("pivot").alias("a"), F.col("doc_id").alias("b"))

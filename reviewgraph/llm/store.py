@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+# Settings that name a folder which driver and executors share; the first one that is set counts.
+SHARED = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder path below the one named in spark.checkpoint.dir.
-
-    Where the setting is missing (a local session without a cluster), a temporary folder is set
-    for the session.
-    """
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set(SETTING, base)
+    """A new folder path below the shared one; without spark.checkpoint.dir, the warehouse."""
+    base = next(x for x in (spark.conf.get(name, None) for name in SHARED) if x)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet to the shared folder, read back without their lineage.
-
-    The shuffle files of the writing job are not needed any more and are cleaned with it.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they are done."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder, read back without their lineage.
+
+    The shuffle files of the writing job are not needed any more and are cleaned with it.
+    """
+    path = shared_folder(df.sparkSession)
+    with _cleaned_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows written as a table in buckets of a key: joins on the key don't move them again."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _cleaned_shuffles(spark):
+        (df.repartition(n, key).write.bucketBy(n, key).option("path", shared_folder(spark))
+         .saveAsTable(name))
+    return spark.table(name)
 
 
 def one_text_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
