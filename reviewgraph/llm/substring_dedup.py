@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from reviewgraph.llm.batches import bounded_batches, slices
 from reviewgraph.llm.run_index import repeated_windows
 from reviewgraph.llm.shingles import mixed
-from reviewgraph.llm.store import one_text_per_id, stored
+from reviewgraph.llm.store import bucketed, one_text_per_id, stored
 
 SIZE = 400
 # Anchors are strings of this part of a window.
@@ -336,7 +336,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte in a string of this size that starts anywhere else too is removed.
     """
-    docs = one_text_per_id(docs, id_col, text_col)
+    # Several steps fetch texts by id: in buckets of the id they move once.
+    docs = bucketed(one_text_per_id(docs, id_col, text_col), "doc_id")
     found = stored(anchored(docs, size))
     groups = (found.where(F.col("n_bytes") >= size).groupBy("digest", "n_bytes")
               .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
