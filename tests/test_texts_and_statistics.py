@@ -16,7 +16,7 @@ from reviewgraph.operators.momentum import momentum
 from reviewgraph.operators.search import full_list, search
 from reviewgraph.operators.sentiment import TOKENS, sentiment, sentiment_by_stars, words
 from reviewgraph.sources import schemas
-from reviewgraph.sources.export import as_text, read_csv, records, write_csv
+from reviewgraph.sources.export import as_text, read_csv, write_csv
 from tests import toy
 
 
