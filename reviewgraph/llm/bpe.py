@@ -17,27 +17,31 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewgraph.llm.batches import bounded_batches, slices
-from reviewgraph.llm.lexicon import Lexicon, compile_words
+from reviewgraph.llm.lexicon import MAX_BYTES, Lexicon, compile_words
+from reviewgraph.llm.store import stored
 
 # Fixed value: the pattern of byte-level pre-tokenisation.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # How many of the corpus's most frequent pieces are compiled.
-LEXICON_WORDS = 32768
+LEXICON_WORDS = 262_144
 # Bounds of memory: pieces counted or remembered by one worker, and bytes encoded together.
 COUNTED_PIECES = 250_000
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 800_000
 SLICE_BYTES = 4_000_000
+SLICE_TOKENS = 500_000
 
-_DENSE_SPACE = re.compile(r"\s\s|^\s|\s\Z")
+_DENSE_SPACE = re.compile(r"\s\s")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -92,43 +96,63 @@ class Vocabulary:
             at, slots = at[on], (slots[on] + 1) % len(self.slot_keys)
         return out
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word: the lowest-ranked pair is merged wherever it stands, and again."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each word has.
+
+        The lowest-ranked pair of a word is merged wherever it stands, and so on.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
+        done_ids, done_words = [], []
+        # The rank of each pair with the next symbol, kept up as symbols merge.
+        rank = np.full(len(ids), self.no_rank, np.int64)
+        pair = np.flatnonzero(word[1:] == word[:-1])
+        rank[pair] = self.ranks(ids[pair] << 32 | ids[pair + 1])
         while len(ids):
-            inside = np.append(word[1:] == word[:-1], False)
-            rank = np.full(len(ids), self.no_rank, np.int64)
-            pair = np.flatnonzero(inside)
-            rank[pair] = self.ranks(ids[pair] << 32 | ids[pair + 1])
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.append(first, len(ids)))
-            done = best == self.no_rank
-            for f, n in zip(first[done].tolist(), sizes[done].tolist()):
-                out[word[f]] = ids[f:f + n]
-            best, going = np.repeat(best, sizes), np.repeat(~done, sizes)
-            ids, word, rank, best = ids[going], word[going], rank[going], best[going]
+            best = np.repeat(best, np.diff(np.append(first, len(ids))))
+            going = best < self.no_rank
+            if not going.all():
+                done_ids.append(ids[~going])
+                done_words.append(word[~going])
+                ids, word, rank, best = ids[going], word[going], rank[going], best[going]
+                if not len(ids):
+                    break
             chosen = rank == best
-            if chosen.any():  # of overlapping pairs, as in "aaa", every other one
-                start = chosen & ~np.append(False, chosen[:-1])
+            start = chosen & ~np.append(False, chosen[:-1])
+            if start.sum() < chosen.sum():  # of overlapping pairs, as in "aaa", every other one
                 place = np.arange(len(ids))
                 run = np.maximum.accumulate(np.where(start, place, 0))
                 chosen &= (place - run) % 2 == 0
-                ids = np.where(chosen, self.merged[np.minimum(rank, self.no_rank - 1)], ids)
-                stays = ~np.append(False, chosen[:-1])
-                ids, word = ids[stays], word[stays]
-        return out
+            ids[chosen] = self.merged[rank[chosen]]
+            stays = np.append(True, ~chosen[:-1])
+            ids, word, rank, chosen = ids[stays], word[stays], rank[stays], chosen[stays]
+            near = np.flatnonzero(chosen | np.append(chosen[1:], False))
+            rank[near] = self.no_rank
+            near = near[near < len(ids) - 1]
+            near = near[word[near] == word[near + 1]]
+            rank[near] = self.ranks(ids[near] << 32 | ids[near + 1])
+        flat = np.concatenate([*done_ids, np.empty(0, np.int64)])
+        owner = np.concatenate([*done_words, np.empty(0, np.int64)])
+        return (flat[np.argsort(owner, kind="stable")],
+                np.bincount(owner, minlength=len(words)))
 
 
 def pieces(text: str, pattern: regex.Pattern) -> list[str]:
     """Parts that can be encoded one by one; single spaces go with the word that follows."""
-    if "\0" in text or _DENSE_SPACE.search(text):
+    if not text:
+        return []
+    if "\0" in text or text[0].isspace() or text[-1].isspace() or _DENSE_SPACE.search(text):
         return pattern.findall(text)
-    parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    return parts if text else []
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, run after run."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class Encoder:
@@ -142,37 +166,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths: list[int] = []
-        self.ids: list[np.ndarray] = []
+        """Only the special tokens stay known."""
+        ids = list(self.vocabulary.special.values())
+        self.known: dict[str | int, int] = {x: i for i, x in enumerate(ids)}
+        self.ids = np.array(ids, np.int32)
+        self.sizes = np.ones(len(ids), np.int64)
+        self.starts = np.arange(len(ids))
+
+    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces outside the lexicon, and how many each has."""
+        tokens: dict[str, int] = {}
+        place, counts = [], []
+        for piece in new:
+            own = self.pattern.findall(piece)
+            counts.append(len(own))
+            for t in own:
+                place.append(tokens.setdefault(t, len(tokens)))
+        flat, sizes = self.vocabulary.merge(
+            [t.encode("utf-8", "surrogatepass") for t in tokens])
+        starts = np.cumsum(sizes) - sizes
+        at = np.array(place, np.int64)
+        owner = np.repeat(np.arange(len(new)), counts)
+        return (flat[_spread(starts[at], sizes[at])],
+                np.bincount(owner, sizes[at], minlength=len(new)).astype(np.int64))
 
     def learn(self, new: list[str]) -> None:
         """Takes in unseen pieces: from the lexicon, or merged."""
-        raw = [x.encode("utf-8", "surrogatepass") for x in new]
-        ranks = self.lexicon.ranks(raw)
-        found: list[np.ndarray | None] = [
-            self.lexicon.ids_of(r) if r >= 0 else None for r in ranks.tolist()]
-        tokens, owner = [], []
-        for i in np.flatnonzero(ranks < 0).tolist():
-            own = self.pattern.findall(new[i])
-            tokens += own
-            owner += [i] * len(own)
-        parts: dict[int, list[np.ndarray]] = {}
-        merged = self.vocabulary.merge([x.encode("utf-8", "surrogatepass") for x in tokens])
-        for i, ids in zip(owner, merged):
-            parts.setdefault(i, []).append(ids)
-        for i, piece in enumerate(new):
-            ids = found[i]
-            if ids is None:
-                own = parts.get(i, [])
-                ids = own[0] if len(own) == 1 else np.concatenate([*own, np.empty(0, np.int64)])
-            self.known[piece] = len(self.ids)
-            self.ids.append(ids)
-            self.lengths.append(len(ids))
-
-    def _plain(self, text: str) -> list[str | int]:
+        lexicon = self.lexicon
+        ranks = lexicon.ranks([x.encode("utf-8", "surrogatepass") for x in new])
+        found, unseen = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+        flat, merged_sizes = self._merged([new[i] for i in unseen.tolist()])
+        own = ranks[found]
+        sizes = np.zeros(len(new), np.int64)
+        sizes[found] = lexicon.starts[own + 1] - lexicon.starts[own]
+        sizes[unseen] = merged_sizes
+        starts = np.cumsum(sizes) - sizes
+        ids = np.empty(sizes.sum(), np.int32)
+        ids[_spread(starts[found], sizes[found])] = lexicon.ids[
+            _spread(lexicon.starts[own], sizes[found])]
+        ids[_spread(starts[unseen], merged_sizes)] = flat
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def ids_of(self, piece: str) -> list[int]:
+        slot = self.known[piece]
+        return self.ids[self.starts[slot]:self.starts[slot] + self.sizes[slot]].tolist()
+
+    def _cut(self, text: str) -> list[str | int]:
         """The pieces of a text; special tokens as their ids."""
-        if not self.vocabulary.special or not self.specials.search(text):
+        if not any(x in text for x in self.vocabulary.special):
             return pieces(text, self.pattern)
         out: list[str | int] = []
         at = 0
@@ -186,30 +230,39 @@ class Encoder:
         """Ids of all texts, one after another, and where each text's ids start."""
         if len(self.known) > KNOWN_PIECES:
             self._forget()
-        cut = [self._plain(x) for x in texts]
-        new = {p: None for c in cut for p in c if p not in self.known}
-        special = [p for p in new if isinstance(p, int)]
-        for p in special:
-            self.known[p] = len(self.ids)
-            self.ids.append(np.array([p], np.int64))
-            self.lengths.append(1)
-            del new[p]
-        if new:
-            self.learn(list(new))
+        cut = [self._cut(x) for x in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        get = self.known.__getitem__
-        slots = np.fromiter((s for c in cut for s in map(get, c)), np.int64, int(counts.sum()))
-        used, slots = np.unique(slots, return_inverse=True)
-        own = [self.ids[s] for s in used.tolist()]
-        lengths = np.array([self.lengths[s] for s in used.tolist()], np.int64)
-        table = np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int32)
-        first = np.cumsum(lengths) - lengths
-        sizes = lengths[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(first[slots] - (ends - sizes), sizes)
-        starts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
-        return table[at], starts
+        flat = list(chain.from_iterable(cut))
+        slots = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = [flat[i] for i in np.flatnonzero(slots < 0).tolist()]
+        if missed:
+            self.learn(list(dict.fromkeys(missed)))
+            slots[slots < 0] = list(map(self.known.__getitem__, missed))
+        sizes = self.sizes[slots]
+        ends = np.append(0, np.cumsum(sizes))
+        return (self.ids[_spread(self.starts[slots], sizes)],
+                ends[np.append(0, np.cumsum(counts))])
+
+
+class Decoder:
+    """Turns ids into the bytes of their tokens."""
+
+    def __init__(self, token_bytes: list[bytes]) -> None:
+        self.sizes = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(token_bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The texts of the ids between starts; unsound UTF-8 is replaced."""
+        sizes = self.sizes[ids]
+        data = self.flat[_spread(self.starts[ids], sizes)]
+        ends = np.append(0, np.cumsum(sizes))[starts].astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(starts) - 1,
+                                    [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -218,18 +271,22 @@ def _texts(column: pa.Array) -> list[str]:
 
 def frequent_pieces(docs: DataFrame, text_col: str = "text",
                     words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of all texts, as many as the lexicon takes."""
+    """The most frequent pieces of all texts, at most as many as the lexicon takes.
+
+    Lossy counting: a worker passes on what it counted after every COUNTED_PIECES distinct pieces,
+    without pieces seen once in that time. Pieces that tie with the first one left out stay out.
+    """
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, seen = regex.compile(PATTERN), Counter()
 
         def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["piece", "n"])
+            told = [(p, n) for p, n in seen.items() if n > 1]
             seen.clear()
-            return rows
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in told], pa.string()),
+                 pa.array([n for _, n in told], pa.int64())], names=["piece", "n"])
 
         for batch in batches:
             for text in _texts(batch.column(0)):
@@ -239,9 +296,19 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text",
         yield out()
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long")
-    top = (counts.groupBy("piece").agg(F.sum("n").alias("n"))
-           .where(F.length("piece").between(1, 64)).orderBy(F.desc("n"), "piece").limit(words))
-    return [r["piece"] for r in top.collect()]
+    counts = stored(counts.groupBy("piece").agg(F.sum("n").alias("n"))
+                    .where(F.length("piece").between(1, MAX_BYTES)))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("pieces"))
+    above = sizes.orderBy(F.desc("n")).limit(words + 1).collect()
+    least, total = 0, 0
+    for row in above:
+        total += row["pieces"]
+        if total > words:
+            break
+        least = row["n"]
+    if not least:
+        return []
+    return [r["piece"] for r in counts.where(F.col("n") >= least).orderBy("piece").collect()]
 
 
 def compiled(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
@@ -250,7 +317,7 @@ def compiled(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     encoder = Encoder(vocabulary, compile_words({}))
     frequent = frequent_pieces(docs, text_col, words)
     encoder.learn(frequent)
-    return compile_words({p.encode(): encoder.ids[encoder.known[p]].tolist() for p in frequent})
+    return compile_words({p.encode(): encoder.ids_of(p) for p in frequent})
 
 
 _encoders: dict[int, Encoder] = {}
@@ -301,18 +368,17 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id",
     rows = tokens.select(F.col(id_col), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        decoder = Decoder(shared.value)
         for batch in batches:
-            lists = batch.column(1)
-            starts = lists.offsets.to_numpy()
-            n = np.diff(starts).tolist()
-            for part in slices(batch, n, SLICE_BYTES):
-                texts = [None if x is None else
-                         b"".join(map(get, x.values.to_pylist())).decode("utf-8", "replace")
-                         for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string())],
-                    names=[id_col, "ids", "text"])
+            n = np.diff(batch.column(1).offsets.to_numpy()).tolist()
+            for part in slices(batch, n, SLICE_TOKENS):
+                lists = part.column(1)
+                own = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0)))
+                texts = decoder.decode(lists.flatten().to_numpy(), own)
+                if lists.null_count:
+                    texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts],
+                                                 names=[id_col, "ids", "text"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
