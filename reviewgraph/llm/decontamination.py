@@ -42,7 +42,7 @@ LEAK, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 8, 0.8
 # Features in more documents than this share (and this number) carry no weight.
 COMMON_SHARE, COMMON_DOCS = 0.05, 50
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 SKETCH_ROWS = 4096
 
 
@@ -227,62 +227,82 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _windows(space: Space, feature: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and latent unit-scaled vector of windows that can reach the threshold."""
+def _windows(space: Space, feature: np.ndarray, of: np.ndarray, place: np.ndarray,
+             size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and latent vector of windows that can reach the threshold.
+
+    of and place are a word's text and its place there. A window is two blocks of half its size,
+    or a text's last block; vectors are scaled to the length of their windows.
+    """
     half = size // 2
-    n = max(1, -(-len(feature) // half))
-    block = np.arange(len(feature)) // half
+    new = np.append(True, (of[1:] != of[:-1]) | (place[1:] // half != place[:-1] // half))
+    first = np.flatnonzero(new)
+    block = np.cumsum(new) - 1
+    text, start = of[first], place[first]
+    n = len(first)
+    joined = np.append(text[1:] == text[:-1], False)  # blocks that go on in the next one
     weight = space.weight[feature]
-    place = space.place[feature]
-    hit = np.flatnonzero((place >= 0) & (weight > 0))
+    vector = space.place[feature]
+    hit = np.flatnonzero((vector >= 0) & (weight > 0))
 
     def paired(x: np.ndarray) -> np.ndarray:
-        return x[:-1] + x[1:] if len(x) > 1 else x
+        return x + np.where(joined, np.append(x[1:], 0), 0)
 
     power = paired(np.bincount(block, weight ** 2, minlength=n))
     own = paired(np.bincount(block[hit], weight[hit] ** 2, minlength=n))
     chosen = np.flatnonzero((own > 0) & (own >= (MIN_COSINE * 0.999) ** 2 * power))
     if not len(chosen):
-        return chosen, np.empty((0, space.vectors.shape[1]), np.float32)
-    needed = np.unique(np.append(chosen, np.minimum(chosen + 1, n - 1)))
-    at = np.searchsorted(needed, block[hit])
-    inside = (at < len(needed)) & (needed[np.minimum(at, len(needed) - 1)] == block[hit])
-    sums = np.zeros((len(needed), space.vectors.shape[1]), np.float32)
-    hit, at = hit[inside], at[inside]
-    if len(hit):
-        values = weight[hit, None] * space.vectors[place[hit]]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        sums[at[first]] = np.add.reduceat(values, first, axis=0)
-    left = sums[np.searchsorted(needed, chosen)]
-    if n > 1:
-        left = left + sums[np.searchsorted(needed, chosen + 1)]
-    return chosen * half, left / np.sqrt(power[chosen])[:, None]
-
-
-def search_text(space: Space, words: np.ndarray) -> dict[int, tuple[float, int, float]]:
-    """For each passage found in a text: its common share, first word and cosine."""
-    feature = _features(words)
-    signed = words.view(np.int64)
-    out: dict[int, tuple[float, int, float]] = {}
+        return chosen, chosen, np.empty((0, space.vectors.shape[1]), np.float32)
+    needed = np.zeros(n + 1, bool)
+    needed[chosen] = True
+    needed[chosen[joined[chosen]] + 1] = True
+    row = np.cumsum(needed) - 1
+    hit = hit[needed[block[hit]]]
+    at = row[block[hit]]
+    sums = np.zeros((row[-1] + 1, space.vectors.shape[1]), np.float32)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    if len(at):
+        sums[at[begin]] = np.add.reduceat(weight[hit, None] * space.vectors[vector[hit]], begin,
+                                          axis=0)
+    vectors = sums[row[chosen]]
+    going = np.flatnonzero(joined[chosen])
+    vectors[going] += sums[row[chosen[going] + 1]]
+    return text[chosen], start[chosen], vectors / np.sqrt(power[chosen])[:, None]
+
+
+def search_texts(space: Space, words: np.ndarray,
+                 of: np.ndarray) -> dict[tuple[int, int], tuple[float, int, float]]:
+    """For each (text, passage) found: its common share, first word and cosine.
+
+    of is the text of each word, rising.
+    """
+    out: dict[tuple[int, int], tuple[float, int, float]] = {}
+    if not len(words):
+        return out
+    feature, signed = _features(words), words.view(np.int64)
+    begins = np.searchsorted(of, np.arange(of[-1] + 2))
+    place = np.arange(len(of)) - begins[of]
     for size in np.unique(space.window).tolist():
         group = np.flatnonzero(space.window == size)
-        starts, vectors = _windows(space, feature, size)
+        texts, starts, vectors = _windows(space, feature, of, place, size)
         for low in range(0, len(starts), 4096):
             cosine = vectors[low:low + 4096] @ space.latent[group].T
             for w, g in zip(*np.nonzero(cosine >= MIN_COSINE)):
-                p, start = int(group[g]), int(starts[low + w])
+                p, text, start = int(group[g]), int(texts[low + w]), int(starts[low + w])
                 told = space.words[p]
-                if p in out and out[p][0] == 1:
+                best = out.get((text, p), (0.0, 0, 0.0))
+                if best[0] == 1:
                     continue
                 begin = max(0, start - size // 2)
-                region = signed[begin:start + size + size // 2]
+                stop = min(begins[text] + start + size + size // 2, begins[text + 1])
+                region = signed[begins[text] + begin:stop]
                 share = common_subsequence(told, region) / len(told)
                 if share < LEAK:
                     answer = space.answers[p]
                     if share < PARAPHRASE or common_subsequence(
                             answer, region) < ANSWER_SHARE * len(answer):
                         continue
-                out[p] = max(out.get(p, (0.0, 0, 0.0)), (share, begin, float(cosine[w, g])))
+                out[text, p] = max(best, (share, begin, float(cosine[w, g])))
     return out
 
 
@@ -301,12 +321,10 @@ def _search(docs: DataFrame, space: Space, id_col: str, text_col: str) -> DataFr
             for part in slices(batch, [len(x) for x in texts], SLICE_BYTES):
                 words, of, _ = word_hashes(texts[done:done + part.num_rows])
                 done += part.num_rows
-                ends = np.cumsum(np.bincount(of, minlength=part.num_rows))
                 at, found = [], []
-                for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
-                    for p, hit in search_text(space, words[a:b]).items():
-                        at.append(i)
-                        found.append((space.items[p], *hit))
+                for (i, p), hit in sorted(search_texts(space, words, of).items()):
+                    at.append(i)
+                    found.append((space.items[p], *hit))
                 columns = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(at, pa.int64())),
