@@ -56,15 +56,14 @@ RESTAURANT_SIMILARITY = ("shared_val", "shared_score", "overlap_val", "overlap_s
                          "zip_val", "zip_score", "compete_score")
 
 
-def _first_order(ratings: DataFrame, seed: str, item: str, value: str, by: str,
-                 n: int | None, seeds: DataFrame | None) -> DataFrame:
+def _first_order(t: Tables, seed: str, item: str, value: str, by: str, n: int | None,
+                 seeds: DataFrame | None) -> DataFrame:
     """``seed_id, item, sel_rating``: the ``n`` items of each seed with the lowest or highest
     ``value``."""
     if by not in ("lowest", "highest"):
         raise ValueError("first_order_by is 'lowest' or 'highest'")
-    if seeds is not None:
-        ratings = ratings.join(seeds.select(F.col("seed_id").alias(seed)).distinct(), seed,
-                               "left_semi")
+    ratings = t.ratings(None if seeds is None else seeds.select(
+        F.col("seed_id").alias(seed)).distinct())
     order = [F.asc(value) if by == "lowest" else F.desc(value), F.asc(item)]
     return top_k(ratings, [seed], order, n).select(
         F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating"))
@@ -109,14 +108,10 @@ def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMI
     rated one of its ``first_order`` restaurants with the lowest (or highest) stars; of their
     ratings the first ``candidate_rows`` by the rater's votes count. None for either: no cut.
     """
-    ratings = t.ratings()
-    first = _first_order(ratings, "user_id", "business_id", "stars", first_order_by, first_order,
-                         seeds)
-    raters = ratings.select("business_id", "user_id", "stars")
-    if seeds is not None:
-        raters = raters.join(first.select("business_id").distinct(), "business_id", "left_semi")
-    raters = raters.join(t.users.select(F.col("id").alias("user_id"), votes().alias("votes")),
-                         "user_id")
+    first = _first_order(t, "user_id", "business_id", "stars", first_order_by, first_order, seeds)
+    met = None if seeds is None else first.select("business_id").distinct()
+    raters = t.ratings(met).select("business_id", "user_id", "stars").join(
+        t.users.select(F.col("id").alias("user_id"), votes().alias("votes")), "user_id")
     scored = _candidates(
         first, raters, "business_id", "user_id",
         per_item_order=[F.desc("votes"), F.asc("user_id")],
@@ -162,12 +157,9 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIK
     First-order customers are those of the seed's reviews with the lowest (or highest)
     usefulness; the arguments are those of :func:`like_users`.
     """
-    ratings = t.ratings()
-    first = _first_order(ratings, "business_id", "user_id", "useful", first_order_by, first_order,
-                         seeds)
-    rated = ratings.select("user_id", "business_id", "stars")
-    if seeds is not None:
-        rated = rated.join(first.select("user_id").distinct(), "user_id", "left_semi")
+    first = _first_order(t, "business_id", "user_id", "useful", first_order_by, first_order, seeds)
+    rated = t.ratings(None if seeds is None else first.select("user_id").distinct()).select(
+        "user_id", "business_id", "stars")
     places = t.business.select(F.col("id").alias("business_id"),
                                F.col("postal_code").alias("zip"),
                                F.col("review_count").alias("reviews"))

@@ -51,15 +51,21 @@ class Tables:
         return self if self.edges is not None else replace(
             self, edges=staged(self.ratings(), "ratings"))
 
-    def ratings(self) -> DataFrame:
+    def ratings(self, of: DataFrame | None = None) -> DataFrame:
         """``user_id, business_id, stars, useful``: the latest review of every pair.
 
-        Reviews by users or of businesses that are not there are left out, as in a join with
-        both. The text never enters the joins of the scoring operators.
+        ``of``, a frame with one of the two ids, names whose ratings are wanted; they are picked
+        before anything else is done. Reviews by users or of businesses that are not there are
+        left out, as in a join with both. The text never enters the joins of the scoring
+        operators.
         """
+        def picked(rows: DataFrame) -> DataFrame:
+            return rows if of is None else rows.join(of, of.columns[0], "left_semi")
+
         if self.edges is not None:
-            return self.edges
-        thin = self.review.select("user_id", "business_id", "stars", "useful", "date", "id")
+            return picked(self.edges)
+        thin = picked(self.review.select("user_id", "business_id", "stars", "useful", "date",
+                                         "id"))
         thin = (thin.join(self.users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
                 .join(self.business.select(F.col("id").alias("business_id")), "business_id",
                       "left_semi"))
