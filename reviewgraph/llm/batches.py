@@ -10,7 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 # Fixed value: the setting that bounds a batch's bytes in the JVM.
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
