@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +33,12 @@ from reviewgraph.llm.store import stored
 # Fixed value: the pattern of byte-level pre-tokenisation.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # How many of the corpus's most frequent pieces are compiled.
-LEXICON_WORDS = 262_144
+LEXICON_WORDS = 65_536
 # Bounds of memory: pieces counted or remembered by one worker, and bytes encoded together.
 COUNTED_PIECES = 250_000
-KNOWN_PIECES = 800_000
-SLICE_BYTES = 4_000_000
+KNOWN_PIECES = 400_000
+SLICE_BYTES = 1_000_000
+NEW_PIECES = 32_768
 SLICE_TOKENS = 500_000
 
 _DENSE_SPACE = re.compile(r"\s\s")
@@ -155,6 +155,15 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a larger one that begins with it."""
+    if n <= len(x):
+        return x
+    out = np.empty(max(n, 2 * len(x)), x.dtype)
+    out[:len(x)] = x
+    return out
+
+
 class Encoder:
     """Encodes texts; remembers a bounded number of pieces."""
 
@@ -170,8 +179,9 @@ class Encoder:
         ids = list(self.vocabulary.special.values())
         self.known: dict[str | int, int] = {x: i for i, x in enumerate(ids)}
         self.ids = np.array(ids, np.int32)
-        self.sizes = np.ones(len(ids), np.int64)
-        self.starts = np.arange(len(ids))
+        self.sizes = np.ones(len(ids), np.int32)
+        self.starts = np.arange(len(ids), dtype=np.int32)
+        self.n_ids = self.n_known = len(ids)
 
     def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces outside the lexicon, and how many each has."""
@@ -205,10 +215,14 @@ class Encoder:
         ids[_spread(starts[found], sizes[found])] = lexicon.ids[
             _spread(lexicon.starts[own], sizes[found])]
         ids[_spread(starts[unseen], merged_sizes)] = flat
-        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids])
+        first, n = self.n_ids, self.n_known
+        self.known.update(zip(new, range(n, n + len(new))))
+        self.ids = _room(self.ids, first + len(ids))
+        self.starts, self.sizes = (_room(x, n + len(new)) for x in (self.starts, self.sizes))
+        self.ids[first:first + len(ids)] = ids
+        self.starts[n:n + len(new)] = starts + first
+        self.sizes[n:n + len(new)] = sizes
+        self.n_ids, self.n_known = first + len(ids), n + len(new)
 
     def ids_of(self, piece: str) -> list[int]:
         slot = self.known[piece]
@@ -236,9 +250,11 @@ class Encoder:
         slots = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missed = [flat[i] for i in np.flatnonzero(slots < 0).tolist()]
         if missed:
-            self.learn(list(dict.fromkeys(missed)))
+            new = list(dict.fromkeys(missed))
+            for at in range(0, len(new), NEW_PIECES):
+                self.learn(new[at:at + NEW_PIECES])
             slots[slots < 0] = list(map(self.known.__getitem__, missed))
-        sizes = self.sizes[slots]
+        sizes = self.sizes[slots].astype(np.int64)
         ends = np.append(0, np.cumsum(sizes))
         return (self.ids[_spread(self.starts[slots], sizes)],
                 ends[np.append(0, np.cumsum(counts))])
@@ -316,22 +332,11 @@ def compiled(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     """The transducer of a corpus's frequent pieces."""
     encoder = Encoder(vocabulary, compile_words({}))
     frequent = frequent_pieces(docs, text_col, words)
-    encoder.learn(frequent)
+    for at in range(0, len(frequent), NEW_PIECES):
+        encoder.learn(frequent[at:at + NEW_PIECES])
     return compile_words({p.encode(): encoder.ids_of(p) for p in frequent})
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(shared: Broadcast) -> Encoder:
-    """One encoder in each worker process."""
-    key = id(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(*shared.value)
-    return _encoders[key]
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            words: int = LEXICON_WORDS) -> DataFrame:
     """id_col and ids, the token ids of each text."""
@@ -343,7 +348,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(*shared.value)  # and its memory end with the task
         for batch in batches:
             texts = _texts(batch.column(1))
             done = 0

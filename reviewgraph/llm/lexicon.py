@@ -17,9 +17,13 @@ import numpy as np
 MAX_BYTES = 64
 
 
-def _minimal_states(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool]]:
-    """Arcs and finality of the states of the smallest automaton for sorted, distinct words."""
-    arcs: list[dict[int, int]] = [{}]
+def _minimal_states(words: list[bytes]) -> tuple[list, list[bool]]:
+    """Arcs (byte, target) and finality of the smallest automaton's states, for sorted words.
+
+    States of the last word have their arcs in a dictionary, settled ones in a tuple; states that
+    turned out like others have none.
+    """
+    arcs: list = [{}]
     final = [False]
     known: dict[tuple, int] = {}
     path = [0]  # states of the last word, root first
@@ -27,8 +31,9 @@ def _minimal_states(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool
     def settle(depth: int) -> None:
         while len(path) > depth + 1:
             state, parent = path.pop(), path[-1]
-            like = (final[state], tuple(arcs[state].items()))
-            same = known.setdefault(like, state)
+            own = tuple(arcs[state].items())
+            same = known.setdefault((final[state], own), state)
+            arcs[state] = own if same == state else None
             if same != state:
                 byte = next(reversed(arcs[parent]))
                 arcs[parent][byte] = same
@@ -45,6 +50,7 @@ def _minimal_states(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool
         final[path[-1]] = True
         last = word
     settle(0)
+    arcs[0] = tuple(arcs[0].items())
     return arcs, final
 
 
@@ -57,7 +63,7 @@ def compile_words(entries: dict[bytes, list[int]]) -> bytes:
     while todo:  # number the states that are left
         state = todo.pop()
         order.append(state)
-        for target in arcs[state].values():
+        for _, target in arcs[state]:
             if target not in seen:
                 seen[target] = len(seen)
                 todo.append(target)
@@ -67,18 +73,18 @@ def compile_words(entries: dict[bytes, list[int]]) -> bytes:
         stack = [root]
         while stack:
             s = stack[-1]
-            open_ = [t for t in arcs[s].values() if t not in counts]
+            open_ = [t for _, t in arcs[s] if t not in counts]
             if open_:
                 stack.extend(open_)
             else:
-                counts[s] = final[s] + sum(counts[t] for t in arcs[s].values())
+                counts[s] = final[s] + sum(counts[t] for _, t in arcs[s])
                 stack.pop()
 
     count(0)
     rows = []
     for state in order:
         before = int(final[state])
-        for byte, target in sorted(arcs[state].items()):
+        for byte, target in arcs[state]:
             rows.append((seen[state] * 256 + byte, seen[target], before))
             before += counts[target]
     rows.sort()
