@@ -16,12 +16,12 @@ scores go to the label that sorts first. A model without any labelled row reject
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +33,8 @@ ORDERS = (2, 3, 4)
 BUCKET_BITS = 16
 DIMENSIONS = 16
 # Bounds of the training sample: labelled rows of a language, and characters of such a row.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
+DRAWS = 1 << 30
 SAMPLE_CHARS = 8_192
 # One in so many sampled rows calibrates instead of training.
 CALIBRATION = 5
@@ -41,9 +42,9 @@ EPOCHS, RATE, BATCH = 8, 0.5, 32
 # Share of correct calibration rows that may fall below the rejection threshold, which is never
 # above the highest threshold: text that is clearly nearest to one language stays.
 REJECTED_SHARE, HIGHEST_THRESHOLD = 0.001, 0.4
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _lowered(text: str) -> bytes:
@@ -106,7 +107,7 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for text in texts:
         buckets = np.concatenate([b for b, _ in subword_buckets([_lowered(text)])])
         own, counts = np.unique(buckets, return_counts=True)
-        out.append((own, (counts / counts.sum()).astype(np.float32)))
+        out.append((own.astype(np.uint16), (counts / counts.sum()).astype(np.float32)))
     return out
 
 
@@ -167,6 +168,15 @@ def train_on(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_i
     rows = (rows if usable is None else rows.where(usable)).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
+    # Twice the rows needed pass the draw, so that no language gathers in one task. The model has
+    # a column for each label, so that their counts fit where it does.
+    labelled = (docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang"))
+                .count().collect())
+    if not labelled:
+        return train([], [])
+    limits = F.create_map(*[F.lit(x) for r in labelled for x in (
+        r["lang"], int(DRAWS * min(1.0, 2 * sample_rows / r["count"])))])
+    rows = rows.where(F.pmod("draw", F.lit(DRAWS)) <= limits[F.col("lang")])
     order = W.partitionBy("lang").orderBy("draw", "id", "text")
     drawn = (rows.withColumn("rank", F.row_number().over(order))
              .where(F.col("rank") <= sample_rows).select("lang", "text", "rank").collect())
@@ -179,12 +189,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
     """id_col, the columns to keep, lang_pred, score and rejected of each row.
 
     A prediction is rejected if its calibrated probability is below the model's threshold; `und`
-    always is.
+    always is. A column to keep that has the name of a result gives way to it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    passed = [id_col, *keep]
+    passed = [id_col, *(c for c in keep if c not in ("lang_pred", "score", "rejected"))]
     rows = docs.select(F.col(text_col).alias("_text"), *passed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
