@@ -8,7 +8,9 @@ window's latent vector is the sum over its words. Passages at a cosine over a th
 candidates, and the longest common subsequence of words decides: nearly all of a passage is a
 leak, and a good part of it is a paraphrase if the answer is there too.
 
-The benchmark is the query set, searched in blocks of bounded size against all rows.
+The benchmark is the query set, searched in blocks of bounded size against all rows; several
+blocks share one scan. A block's space has as many directions as its passages need, so that the
+cosine of a copy does not depend on how many passages there are.
 
 Defined results: null or empty texts, and passages of fewer than MIN_WORDS words, match nothing.
 Rows with equal ids are searched each, and one row comes back for an id and item: the best match.
@@ -31,9 +33,9 @@ from reviewgraph.llm.shingles import word_hashes
 from reviewgraph.llm.store import stored
 
 BITS = 17
-DIMENSIONS = 256
-# Items searched together; passages of an item have at most PASSAGE_WORDS words.
-BLOCK_ITEMS = 2048
+# Passages in one space, about, and spaces in one scan; a passage has at most PASSAGE_WORDS words.
+BLOCK_ITEMS = 256
+SCAN_BLOCKS = 4
 PASSAGE_WORDS = 128
 MIN_WORDS = 8
 SMALLEST_WINDOW = 16
@@ -194,7 +196,8 @@ def latent_space(found: DataFrame, weight: np.ndarray, seed: int = 11) -> Space
             weight[feature] = np.maximum(weight[feature], 0.5)
     row, feature, value = _rows([x.tolist() for x in words], weight)
     used = np.unique(feature)
-    k = min(DIMENSIONS, len(used), len(rows))
+    # Equal passages need one direction together.
+    k = min(len(used), len({own.tobytes() for own in words}))
     basis = np.random.default_rng(seed).normal(size=(len(used), k))
     for _ in range(2):
         basis, _ = np.linalg.qr(gram_product(found, weight, basis, used))
@@ -309,12 +312,12 @@ def search_texts(space: Space, words: np.ndarray,
 LEAKS = "item_id long, common_share double, first_word long, cosine double"
 
 
-def _search(docs: DataFrame, space: Space, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+def _search(docs: DataFrame, spaces: list[Space], id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
+        spaces = shared.value
         for batch in batches:
             texts = _encoded(batch.column(1).to_pylist())
             done = 0
@@ -322,9 +325,10 @@ def _search(docs: DataFrame, space: Space, id_col: str, text_col: str) -> DataFr
                 words, of, _ = word_hashes(texts[done:done + part.num_rows])
                 done += part.num_rows
                 at, found = [], []
-                for (i, p), hit in sorted(search_texts(space, words, of).items()):
-                    at.append(i)
-                    found.append((space.items[p], *hit))
+                for space in spaces:
+                    for (i, p), hit in sorted(search_texts(space, words, of).items()):
+                        at.append(i)
+                        found.append((space.items[p], *hit))
                 columns = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(at, pa.int64())),
@@ -351,11 +355,15 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     hits = docs.select(F.col(id_col)).limit(0).selectExpr(
         f"`{id_col}`", *[f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}"
                          for x in LEAKS.split(", ")])
-    for b in range(blocks):
-        block = found.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b)
-        space = latent_space(block, weight)
-        if space is not None:
-            hits = hits.unionByName(_search(docs, space, id_col, text_col))
+    for first in range(0, blocks, SCAN_BLOCKS):
+        spaces = []
+        for b in range(first, min(first + SCAN_BLOCKS, blocks)):
+            of = F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(blocks))
+            space = latent_space(found.where(of == b), weight)
+            if space is not None:
+                spaces.append(space)
+        if spaces:
+            hits = hits.unionByName(_search(docs, spaces, id_col, text_col))
     best = W.partitionBy(id_col, "item_id").orderBy(F.desc("common_share"), "first_word",
                                                     F.desc("cosine"))
     return hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

@@ -197,6 +197,19 @@ def test_leak_of_a_paraphrase_needs_the_answer(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
 
 
+def test_copies_of_a_large_benchmark_are_found(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(15, 59)))) for k in range(2040)]
+    docs = []
+    for k, text in items[::7]:
+        own = rng.choices(vocabulary, k=120)
+        at = rng.randint(0, len(own))
+        docs.append((k, " ".join([*own[:at], text, *own[at:]])))
+    got = benchmark_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(k, k) for k, _ in docs}
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = frame(spark, [(1, "a b")]), frame(spark, [], "item_id long, text string")
     assert benchmark_leaks(docs, items).collect() == []
