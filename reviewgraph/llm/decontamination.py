@@ -5,7 +5,9 @@ document frequency over the whole corpus. A randomised singular value decomposit
 rows of the passages, whose products are summed over Spark's partitions, gives a latent space with
 a vector for each feature. Documents are read in overlapping windows of the passages' lengths; a
 window's latent vector is the sum over its words. Passages at a cosine over a threshold are
-candidates, and the longest common subsequence of words decides: nearly all of a passage is a
+candidates, and so are those of whose own squared weight the window holds that share: rare words
+around a passage of common ones do not hide it, and of the two windows that share a whole copy
+one always holds half of it. Then the longest common subsequence of words decides: nearly all of a passage is a
 leak, and a good part of it is a paraphrase if the answer is there too.
 
 The benchmark is the query set, searched in blocks of bounded size against all rows; several
@@ -134,6 +136,12 @@ def _rows(lists: list[list[int]], weight: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, feature, value / np.maximum(norm, 1e-12)[row]
 
 
+def _norm(words: np.ndarray, weight: np.ndarray) -> float:
+    """The length of a passage's vector of weights."""
+    feature, counts = np.unique(_features(words.view(np.uint64)), return_counts=True)
+    return float(np.linalg.norm(weight[feature] * counts))
+
+
 def gram_product(found: DataFrame, weight: np.ndarray, right: np.ndarray,
                  used: np.ndarray) -> np.ndarray:
     """A'(A right) of the passages' TF-IDF rows A, over the used features, summed over partitions.
@@ -181,6 +189,7 @@ class Space:
     answers: list[np.ndarray]
     latent: np.ndarray  # one unit vector for each passage
     window: np.ndarray  # the window length of each passage
+    norm: np.ndarray  # the length of each passage's weights
 
 
 def latent_space(found: DataFrame, weight: np.ndarray, seed: int = 11) -> Space | None:
@@ -212,7 +221,7 @@ def latent_space(found: DataFrame, weight: np.ndarray, seed: int = 11) -> Space
     window = np.array([max(SMALLEST_WINDOW, 1 << (len(x) - 1).bit_length()) for x in words])
     return Space(weight, place, vectors.astype(np.float32), [r["item_id"] for r in rows], words,
                  [np.array(r["answer"], np.int64) for r in rows], latent.astype(np.float32),
-                 window)
+                 window, np.array([_norm(x, weight) for x in words], np.float32))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -231,11 +240,11 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _windows(space: Space, feature: np.ndarray, of: np.ndarray, place: np.ndarray,
-             size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and latent vector of windows that can reach the threshold.
+             size: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, latent vector and length of windows that can reach the threshold.
 
     of and place are a word's text and its place there. A window is two blocks of half its size,
-    or a text's last block; vectors are scaled to the length of their windows.
+    or a text's last block; least is the length of the shortest passage's weights.
     """
     half = size // 2
     new = np.append(True, (of[1:] != of[:-1]) | (place[1:] // half != place[:-1] // half))
@@ -253,9 +262,10 @@ def _windows(space: Space, feature: np.ndarray, of: np.ndarray, place: np.ndarra
 
     power = paired(np.bincount(block, weight ** 2, minlength=n))
     own = paired(np.bincount(block[hit], weight[hit] ** 2, minlength=n))
-    chosen = np.flatnonzero((own > 0) & (own >= (MIN_COSINE * 0.999) ** 2 * power))
+    bound = (MIN_COSINE * 0.999) ** 2 * np.minimum(power, least ** 2)
+    chosen = np.flatnonzero((own > 0) & (own >= bound))
     if not len(chosen):
-        return chosen, chosen, np.empty((0, space.vectors.shape[1]), np.float32)
+        return chosen, chosen, np.empty((0, space.vectors.shape[1]), np.float32), power[chosen]
     needed = np.zeros(n + 1, bool)
     needed[chosen] = True
     needed[chosen[joined[chosen]] + 1] = True
@@ -270,7 +280,7 @@ def _windows(space: Space, feature: np.ndarray, of: np.ndarray, place: np.ndarra
     vectors = sums[row[chosen]]
     going = np.flatnonzero(joined[chosen])
     vectors[going] += sums[row[chosen[going] + 1]]
-    return text[chosen], start[chosen], vectors / np.sqrt(power[chosen])[:, None]
+    return text[chosen], start[chosen], vectors, np.sqrt(power[chosen]).astype(np.float32)
 
 
 def search_texts(space: Space, words: np.ndarray,
@@ -287,10 +297,13 @@ def search_texts(space: Space, words: np.ndarray,
     place = np.arange(len(of)) - begins[of]
     for size in np.unique(space.window).tolist():
         group = np.flatnonzero(space.window == size)
-        texts, starts, vectors = _windows(space, feature, of, place, size)
+        norm = space.norm[group]
+        texts, starts, vectors, length = _windows(space, feature, of, place, size, norm.min())
         for low in range(0, len(starts), 4096):
-            cosine = vectors[low:low + 4096] @ space.latent[group].T
-            for w, g in zip(*np.nonzero(cosine >= MIN_COSINE)):
+            product = vectors[low:low + 4096] @ space.latent[group].T
+            own = length[low:low + 4096, None]
+            cosine = product / own
+            for w, g in zip(*np.nonzero(product >= MIN_COSINE * np.minimum(own, norm))):
                 p, text, start = int(group[g]), int(texts[low + w]), int(starts[low + w])
                 told = space.words[p]
                 best = out.get((text, p), (0.0, 0, 0.0))

@@ -210,6 +210,21 @@ def test_copies_of_a_large_benchmark_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(k, k) for k, _ in docs}
 
 
+def test_passage_in_a_third_of_all_documents_is_found_in_each(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(24)]
+    docs = []
+    for i in range(600):
+        own = [f"w{rng.randrange(200000)}" for _ in range(90)]
+        if i % 3 == 0:
+            at = rng.randint(0, 90)
+            own[at:at] = common
+        docs.append((i, " ".join(own)))
+    items = frame(spark, [(1, " ".join(common))], "item_id long, text string")
+    got = [r["doc_id"] for r in benchmark_leaks(frame(spark, docs), items).collect()]
+    assert sorted(got) == list(range(0, 600, 3))
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = frame(spark, [(1, "a b")]), frame(spark, [], "item_id long, text string")
     assert benchmark_leaks(docs, items).collect() == []
