@@ -31,7 +31,7 @@ COMMON_WORDS = 16
 COMPARED_WORDS = 50
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
-# Common words have at most so many code points.
+# Read by the SQL only, which still takes common words of at most so many code points.
 COMMON_CHARS = 8
 # The symbols of the base rules, and sentence marks; what is in no class but letters.
 PLAIN = "[a-z ]+"
@@ -95,19 +95,10 @@ def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     word_ref has one more share, for all other words. Ties go to the word that sorts first.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("words"))
-    short = F.filter("words", lambda w: F.length(w) <= COMMON_CHARS)
-    # The first of a text's short words, or a null, carries how many longer words it has.
-    long = F.size("words") - F.size("short")
-    counts = (rows.withColumn("short", short).withColumn("long", long)
-              .select("lang", "long", F.posexplode_outer("short").alias("at", "word"))
-              .groupBy("lang", "word").agg(
-                  F.count("word").alias("n"),
-                  F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("long"))).alias("long")))
-    counts = stored(counts)
-    totals = counts.groupBy("lang").agg(
-        (F.sum("n") + F.coalesce(F.sum("long"), F.lit(0))).alias("total"))
-    counts = counts.where(F.col("word").isNotNull())
+        F.col(lang_col).alias("lang"), F.explode(words_of(F.col(text_col))).alias("word"))
+    # Words are summed in the map tasks before they move.
+    counts = stored(rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     first = W.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
     lists = top.groupBy("lang").agg(F.array_sort(F.collect_list(

@@ -103,6 +103,17 @@ def test_divergence_fails_text_unlike_its_language(spark):
     assert got[40]["char_distance"] > got[0]["char_distance"]
 
 
+def test_common_words_of_any_length(spark):
+    texts = [("de", "grundsätzlich und grundsätzlich oder"), ("zh", "这是一个没有空格的很长的句子 这是"),
+             ("zh", "这是一个没有空格的很长的句子"), ("th", "ประโยคยาวที่ไม่มีช่องว่าง"), (None, "none")]
+    docs = frame(spark, texts, "lang string, text string")
+    got = {r["lang"]: r for r in quality_rules.common_words(docs, n=2).collect()}
+    assert {k: r["common_words"] for k, r in got.items()} == {
+        "de": ["grundsätzlich", "oder"], "zh": ["这是一个没有空格的很长的句子", "这是"],
+        "th": ["ประโยคยาวที่ไม่มีช่องว่าง"]}
+    assert got["de"]["word_ref"] == [0.5, 0.25, 0.25]
+
+
 def test_jensen_shannon_distance(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5])],
                                  "p array<double>, q array<double>")
