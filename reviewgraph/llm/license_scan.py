@@ -11,8 +11,12 @@ A retrieved template counts if at least 80 % of its shingles are in the window.
 Signatures are computed only for windows that hold a shingle of some template: others cannot share
 a minimum with one. Documents are scanned row by row, and nothing is shuffled.
 
-Defined results: null and empty texts have no notices. Templates of fewer than five words
-cannot be told from chance and are refused. Rows with equal ids are scanned each. Extra columns are left out.
+Templates of fewer than five words have no shingle. They are searched on their own: a document has
+such a notice where all its words stand next to each other in order. Their n_windows is the number
+of these places.
+
+Defined results: null and empty texts have no notices. Templates without a word are refused.
+Rows with equal ids are scanned each. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -65,8 +69,9 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "all-rights-reserved": "Copyright. All rights reserved worldwide.",
 }
+# Fixed value: notices shorter than a shingle.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
 
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -152,6 +157,45 @@ def scan_words(templates: Templates, words: np.ndarray) -> dict[int, tuple[float
     return out
 
 
+@dataclass
+class ShortTemplates:
+    """Names of templates shorter than a shingle by their number of words and hash of these."""
+
+    names: dict[int, dict[int, list[str]]]
+
+
+def prepared_short(templates: dict[str, str]) -> ShortTemplates:
+    """Short templates ready to be searched."""
+    names: dict[int, dict[int, list[str]]] = {}
+    for name, text in sorted(templates.items()):
+        words = word_hashes([plain(text)])[0]
+        if not 0 < len(words) < SIZE:
+            raise ValueError(f"template {name} has no word, or {SIZE} words and more")
+        names.setdefault(len(words), {}).setdefault(
+            int(joined(words, len(words))[0]), []).append(name)
+    return ShortTemplates(names)
+
+
+def scan_short(templates: ShortTemplates, words: np.ndarray, of: np.ndarray,
+               begins: np.ndarray) -> list[tuple[int, str, float, int, int]]:
+    """Text, name, containment, first word and number of places of each short notice.
+
+    of is the text of each word, rising; begins is where each text's words begin.
+    """
+    out = []
+    for size, names in templates.names.items():
+        if len(words) < size:
+            continue
+        runs = joined(words, size)
+        whole = of[:len(runs)] == of[size - 1:]
+        for key, own in names.items():
+            at = np.flatnonzero((runs == np.uint64(key)) & whole)
+            texts, first, n = np.unique(of[at], return_index=True, return_counts=True)
+            for text, k, m in zip(texts.tolist(), at[first].tolist(), n.tolist()):
+                out += [(text, name, 1.0, k - int(begins[text]), m) for name in own]
+    return out
+
+
 NOTICES = "license string, containment double, first_word long, n_windows long"
 
 
@@ -163,14 +207,16 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    told = TEMPLATES if templates is None else templates
+    told = TEMPLATES | SHORT_TEMPLATES if templates is None else templates
     if sum(map(len, told.values())) > 8_000_000:
         raise ValueError("templates are broadcast; search a longer list in parts")
-    shared = spark.sparkContext.broadcast(prepared(told))
+    short = {k: x for k, x in told.items() if len(word_hashes([plain(x)])[0]) < SIZE}
+    long = {k: x for k, x in told.items() if k not in short}
+    shared = spark.sparkContext.broadcast((prepared(long), prepared_short(short)))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, few = shared.value
         for batch in batches:
             texts = [plain(x) for x in batch.column(1).to_pylist()]
             done = 0
@@ -178,11 +224,15 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words, of, _ = word_hashes(texts[done:done + part.num_rows])
                 done += part.num_rows
                 ends = np.cumsum(np.bincount(of, minlength=part.num_rows))
+                begins = np.append(0, ends[:-1])
                 at, found = [], []
-                for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
+                for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
                     for t, (share, first, n) in sorted(scan_words(own, words[a:b]).items()):
                         at.append(i)
                         found.append((own.names[t], share, first, n))
+                for i, *hit in scan_short(few, words, of, begins):
+                    at.append(i)
+                    found.append(tuple(hit))
                 columns = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(at, pa.int64())),

@@ -155,6 +155,20 @@ def test_licenses_match_brute_force(spark):
     assert {i: found[i] for i in range(len(texts))} == {i: notices(t) for i, t in enumerate(texts)}
 
 
+def test_short_notices_are_found_exactly(spark):
+    texts = ["All rights reserved.", "x y\nALL RIGHTS RESERVED\nz all rights, reserved", "all rights",
+             "reserved", "all rights are reserved", None, "", "some all rights reserved"]
+    got = license_scan.license_notices(frame(spark, list(enumerate(texts))))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, "all-rights-reserved", 1.0, 0, 1), (1, "all-rights-reserved", 1.0, 2, 2),
+        (7, "all-rights-reserved", 1.0, 1, 1)]
+    own = license_scan.license_notices(frame(spark, [(1, "a b c d e f g")]),
+                                       templates={"one": "G", "four": "b c d e", "five": "a b c d e"})
+    assert {r["license"]: r["first_word"] for r in own.collect()} == {"one": 6, "four": 1, "five": 0}
+    with pytest.raises(ValueError):
+        license_scan.license_notices(frame(spark, []), templates={"none": " ."})
+
+
 def test_licenses_of_an_empty_table_and_short_templates(spark):
     assert license_scan.license_notices(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
