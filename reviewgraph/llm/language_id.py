@@ -32,7 +32,7 @@ NONE = "und"
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 16
 DIMENSIONS = 16
-# Bounds of the training sample: labelled rows of a language, and characters of such a row.
+# Bounds of the training sample: labelled rows of a language, and characters read of such a row.
 SAMPLE_ROWS = 1000
 DRAWS = 1 << 30
 SAMPLE_CHARS = 8_192
@@ -160,18 +160,20 @@ def train_on(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_i
              sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of a sample: at most sample_rows labelled rows of each language.
 
-    Rows are drawn by a hash of their id, from texts of 1 to SAMPLE_CHARS characters with a letter.
+    Rows are drawn by a hash of their id, from texts with a letter. Of a text of over SAMPLE_CHARS
+    characters so many are taken, from a place drawn by a hash of the text.
     """
-    length = F.length(text_col)
-    rows = docs.where(F.col(lang_col).isNotNull() & length.between(1, SAMPLE_CHARS)
-                      & F.col(text_col).rlike(r"\p{L}"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    over = F.length(text_col) - SAMPLE_CHARS
+    start = F.pmod(F.xxhash64(F.col(text_col)), F.greatest(over, F.lit(0)) + 1).cast("int") + 1
     rows = (rows if usable is None else rows.where(usable)).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
+        F.when(over > 0, F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)))
+        .otherwise(F.col(text_col)).alias("text"),
         F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
     # Twice the rows needed pass the draw, so that no language gathers in one task. The model has
     # a column for each label, so that their counts fit where it does.
-    labelled = (docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang"))
-                .count().collect())
+    labelled = rows.groupBy("lang").count().collect()
     if not labelled:
         return train([], [])
     limits = F.create_map(*[F.lit(x) for r in labelled for x in (

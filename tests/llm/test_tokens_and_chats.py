@@ -126,6 +126,18 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] == 6} == {"en"}
 
 
+def test_language_of_long_documents_and_rows_out_of_use(spark, monkeypatch):
+    rows = [(i, "der die das und nicht ein " * 500, "de") for i in range(20)]
+    rows += [(100 + i, "the of and to in is it " * 3, "en") for i in range(20)]
+    rows += [(1000 + i, "the of and to in is it", "en") for i in range(3000)]
+    drawn = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: drawn.extend(zip(labels, texts)))
+    language_id.train_on(frame(spark, rows, "doc_id long, text string, lang string"),
+                         F.col("doc_id") < 1000, sample_rows=20)
+    assert sorted(label for label, _ in drawn) == ["de"] * 20 + ["en"] * 20
+    assert {len(text) for label, text in drawn if label == "de"} == {language_id.SAMPLE_CHARS}
+
+
 def test_languages_without_labels(spark):
     docs = frame(spark, [(1, "abc", None)], "doc_id long, text string, lang string")
     model = language_id.train_on(docs)
