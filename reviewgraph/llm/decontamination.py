@@ -14,7 +14,10 @@ The benchmark is the query set, searched in blocks of bounded size against all r
 blocks share one scan. A block's space has as many directions as its passages need, so that the
 cosine of a copy does not depend on how many passages there are.
 
-Defined results: null or empty texts, and passages of fewer than MIN_WORDS words, match nothing.
+Items of fewer than MIN_WORDS words are no passages for the space: they are searched as exact
+sequences of words, with a share and a cosine of 1.
+
+Defined results: null or empty texts match nothing.
 Rows with equal ids are searched each, and one row comes back for an id and item: the best match.
 A null document id or item id is kept as null. Extra columns are left out.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewgraph.llm.batches import bounded_batches, slices
-from reviewgraph.llm.shingles import word_hashes
+from reviewgraph.llm.shingles import joined, word_hashes
 from reviewgraph.llm.store import stored
 
 BITS = 17
@@ -116,7 +119,7 @@ def passages(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                 told = word_hashes(_encoded([answer]))[0].view(np.int64)
                 n = max(1, -(-len(words) // PASSAGE_WORDS))
                 for k, own in enumerate(np.array_split(words, n)):
-                    if len(own) >= MIN_WORDS:
+                    if len(own):
                         out.append({"item_id": item, "part": k, "words": own,
                                     "answer": told if len(told) else own[-ANSWER_WORDS:]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([
@@ -192,6 +195,35 @@ class Space:
     norm: np.ndarray  # the length of each passage's weights
 
 
+def short_items(found: DataFrame) -> dict[int, dict[int, list[int | None]]]:
+    """Items of fewer than MIN_WORDS words: number of words, hash of all of them, item ids."""
+    out: dict[int, dict[int, list[int | None]]] = {}
+    for r in found.orderBy("item_id").collect():
+        words = np.array(r["words"], np.int64).view(np.uint64)
+        key = int(joined(words, len(words))[0])
+        out.setdefault(len(words), {}).setdefault(key, []).append(r["item_id"])
+    return out
+
+
+def search_short(short: dict[int, dict[int, list[int | None]]], words: np.ndarray,
+                 of: np.ndarray) -> Iterator[tuple[int, int | None, int]]:
+    """Text, item and first word of each short item in each text."""
+    begins = np.searchsorted(of, np.arange(of[-1] + 2)) if len(of) else of
+    for size, items in short.items():
+        if len(words) < size:
+            continue
+        runs = joined(words, size)
+        at = np.flatnonzero((of[:len(runs)] == of[size - 1:])
+                            & np.isin(runs, np.array(list(items), np.uint64)))
+        seen = set()
+        for k in at.tolist():
+            text, key = int(of[k]), int(runs[k])
+            if (text, key) not in seen:
+                seen.add((text, key))
+                for item in items[key]:
+                    yield text, item, k - int(begins[text])
+
+
 def latent_space(found: DataFrame, weight: np.ndarray, seed: int = 11) -> Space | None:
     """Randomised SVD of the passages: a range finder with power steps, then the small problem."""
     rows = found.orderBy("item_id", "part").collect()
@@ -325,12 +357,13 @@ def search_texts(space: Space, words: np.ndarray,
 LEAKS = "item_id long, common_share double, first_word long, cosine double"
 
 
-def _search(docs: DataFrame, spaces: list[Space], id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(spaces)
+def _search(docs: DataFrame, spaces: list[Space], short: dict[int, dict[int, list[int | None]]],
+            id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((spaces, short))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces = shared.value
+        spaces, short = shared.value
         for batch in batches:
             texts = _encoded(batch.column(1).to_pylist())
             done = 0
@@ -342,6 +375,9 @@ def _search(docs: DataFrame, spaces: list[Space], id_col: str, text_col: str) ->
                     for (i, p), hit in sorted(search_texts(space, words, of).items()):
                         at.append(i)
                         found.append((space.items[p], *hit))
+                for i, item, first in search_short(short, words, of):
+                    at.append(i)
+                    found.append((item, 1.0, first, 1.0))
                 columns = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(at, pa.int64())),
@@ -361,13 +397,17 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     common_share is the part of a passage's words found in order; first_word is where the region
     begins in the document.
     """
-    found = stored(passages(items, item_col, item_text_col, answer_col))
+    told = stored(passages(items, item_col, item_text_col, answer_col))
+    found = told.where(F.size("words") >= MIN_WORDS)
+    short = short_items(told.where(F.size("words") < MIN_WORDS))
     counts, n = document_frequencies(docs, text_col)
     weight = idf(counts, n)
     blocks = -(-found.count() // BLOCK_ITEMS)
     hits = docs.select(F.col(id_col)).limit(0).selectExpr(
         f"`{id_col}`", *[f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}"
                          for x in LEAKS.split(", ")])
+    if short and not blocks:
+        hits = hits.unionByName(_search(docs, [], short, id_col, text_col))
     for first in range(0, blocks, SCAN_BLOCKS):
         spaces = []
         for b in range(first, min(first + SCAN_BLOCKS, blocks)):
@@ -375,8 +415,9 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             space = latent_space(found.where(of == b), weight)
             if space is not None:
                 spaces.append(space)
-        if spaces:
-            hits = hits.unionByName(_search(docs, spaces, id_col, text_col))
+        # Short items are searched in the first scan.
+        if spaces or (short and not first):
+            hits = hits.unionByName(_search(docs, spaces, {} if first else short, id_col, text_col))
     best = W.partitionBy(id_col, "item_id").orderBy(F.desc("common_share"), "first_word",
                                                     F.desc("cosine"))
     return hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

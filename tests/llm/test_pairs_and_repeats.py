@@ -225,6 +225,18 @@ def test_passage_in_a_third_of_all_documents_is_found_in_each(spark):
     assert sorted(got) == list(range(0, 600, 3))
 
 
+def test_short_items_are_found_as_exact_sequences(spark):
+    docs = frame(spark, [(1, "x y who wrote\nThe Raven who wrote the raven"), (2, "who wrote"),
+                         (3, "the raven who wrote"), (4, None), (5, "")])
+    short = [(7, "Who wrote the raven"), (8, "wrote"), (None, "the raven"), (9, "")]
+    want = {(1, 7, 2), (1, 8, 3), (2, 8, 1), (3, 8, 3), (1, None, 4), (3, None, 0)}
+    for more in ([], [(10, " ".join(f"q{i}" for i in range(20)))]):
+        items = frame(spark, short + more, "item_id long, text string")
+        got = benchmark_leaks(docs, items).collect()
+        assert {(r["doc_id"], r["item_id"], r["first_word"]) for r in got} == want
+        assert len(got) == len(want) and {r["common_share"] for r in got} == {1.0}
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = frame(spark, [(1, "a b")]), frame(spark, [], "item_id long, text string")
     assert benchmark_leaks(docs, items).collect() == []
