@@ -1,9 +1,9 @@
-"""Lines repeated across documents, found by sorting hashes; decisions travel as bitmaps, not text.
+"""Lines repeated across documents, found by their hashes; decisions travel as bitmaps, not text.
 
 Line hashes are dealt out by range together with their document, so that a line found in a third
-of all documents spreads over many tasks, and sorted by hash, document and position. Each task
-streams its sorted run and passes on one row per hash with the first occurrence in the sort and
-the number of documents; the runs of one hash meet as a few such rows. What comes back to a
+of all documents spreads over many tasks. Plain aggregation takes the place of a streamed sort:
+Spark drops the sort below, as largest document and count do not depend on the order. Each task
+passes on one row per hash, and these few rows meet by hash. What comes back to a
 document is a run-length compressed bitmap of the lines it keeps.
 
 Defined results: a null or empty text is one empty line, which stays. Rows with one id are one
