@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from reviewgraph.llm.chat_format import BODY, CONTROL, END, MARK, TURN
 from reviewgraph.llm.quality_rules import (
-    COMMON_CHARS,
     COMMON_WORDS,
     COMPARED_WORDS,
     MAX_CHAR_DISTANCE,
@@ -159,8 +158,7 @@ uses AS (
 totals AS (SELECT lang, sum(n) AS total FROM uses GROUP BY lang),
 common AS (
   SELECT u.lang, u.word, u.n / t.total AS q FROM (
-    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM uses
-    WHERE length(word) <= {COMMON_CHARS}) u
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM uses) u
   JOIN totals t ON t.lang = u.lang WHERE u.place <= {COMMON_WORDS}),
 common_rest AS (SELECT lang, 1 - sum(q) AS q FROM common GROUP BY lang),
 found AS (
@@ -185,8 +183,85 @@ FROM marked m LEFT JOIN class_distances c ON c.doc_id = m.doc_id
 LEFT JOIN word_distances w ON w.doc_id = m.doc_id
 """
 
+SEARCH = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+uses AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+strata AS (
+  SELECT doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms)::BIGINT AS m
+  FROM lengths CROSS JOIN totals),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM uses GROUP BY term) CROSS JOIN totals),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT a.item_id, u.doc_id,
+    sum(w.w * ((1000000000 * u.tf) // (1000 * u.tf + 20 * s.m)))::BIGINT AS score
+  FROM asked a JOIN weights w ON w.term = a.term JOIN uses u ON u.term = a.term
+  JOIN strata s ON s.doc_id = u.doc_id GROUP BY a.item_id, u.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length({x}) + 1), lambda i: ascii({x}[i])::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, step: xor(c >> 1, (c & 1) * 3988292384))))"""
+
+TRIE = f"""
+WITH own AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+      length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT DISTINCT conv, conv - conv % 100 AS donor, ({_CRC32.format(x="CAST(conv AS VARCHAR)")}) % 6 AS h
+  FROM own),
+taken AS (
+  SELECT c.conv, 0 AS part, o.place, o.role, o.text
+  FROM convs c JOIN own o ON o.conv = c.donor AND o.place <= c.h
+  UNION ALL SELECT c.conv, 1, o.place, o.role, o.text
+  FROM convs c JOIN own o ON o.conv = c.conv AND o.place > c.h),
+turns AS (
+  SELECT conv, row_number() OVER w AS depth, length(text) AS chars,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS k
+  FROM taken WINDOW w AS (PARTITION BY conv ORDER BY part, place)),
+paths AS (
+  SELECT conv, depth, chars, k, coalesce(lag(k) OVER (PARTITION BY conv ORDER BY depth), '')
+    AS parent FROM turns
+  UNION ALL SELECT conv, 0, 0, '', NULL FROM convs),
+ends AS (SELECT conv, max(depth) AS depth FROM paths GROUP BY conv),
+nodes AS (
+  SELECT p.k, p.parent, p.depth, p.chars, min(p.conv) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(p.conv::VARCHAR, ',' ORDER BY p.conv)
+      FILTER (WHERE e.depth = p.depth), '')) AS ends_sha256
+  FROM paths p JOIN ends e ON e.conv = p.conv GROUP BY p.k, p.parent, p.depth, p.chars),
+children AS (
+  SELECT parent AS k, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+totals AS (
+  SELECT p.k, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves,
+    sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM nodes n JOIN paths p ON p.conv = n.conv_id AND p.depth <= n.depth
+  LEFT JOIN children c ON c.k = n.k GROUP BY p.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id,
+  n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.k = n.k LEFT JOIN nodes a ON a.k = n.parent
+LEFT JOIN children c ON c.k = n.k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {"op1_jaccard_join": JACCARD, "op3_warc": WARC, "op4_line_dedup": LINE_DEDUP,
-            "op6_quality_rules": QUALITY, "op9_chat_format": CHAT}
+            "op6_quality_rules": QUALITY, "op9_chat_format": CHAT,
+            "op11_lexical_search": SEARCH, "op12_prefix_trie": TRIE}

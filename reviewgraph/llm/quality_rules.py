@@ -31,8 +31,6 @@ COMMON_WORDS = 16
 COMPARED_WORDS = 50
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
-# Read by the SQL only, which still takes common words of at most so many code points.
-COMMON_CHARS = 8
 # The symbols of the base rules, and sentence marks; what is in no class but letters.
 PLAIN = "[a-z ]+"
 SYMBOLS = "[#*$%&|<>]"

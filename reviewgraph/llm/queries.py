@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from reviewgraph.llm import bpe, chat_format, language_id, warc
 from reviewgraph.llm.decontamination import benchmark_leaks
 from reviewgraph.llm.jaccard_join import jaccard_components
+from reviewgraph.llm.lexical_search import ranked_search
 from reviewgraph.llm.license_scan import license_notices
 from reviewgraph.llm.line_dedup import drop_repeated_lines
+from reviewgraph.llm.packing import pack
+from reviewgraph.llm.prefix_trie import conversation_trie
 from reviewgraph.llm.quality_rules import quality_rules
 from reviewgraph.llm.substring_dedup import remove_repeats
 
@@ -102,6 +105,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
+                         "offset")
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return {
@@ -115,4 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_packing": op13_packing,
     }

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from test_lines_and_rules import base_counts, lines_kept
 from test_pairs_and_repeats import families, linked, without_repeats
+from test_search_trie_and_packing import COLUMNS, best, nodes, sound
 
 from reviewgraph.llm import oracle
 from reviewgraph.llm.queries import queries, tokenizer_path
@@ -113,6 +114,29 @@ def test_op10(spark, folder, texts):
     assert sum(w[1] > 0 for w in want.values()) > 2 and len(rows) == len(texts)
 
 
+def test_op11(spark, folder, texts):
+    rows = [tuple(r) for r in queries()["op11_lexical_search"](spark, folder).collect()]
+    items = [(1, " ".join(f"passage{i}" for i in range(9, 40))), (2, "none of it is in any of these"
+             " texts")]
+    assert sorted(rows) == best(list(texts.items()), items, 50) and len(rows) > 10
+
+
+def test_op12(spark, folder):
+    rows = queries()["op12_prefix_trie"](spark, folder).select(*COLUMNS).collect()
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in rows) == nodes(
+        [(3, 1, "user", "a"), (3, 0, None, "b"), (4, 0, "assistant", None)])
+
+
+def test_op13(spark, folder, texts):
+    rows = queries()["op13_packing"](spark, folder).collect()
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    counts = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1
+              for i, t in texts.items()}
+    assert Counter({i: sum(r["length"] for r in rows if r["doc_id"] == i)
+                    for i in counts}) == counts
+    assert sound(rows, 2048) == -(-sum(counts.values()) // 2048)
+
+
 def test_every_statement_has_a_query():
     assert set(oracle.oracle_sql()) <= set(queries())
-    assert Counter(n.split("_")[0] for n in queries()) == Counter(f"op{k}" for k in range(1, 11))
+    assert Counter(n.split("_")[0] for n in queries()) == Counter(f"op{k}" for k in range(1, 14))
