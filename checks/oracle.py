@@ -507,6 +507,30 @@ def _documents(parent: str, fields, key: str, children: dict, kind: str | None =
     return " UNION ALL ".join(parts)
 
 
+def _nested(parent: str, fields, key: str, lists: dict) -> str:
+    """Fragments of nested documents: all units numbered in order, 64 numbers to a block."""
+    marks = [f"substr({_json(('id', *fields))}, 1, length({_json(('id', *fields))}) - 1)"]
+    marks += [f"""'{"]," if k else ","}"{name}":['""" for k, name in enumerate(lists)]
+    marks.append("']}'" if lists else "'}'")
+    units = [f"SELECT id, {k} AS kind, false AS child, '' AS key, {mark} AS text FROM {parent}"
+             for k, mark in enumerate(marks)]
+    units += [f"SELECT {key}, {k}, true, concat_ws(chr(0), {', '.join(keys)}), {_json(own)} "
+              f"FROM {table} WHERE {key} IN (SELECT id FROM {parent})"
+              for k, (table, keys, own) in enumerate(lists.values(), 1)]
+    return f"""
+        WITH units AS ({" UNION ALL ".join(units)}),
+        numbers AS (
+          SELECT *, row_number() OVER (ORDER BY id, kind, child, key) AS number FROM units),
+        joined AS (
+          SELECT id, number, (number - 1) // 64 AS block,
+            CASE WHEN child AND lag(child) OVER (ORDER BY number) THEN ',' ELSE '' END || text
+              AS text FROM numbers),
+        fragments AS (
+          SELECT id, block, string_agg(text, '' ORDER BY number) AS fragment
+          FROM joined GROUP BY id, block)
+        SELECT id, block - min(block) OVER (PARTITION BY id) AS part, fragment FROM fragments"""
+
+
 # The fields of the documents that the test tables have.
 BUSINESS_FIELDS = ("name", "neighborhood", "address", "city", "state", "postal_code", "stars",
                    "review_count", "is_open")
@@ -808,6 +832,13 @@ QUERIES: dict[str, str] = {
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS expanding_mean
         FROM (SELECT business_id, cast(date AS date) AS day, count(*) AS reviews,
                      avg(stars) AS daily FROM review GROUP BY ALL)""",
+    "nested_business_documents": _nested("business", BUSINESS_FIELDS, "business_id", {
+        "reviews": ("review", ["id"], REVIEW_FIELDS),
+        "attributes": ("attribute", ["name"], ("name", "value")),
+        "categories": ("category", ["category"], ("category",))}),
+    "nested_user_documents": _nested("users", USER_FIELDS, "user_id", {
+        "reviews": ("review", ["id"], REVIEW_FIELDS),
+        "tips": ("tip", ["business_id", "date"], TIP_FIELDS)}),
     "business_documents": _documents("business", BUSINESS_FIELDS, "business_id", {
         "attribute": ("attribute", ("name", "value")), "category": ("category", ("category",)),
         "review": ("review", REVIEW_FIELDS)}),

@@ -359,6 +359,9 @@ def queries() -> dict[str, Query]:
         "sentiment_by_stars": _sentiment_by_stars,
         "sentiment_tokens": _sentiment_tokens,
         "momentum": _on_tables(lambda t: momentum(t.review)),
+        "nested_business_documents": _on_tables(D.nested_business_documents),
+        "nested_user_documents": _on_tables(
+            lambda t: D.nested_user_documents(t, reviews=True, tips=True)),
         "business_documents": _on_tables(D.business_documents),
         "user_documents": _on_tables(
             lambda t: D.user_documents(t, reviews=True, tips=True)),
