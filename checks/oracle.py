@@ -548,7 +548,20 @@ def _significant(x: str) -> str:
             f"ELSE printf('%.2f', round({x} / 0.01) / 100) END")
 
 
+def _top_shared(key: str, via: str, names: str, name: str) -> str:
+    return f"""
+        WITH counted AS (
+          SELECT a.{key} AS seed_id, b.{key}, count(*) AS shared
+          FROM review a JOIN review b ON b.{via} = a.{via} GROUP BY a.{key}, b.{key}),
+        ranked AS (SELECT *, row_number() OVER (
+          PARTITION BY seed_id ORDER BY shared DESC, {key}) AS place FROM counted)
+        SELECT seed_id, r.{key}, n.name AS {name}, shared
+        FROM ranked r JOIN {names} n ON n.id = r.{key} WHERE place <= 20"""
+
+
 QUERIES: dict[str, str] = {
+    "co_reviewers_top_all": _top_shared("user_id", "business_id", "users", "user"),
+    "co_reviewed_top_all": _top_shared("business_id", "user_id", "business", "restaurant"),
     "search_prefix": """SELECT name || ' (' || address || ')' AS name, id FROM business
         WHERE lower(name) LIKE 'red%' ORDER BY business.name, id LIMIT 10""",
     "full_list": """SELECT name || ' (' || address || ')' AS restaurant, id AS restaurant_id

@@ -23,6 +23,7 @@ from reviewgraph.operators import profiles as P
 from reviewgraph.operators import recommend as R
 from reviewgraph.operators import reduction as C
 from reviewgraph.operators import sentiment as T
+from reviewgraph.operators import shared as H
 from reviewgraph.operators import similarity as S
 from reviewgraph.operators import validation as V
 from reviewgraph.operators.momentum import momentum
@@ -333,6 +334,8 @@ def queries() -> dict[str, Query]:
             tables(spark, sf), C.CITY,
             base(spark, sf, "customer").select(F.upper("c_name").alias("name"))),
         "co_reviewers": _on_tables(lambda t: M.co_reviewers(t, busiest_user(t))),
+        "co_reviewers_top_all": _on_tables(H.co_reviewers_top),
+        "co_reviewed_top_all": _on_tables(H.co_reviewed_top),
         "same_rating_users": _on_tables(lambda t: M.same_rating_users(t, busiest_user(t))),
         "co_reviewed": _on_tables(lambda t: M.co_reviewed(t, busiest_business(t))),
         "same_rating_restaurants": _on_tables(
