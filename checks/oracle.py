@@ -900,12 +900,13 @@ def _of(sql: str, seeds: str) -> str:
 QUERIES["like_users_highest"] = _variant(
     "_highest", _LIKE_U, user_first=("ORDER BY stars, business_id", "ORDER BY stars DESC, business_id"))
 QUERIES["like_restaurants_exclusive"] = _variant("_five", _LIKE_R, rest_clip=("n <= 21", "n <= 5"))
-QUERIES["like_users_uncut_of_busiest"] = _of(_variant(
-    "_uncut", _LIKE_U, user_first=("WHERE n <= 10", ""), user_rows=("WHERE n <= 2000", "")),
-    "busy_user")
-QUERIES["like_restaurants_uncut_of_busiest"] = _of(_variant(
-    "_uncut", _LIKE_R, rest_first=("WHERE n <= 10", ""), rest_rows=("WHERE n <= 1000", "")),
-    "busy_business")
+QUERIES["like_users_uncut"] = _variant(
+    "_uncut", _LIKE_U, user_first=("WHERE n <= 10", ""), user_rows=("WHERE n <= 2000", ""))
+QUERIES["like_restaurants_uncut"] = _variant(
+    "_uncut", _LIKE_R, rest_first=("WHERE n <= 10", ""), rest_rows=("WHERE n <= 1000", ""))
+QUERIES["like_users_uncut_of_busiest"] = _of(QUERIES["like_users_uncut"], "busy_user")
+QUERIES["like_restaurants_uncut_of_busiest"] = _of(QUERIES["like_restaurants_uncut"],
+                                                   "busy_business")
 QUERIES["recommended_new_restaurants"] = _variant("_new", _RECO, reco_rows=(
     """FROM like_u f
                       WHERE f.seed_id = l.seed_id AND f.restaurant_id = r.business_id""",

@@ -25,6 +25,7 @@ from reviewgraph.operators import reduction as C
 from reviewgraph.operators import sentiment as T
 from reviewgraph.operators import shared as H
 from reviewgraph.operators import similarity as S
+from reviewgraph.operators import uncut as N
 from reviewgraph.operators import validation as V
 from reviewgraph.operators.momentum import momentum
 from reviewgraph.operators.search import full_list, search
@@ -259,6 +260,8 @@ def queries() -> dict[str, Query]:
             t, busiest_user(t), first_order=None, candidate_rows=None)),
         "like_restaurants_uncut_of_busiest": _on_scored(lambda t: S.like_restaurants(
             t, busiest_business(t), first_order=None, candidate_rows=None)),
+        "like_users_uncut": _on_scored(lambda t: N.like_users_uncut(t).like),
+        "like_restaurants_uncut": _on_scored(lambda t: N.like_restaurants_uncut(t).like),
         "recommended_new_restaurants": _on_like_u(
             lambda t, like: R.recommended_restaurants(t, like, exclude="all_reviewed")),
         "new_customer_prospects": _on_like_r(

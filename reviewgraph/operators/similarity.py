@@ -11,7 +11,7 @@ carries whatever the data make.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ from reviewgraph.functions.scoring import (
     whole,
 )
 from reviewgraph.operators.profiles import votes, with_influence
+from reviewgraph.sources.staging import staged
 from reviewgraph.sources.tables import Tables
 
 # Fixed values, the defaults: nodes per order and candidate rows per seed.
@@ -69,20 +70,25 @@ def _first_order(t: Tables, seed: str, item: str, value: str, by: str, n: int |
         F.col(seed).alias("seed_id"), item, F.col("stars").alias("sel_rating"))
 
 
+def agreement(rows: DataFrame, item: str, rater: str) -> DataFrame:
+    """One row per (seed, rater) of rows with both ratings of an item."""
+    agreed = rows.withColumn("low", least_of(F.col("stars"), F.col("sel_rating"))).withColumn(
+        "high", greatest_of(F.col("stars"), F.col("sel_rating")))
+    return agreed.groupBy("seed_id", rater).agg(
+        F.count(F.lit(1)).alias("shared_val"), F.sum("low").alias("sum_low"),
+        F.sum("high").alias("sum_high"),
+        F.collect_list(F.struct(item, "sel_rating")).alias("shared"))
+
+
 def _candidates(first: DataFrame, raters: DataFrame, item: str, rater: str,
-                per_item_order: Sequence[Column], order: Sequence[Column], cap: int | None,
-                extra: Callable[[], list[Column]]) -> DataFrame:
+                per_item_order: Sequence[Column], order: Sequence[Column],
+                cap: int | None) -> DataFrame:
     """One row per (seed, rater): the shared items and the agreement over the capped rows."""
     per_item = None if cap is None else cap + 1
     raters = top_k(raters, [item], per_item_order, per_item)
     joined = spread_join(first, raters, item, spread="seed_id", per_key=per_item)
     rows = cap_rows(joined.where(F.col(rater) != F.col("seed_id")), ["seed_id"], order, cap)
-    agreed = rows.withColumn("low", least_of(F.col("stars"), F.col("sel_rating"))).withColumn(
-        "high", greatest_of(F.col("stars"), F.col("sel_rating")))
-    return agreed.groupBy("seed_id", rater).agg(
-        F.count(F.lit(1)).alias("shared_val"), F.sum("low").alias("sum_low"),
-        F.sum("high").alias("sum_high"),
-        F.collect_list(F.struct(item, "sel_rating")).alias("shared"), *extra())
+    return agreement(rows, item, rater)
 
 
 def _unfold(scored: DataFrame) -> DataFrame:
@@ -96,31 +102,8 @@ def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
             t.business.select(F.col("id").alias("business_id"), F.col("name").alias("restaurant")))
 
 
-def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
-               inclusive: bool = True, first_order: int | None = FIRST_ORDER,
-               first_order_by: str = "lowest",
-               candidate_rows: int | None = USER_CANDIDATES) -> DataFrame:
-    """Like-minded users of every seed user, one row per (seed, user, shared restaurant).
-
-    ``position`` ranks a seed's users, best first.
-
-    ``seeds`` is a frame with ``seed_id``; without it every user is a seed. A seed's look-alikes
-    rated one of its ``first_order`` restaurants with the lowest (or highest) stars; of their
-    ratings the first ``candidate_rows`` by the rater's votes count. None for either: no cut.
-    """
-    first = _first_order(t, "user_id", "business_id", "stars", first_order_by, first_order, seeds)
-    met = None if seeds is None else first.select("business_id").distinct()
-    raters = t.ratings(met).select("business_id", "user_id", "stars").join(
-        t.users.select(F.col("id").alias("user_id"), votes().alias("votes")), "user_id")
-    scored = _candidates(
-        first, raters, "business_id", "user_id",
-        per_item_order=[F.desc("votes"), F.asc("user_id")],
-        order=[F.desc("votes"), F.asc("user_id"), F.asc("business_id")], cap=candidate_rows,
-        extra=list)
-    # Friends are counted only for those who are left.
-    ids = None if seeds is None else scored.select(F.explode(F.array("user_id", "seed_id")).alias(
-        "seed_id")).distinct()
-    people = with_influence(t, ids)
+def user_scores(scored: DataFrame, people: DataFrame) -> DataFrame:
+    """Candidates with their component scores and ``lmu_score``."""
     scored = scored.join(people.select("user_id", "total_reviews", "influence_val"), "user_id")
 
     own = people.select(F.col("user_id").alias("seed_id"),
@@ -141,34 +124,56 @@ def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMI
     }).withColumn("lmu_score", r2(
         F.col("overlap_score") + F.col("rate_sim_score") + F.col("shared_score")
         + F.col("influence_score") + F.col("influ_sim_score")))
-    kept = clip(scored, ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")], limit, inclusive)
+    return scored
+
+
+def shown_users(t: Tables, kept: DataFrame) -> DataFrame:
+    """A row per shared restaurant, with names."""
     users, business = _names(t)
     return (_unfold(kept).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "restaurant", F.col("business_id").alias("restaurant_id"), "user",
                     "user_id", "sel_rating", *USER_SIMILARITY, "position"))
 
 
-def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
-                     inclusive: bool = True, first_order: int | None = FIRST_ORDER,
-                     first_order_by: str = "lowest",
-                     candidate_rows: int | None = RESTAURANT_CANDIDATES) -> DataFrame:
-    """Direct competitors of every seed restaurant, one row per (seed, restaurant, customer).
+def like_users(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
+               inclusive: bool = True, first_order: int | None = FIRST_ORDER,
+               first_order_by: str = "lowest",
+               candidate_rows: int | None = USER_CANDIDATES) -> DataFrame:
+    """Like-minded users of every seed user, one row per (seed, user, shared restaurant).
 
-    First-order customers are those of the seed's reviews with the lowest (or highest)
-    usefulness; the arguments are those of :func:`like_users`.
+    ``position`` ranks a seed's users, best first.
+
+    ``seeds`` is a frame with ``seed_id``; without it every user is a seed. A seed's look-alikes
+    rated one of its ``first_order`` restaurants with the lowest (or highest) stars; of their
+    ratings the first ``candidate_rows`` by the rater's votes count. None for either: no cut.
     """
-    first = _first_order(t, "business_id", "user_id", "useful", first_order_by, first_order, seeds)
-    rated = t.ratings(None if seeds is None else first.select("user_id").distinct()).select(
-        "user_id", "business_id", "stars")
-    places = t.business.select(F.col("id").alias("business_id"),
-                               F.col("postal_code").alias("zip"),
-                               F.col("review_count").alias("reviews"))
+    first = _first_order(t, "user_id", "business_id", "stars", first_order_by, first_order, seeds)
+    if seeds is not None:  # a few rows a seed, read several times
+        first = staged(first, "first")
+    met = None if seeds is None else first.select("business_id").distinct()
+    raters = t.ratings(met).select("business_id", "user_id", "stars").join(
+        t.users.select(F.col("id").alias("user_id"), votes().alias("votes")), "user_id")
     scored = _candidates(
-        first, rated, "user_id", "business_id",
-        per_item_order=[F.desc("stars"), F.asc("business_id")],
-        order=[F.desc("stars"), F.asc("business_id"), F.asc("user_id")],
-        cap=candidate_rows, extra=list)
+        first, raters, "business_id", "user_id",
+        per_item_order=[F.desc("votes"), F.asc("user_id")],
+        order=[F.desc("votes"), F.asc("user_id"), F.asc("business_id")], cap=candidate_rows)
+    # Friends are counted only for those who are left.
+    ids = None if seeds is None else scored.select(F.explode(F.array("user_id", "seed_id")).alias(
+        "seed_id")).distinct()
+    people = with_influence(t, ids)
+    kept = clip(user_scores(scored, people), ["seed_id"], [F.desc("lmu_score"), F.desc("user_id")],
+                limit, inclusive)
+    return shown_users(t, kept)
 
+
+def places_of(t: Tables) -> DataFrame:
+    """``business_id, zip, reviews`` of every business."""
+    return t.business.select(F.col("id").alias("business_id"), F.col("postal_code").alias("zip"),
+                             F.col("review_count").alias("reviews"))
+
+
+def restaurant_scores(scored: DataFrame, places: DataFrame) -> DataFrame:
+    """Candidates with their component scores and ``compete_score``."""
     own = places.select(F.col("business_id").alias("seed_id"), F.col("zip").alias("sel_zip"),
                         F.col("reviews").alias("sel_reviews"))
     both = F.col("reviews") + F.col("sel_reviews")
@@ -187,8 +192,11 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIK
     }).withColumn("compete_score", r2(
         F.col("rate_sim_score") + F.col("shared_score") + F.col("overlap_score")
         + F.col("review_sim_score") + F.col("zip_score")))
-    kept = clip(scored, ["seed_id"], [F.desc("compete_score"), F.desc("business_id")], limit,
-                inclusive)
+    return scored
+
+
+def shown_restaurants(t: Tables, kept: DataFrame) -> DataFrame:
+    """A row per shared customer, with names."""
     users, business = _names(t)
     return (_unfold(kept).join(users, "user_id").join(business, "business_id")
             .select("seed_id", "user", "user_id", "restaurant",
@@ -196,6 +204,30 @@ def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIK
                     *RESTAURANT_SIMILARITY, "position"))
 
 
+def like_restaurants(t: Tables, seeds: DataFrame | None = None, limit: int = LIKE_LIMIT,
+                     inclusive: bool = True, first_order: int | None = FIRST_ORDER,
+                     first_order_by: str = "lowest",
+                     candidate_rows: int | None = RESTAURANT_CANDIDATES) -> DataFrame:
+    """Direct competitors of every seed restaurant, one row per (seed, restaurant, customer).
+
+    First-order customers are those of the seed's reviews with the lowest (or highest)
+    usefulness; the arguments are those of :func:`like_users`.
+    """
+    first = _first_order(t, "business_id", "user_id", "useful", first_order_by, first_order, seeds)
+    if seeds is not None:
+        first = staged(first, "first")
+    rated = t.ratings(None if seeds is None else first.select("user_id").distinct()).select(
+        "user_id", "business_id", "stars")
+    scored = _candidates(
+        first, rated, "user_id", "business_id",
+        per_item_order=[F.desc("stars"), F.asc("business_id")],
+        order=[F.desc("stars"), F.asc("business_id"), F.asc("user_id")],
+        cap=candidate_rows)
+    kept = clip(restaurant_scores(scored, places_of(t)), ["seed_id"],
+                [F.desc("compete_score"), F.desc("business_id")], limit, inclusive)
+    return shown_restaurants(t, kept)
+
+
 def like_nodes(like: DataFrame, id_: str, name: str, score: str, k: int = LIKE_NODES) -> DataFrame:
     """The ``k`` best look-alikes of every seed: name, id and score."""
     distinct = like.select("seed_id", F.col(name).alias("name"), F.col(id_).alias("id"),
