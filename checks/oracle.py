@@ -897,6 +897,22 @@ def _of(sql: str, seeds: str) -> str:
     return f"SELECT q.* FROM ({sql}) q WHERE q.seed_id IN (SELECT seed_id FROM {seeds})"
 
 
+_CITY_IDS = """
+        WITH places AS (SELECT id FROM clean_business WHERE city = 'Phoenix'),
+        splits AS (SELECT row_number() OVER (ORDER BY id) AS split, id FROM places),
+        reviewers AS (SELECT DISTINCT user_id AS id FROM review
+                      WHERE business_id IN (SELECT id FROM places)),
+        city_people AS (SELECT row_number() OVER (ORDER BY id) AS split, id FROM reviewers)"""
+QUERIES["numbered_businesses"] = f"{_CITY_IDS} SELECT split, id FROM splits"
+QUERIES["numbered_reviewers"] = f"{_CITY_IDS} SELECT split, id FROM city_people"
+QUERIES["reviews_of_first_batch"] = f"""{_CITY_IDS}
+        SELECT id, business_id, user_id, stars FROM review
+        WHERE business_id IN (SELECT id FROM splits WHERE split BETWEEN 1 AND 1000)"""
+QUERIES["friends_by_batch"] = f"""{_CITY_IDS}
+        SELECT (p.split - 1) // 1000 AS batch, f.user_id, f.friend_id
+        FROM friend f JOIN city_people p ON p.id = f.user_id"""
+QUERIES["price_quartiles"] = f"""
+        SELECT l_returnflag, {_quartiles("l_extendedprice")} FROM lineitem GROUP BY l_returnflag"""
 QUERIES["like_users_highest"] = _variant(
     "_highest", _LIKE_U, user_first=("ORDER BY stars, business_id", "ORDER BY stars DESC, business_id"))
 QUERIES["like_restaurants_exclusive"] = _variant("_five", _LIKE_R, rest_clip=("n <= 21", "n <= 5"))

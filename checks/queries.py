@@ -38,6 +38,7 @@ from reviewgraph.sources.tables import Tables, append_rows, empty_like
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREFIX = "red"
+BATCH = 1000
 
 # Tables that the scoring operators read several times are written first, as loaded ones are.
 SCORED = ("review", "business", "users", "friend")
@@ -154,6 +155,18 @@ def _sentiment_by_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sentiment_by_stars(_sentiment(spark, sf_dir).join(stars, "doc_id"))
 
 
+def _first_batch(t: Tables) -> DataFrame:
+    """Reviews of the city's businesses numbered 1 to a thousand."""
+    reviews = t.review.select("id", "business_id", "user_id", "stars")
+    return C.rows_of_batch(reviews, "business_id", C.numbered_businesses(_clean(t)), 1, BATCH)
+
+
+def _price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box-plot numbers of groups with very many distinct values."""
+    rows = base(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return V.quartiles(rows, "l_extendedprice", ("l_returnflag",))
+
+
 def _detail(side: str, order: int, view: Callable, part: int) -> Query:
     """One of the three parts that a click on a node of this order brings up, for all nodes."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +336,13 @@ def queries() -> dict[str, Query]:
         "category_stats": _on_tables(C.category_stats),
         "rows_per_restaurant": _on_tables(C.rows_per_restaurant),
         "city_zip_pairs": _on_tables(lambda t: C.city_zip_pairs(t.business)),
+        "numbered_businesses": _on_tables(lambda t: C.numbered_businesses(_clean(t))),
+        "numbered_reviewers": _on_tables(lambda t: C.numbered_reviewers(_clean(t))),
+        "reviews_of_first_batch": _on_tables(_first_batch),
+        "friends_by_batch": _on_tables(lambda t: C.rows_by_batch(
+            t.friend.select("user_id", "friend_id"), "user_id",
+            C.numbered_reviewers(_clean(t)), BATCH)),
+        "price_quartiles": _price_quartiles,
         "attribute_competitors": _on_tables(_competitors),
         "new_prospects": _on_tables(lambda t: M.new_prospects(t, _competitors(t))),
         "third_order_users": _on_tables(lambda t: M.third_order_users(t, busiest_business(t))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewgraph.functions.numbering import batch, numbered
 from reviewgraph.sources.schemas import KEYS, REFERENCES
 from reviewgraph.sources.tables import Tables
 
@@ -180,3 +181,27 @@ def rows_per_restaurant(t: Tables) -> DataFrame:
 
 def city_zip_pairs(business: DataFrame) -> DataFrame:
     return business.select("city", "postal_code").distinct()
+
+
+def numbered_businesses(t: Tables, city: str = CITY) -> DataFrame:
+    """``split, id``: the city's businesses with running numbers from 1, by id."""
+    return numbered(t.business.where(F.col("city") == city).select("id"), [F.col("id")], "split")
+
+
+def numbered_reviewers(t: Tables, city: str = CITY) -> DataFrame:
+    """``split, id``: everybody who reviewed a business of the city, with running numbers by id."""
+    places = t.business.where(F.col("city") == city).select("id")
+    people = _only(t.review.select("user_id", "business_id"), "business_id", places)
+    return numbered(people.select(F.col("user_id").alias("id")).distinct(), [F.col("id")], "split")
+
+
+def rows_of_batch(df: DataFrame, key: str, members: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows whose ``key`` is an id numbered (``split, id``) between ``first`` and ``last``."""
+    return _only(df, key, batch(members, "split", first, last).select("id"))
+
+
+def rows_by_batch(df: DataFrame, key: str, members: DataFrame, size: int) -> DataFrame:
+    """``batch`` (from 0) and the rows of every batch of ``size`` running numbers."""
+    numbers = members.select(F.col("id").alias(key),
+                             F.floor((F.col("split") - 1) / size).alias("batch"))
+    return df.join(numbers, key).select("batch", *df.columns)

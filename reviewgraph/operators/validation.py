@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewgraph.functions.quantiles import exact_quantiles
 from reviewgraph.functions.ranking import spread_join, top_k
 from reviewgraph.sources.tables import Tables
 
@@ -233,11 +234,8 @@ def pair_anova(rows: DataFrame, weight: str | None = None, by: tuple[str, ...] =
 def quartiles(rows: DataFrame, value: str, by: tuple[str, ...] = ("lmu",),
               weight: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum: the numbers behind a box plot."""
-    points = F.percentile(value, F.array(*[F.lit(q) for q in QUARTILES]),
-                          _weight(weight)).alias("q")
-    stats = rows.groupBy(*by).agg(F.sum(_weight(weight)).alias("n"), F.min(value).alias("low"),
-                                  points, F.max(value).alias("high"))
+    stats = exact_quantiles(rows, value, by, QUARTILES, _weight(weight))
     return stats.select(*by, "n", F.round("low", 6).alias("low"),
-                        *[F.round(F.col("q")[i], 6).alias(name)
+                        *[F.round(F.col("points")[i], 6).alias(name)
                           for i, name in enumerate(("q1", "median", "q3"))],
                         F.round("high", 6).alias("high"))

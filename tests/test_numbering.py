@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from reviewgraph.functions.numbering import batch, numbered
+from reviewgraph.operators import reduction as C
+from tests import toy
 
 
 def test_numbers_follow_the_order_without_gaps(spark):
@@ -41,3 +43,16 @@ def test_the_plan_has_no_single_partition_exchange(spark):
     df = spark.range(100).withColumn("x", F.col("id") % 3)
     plan = numbered(df, [F.col("x"), F.col("id")])._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_members_of_a_city_in_batches(spark):
+    t = toy.tables(spark)
+    places = C.numbered_businesses(t)
+    assert toy.rows(places, "split", "id") == [(i, f"R{i}") for i in range(1, 6)]
+    people = C.numbered_reviewers(t.with_tables(business=t.business.where("id = 'R3'")))
+    assert toy.rows(people, "split", "id") == [(1, "U1"), (2, "U3")]
+    some = C.rows_of_batch(t.review, "business_id", places, 3, 4)
+    assert toy.rows(some, "id") == [("U1-R3",), ("U2-R4",), ("U3-R3",)]
+    assert some.columns == t.review.columns
+    parts = C.rows_by_batch(t.review, "business_id", places, 2)
+    assert toy.rows(parts.groupBy("batch").count()) == [(0, 6), (1, 3), (2, 1)]
