@@ -911,6 +911,19 @@ QUERIES["reviews_of_first_batch"] = f"""{_CITY_IDS}
 QUERIES["friends_by_batch"] = f"""{_CITY_IDS}
         SELECT (p.split - 1) // 1000 AS batch, f.user_id, f.friend_id
         FROM friend f JOIN city_people p ON p.id = f.user_id"""
+QUERIES["search_prefix_sorted"] = QUERIES["search_prefix"]
+QUERIES["momentum_kept_up"] = QUERIES["momentum"]
+QUERIES["useful_by_stars_differences"] = """
+        WITH labels AS (
+          SELECT stars, count(*) AS n, avg(useful) AS mean,
+            sum(useful * useful) - sum(useful) * sum(useful) / count(*) AS rest
+          FROM review GROUP BY stars),
+        spread AS (SELECT sum(rest) / (sum(n) - count(*)) AS v FROM labels)
+        SELECT a.stars AS label1, b.stars AS label2, a.n AS n1, b.n AS n2,
+          round(a.mean - b.mean, 6) AS difference,
+          round(sqrt(v / 2 * (1 / a.n + 1 / b.n)), 6) AS se,
+          round(abs(a.mean - b.mean) / sqrt(v / 2 * (1 / a.n + 1 / b.n)), 6) AS q
+        FROM labels a JOIN labels b ON a.stars < b.stars CROSS JOIN spread"""
 QUERIES["price_quartiles"] = f"""
         SELECT l_returnflag, {_quartiles("l_extendedprice")} FROM lineitem GROUP BY l_returnflag"""
 QUERIES["like_users_highest"] = _variant(

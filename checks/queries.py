@@ -27,13 +27,13 @@ from reviewgraph.operators import shared as H
 from reviewgraph.operators import similarity as S
 from reviewgraph.operators import uncut as N
 from reviewgraph.operators import validation as V
-from reviewgraph.operators.momentum import momentum
-from reviewgraph.operators.search import full_list, search
+from reviewgraph.operators.momentum import daily_sums, merged_sums, momentum, momentum_of
+from reviewgraph.operators.search import folded_names, full_list, search, search_folded
 from reviewgraph.plans import explore as X
 from reviewgraph.plans.explore import Exploration, explore_restaurant, explore_user
 from reviewgraph.sources.export import as_text, read_csv, records, write_csv
 from reviewgraph.sources.schemas import TABLES
-from reviewgraph.sources.staging import shared_folder
+from reviewgraph.sources.staging import shared_folder, staged
 from reviewgraph.sources.tables import Tables, append_rows, empty_like
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,15 @@ def _first_batch(t: Tables) -> DataFrame:
     return C.rows_of_batch(reviews, "business_id", C.numbered_businesses(_clean(t)), 1, BATCH)
 
 
+def _kept_up(t: Tables) -> DataFrame:
+    """Momentum from stored sums to which two parts of the reviews, one of them late, are added."""
+    parts = [t.review.where(f"cool % 3 = {k}") for k in (1, 0, 2)]
+    state = staged(daily_sums(parts[0]), "momentum")
+    for part in parts[1:]:
+        state = staged(merged_sums(state, part), "momentum")
+    return momentum_of(state)
+
+
 def _price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box-plot numbers of groups with very many distinct values."""
     rows = base(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
@@ -255,6 +264,8 @@ def _of_one_restaurant(f: Callable[[Exploration], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "search_prefix": _on_tables(lambda t: search(t.business, PREFIX)),
+        "search_prefix_sorted": _on_tables(
+            lambda t: search_folded(folded_names(t.business), PREFIX)),
         "full_list": _on_tables(lambda t: full_list(t.business)),
         "user_profile": _on_tables(P.user_profile),
         "candidate_influence": _on_tables(
@@ -384,6 +395,9 @@ def queries() -> dict[str, Query]:
         "sentiment": _sentiment,
         "sentiment_by_stars": _sentiment_by_stars,
         "sentiment_tokens": _sentiment_tokens,
+        "momentum_kept_up": _on_tables(_kept_up),
+        "useful_by_stars_differences": _on_tables(lambda t: V.pairwise_differences(
+            t.review, label="stars", value="useful")),
         "momentum": _on_tables(lambda t: momentum(t.review)),
         "nested_business_documents": _on_tables(D.nested_business_documents),
         "nested_user_documents": _on_tables(

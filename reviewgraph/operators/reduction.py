@@ -118,20 +118,36 @@ def key_duplicates(t: Tables) -> DataFrame:
 def key_orphans(t: Tables) -> DataFrame:
     """Per foreign key, how many values and rows point at nothing.
 
-    Values are counted before the join, so a value that fills much of a table is one row there.
+    Keys of all parents and children meet in one exchange, counted before they move: a value that
+    fills much of a table is one row there.
     """
-    frames, union = t.present(), None
-    for (child, column), (parent, key) in sorted(REFERENCES.items()):
-        if child not in frames or parent not in frames:
-            continue
-        used = (frames[child].where(F.col(column).isNotNull()).groupBy(F.col(column).alias(key))
-                .agg(F.count(F.lit(1)).alias("n")))
-        lost = used.join(frames[parent].select(key), key, "left_anti")
-        one = lost.agg(F.count(F.lit(1)).alias("orphan_keys"),
-                       F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows")).select(
-            F.lit(f"{child}.{column}").alias("foreign_key"), "orphan_keys", "orphan_rows")
-        union = one if union is None else union.unionByName(one)
-    return union
+    frames = t.present()
+    checked = [(child, column, parent, key) for (child, column), (parent, key)
+               in sorted(REFERENCES.items()) if child in frames and parent in frames]
+
+    def keys(table: str, column: str, parent: str, name: str) -> DataFrame:
+        return frames[table].select(F.lit(parent).alias("parent"), F.col(column).alias("key"),
+                                    F.lit(name).alias("use"))
+
+    tagged = None
+    for child, column, parent, _ in checked:
+        one = keys(child, column, parent, f"{child}.{column}")
+        tagged = one if tagged is None else tagged.unionByName(one)
+    if tagged is None:
+        return t.review.sparkSession.createDataFrame(
+            [], "foreign_key string, orphan_keys long, orphan_rows long")
+    for parent, key in sorted({(p, k) for _, _, p, k in checked}):
+        tagged = tagged.unionByName(keys(parent, key, parent, ""))
+    uses = [f"{child}.{column}" for child, column, _, _ in checked]
+    counts = [F.count(F.when(F.col("use") == u, 1)).alias(f"n{i}") for i, u in enumerate(uses)]
+    lost = (tagged.where(F.col("key").isNotNull()).groupBy("parent", "key")
+            .agg(F.max(F.col("use") == "").alias("there"), *counts).where(~F.col("there")))
+    sums = lost.agg(*[f(F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))).alias(f"{name}{i}")
+                      for i in range(len(uses)) for f, name in ((F.count, "keys"), (F.sum, "rows"))])
+    return sums.select(F.explode(F.array(*[F.struct(
+        F.lit(u).alias("foreign_key"), F.col(f"keys{i}").alias("orphan_keys"),
+        F.coalesce(f"rows{i}", F.lit(0)).alias("orphan_rows")) for i, u in enumerate(uses)]))
+        .alias("x")).select("x.*")
 
 
 def category_stats(t: Tables) -> DataFrame:

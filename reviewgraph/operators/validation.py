@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewgraph.functions.quantiles import exact_quantiles
 from reviewgraph.functions.ranking import spread_join, top_k
+from reviewgraph.sources.staging import staged
 from reviewgraph.sources.tables import Tables
 
 COMPARED_RESTAURANTS = 10
@@ -122,17 +123,18 @@ def pair_cross(pairs: DataFrame) -> DataFrame:
     """Two restaurants of one user pair side by side, each combination once.
 
     The list of combinations is the result itself; for their statistics alone use
-    :func:`pair_cross_classes`, which does not list them.
+    :func:`pair_cross_classes`, which does not list them. A pair that shares very many restaurants
+    is joined in slices.
     """
-    shared = pairs.groupBy("user_pair").agg(F.array_sort(F.collect_list(
-        F.struct("rest_id", "restaurant", "rating_match"))).alias("shared"))
-    first = shared.select("user_pair", "shared", F.posexplode("shared").alias("i", "x"))
-    return (first.select("user_pair", "i", "x", F.posexplode("shared").alias("j", "y"))
-            .where("i < j")
-            .select("user_pair", F.col("x.restaurant").alias("restaurant1"),
-                    F.col("x.rating_match").alias("match1"),
-                    F.col("y.restaurant").alias("restaurant2"),
-                    F.col("y.rating_match").alias("match2")))
+    pairs = staged(pairs, "pairs")
+
+    def side(n: int) -> DataFrame:
+        return pairs.select("user_pair", F.col("rest_id").alias(f"rest{n}"),
+                            F.col("restaurant").alias(f"restaurant{n}"),
+                            F.col("rating_match").alias(f"match{n}"))
+
+    return (spread_join(side(1), side(2), "user_pair", spread="rest1").where("rest1 < rest2")
+            .select("user_pair", "restaurant1", "match1", "restaurant2", "match2"))
 
 
 def pair_long(cross: DataFrame) -> DataFrame:
@@ -231,6 +233,34 @@ def pair_anova(rows: DataFrame, weight: str | None = None, by: tuple[str, ...] =
         F.round("diff", 6).alias("mean_difference"))
 
 
+def pairwise_differences(rows: DataFrame, weight: str | None = None, by: tuple[str, ...] = (),
+                         label: str = "lmu", value: str = "match") -> DataFrame:
+    """Every two labels with the difference of their means, for any number of labels.
+
+    ``difference`` is the mean of ``label1`` less that of ``label2``, ``se`` its standard error
+    from the variance within all labels (for labels of unequal size too), ``q`` the studentised
+    range statistic.
+    """
+    w, x = _weight(weight), F.col(value)
+    groups = rows.groupBy(*by, label).agg(
+        F.sum(w).alias("n"), F.sum(_exact(w * x)).cast("double").alias("s"),
+        F.sum(_exact(w * x * x)).cast("double").alias("ss"))
+    fit = F.col("s") * F.col("s") / F.col("n")
+    # The labels are few; a group's labels meet in one row.
+    total = groups.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n", (
+            F.col("s") / F.col("n")).alias("mean")))).alias("labels"),
+        (F.sum(F.col("ss") - fit) / (F.sum("n") - F.count(F.lit(1)))).alias("within"))
+    one = total.select(*by, "within", "labels", F.posexplode("labels").alias("i", "a"))
+    two = one.select(*by, "within", "i", "a", F.posexplode("labels").alias("j", "b")).where("i < j")
+    difference = F.col("a.mean") - F.col("b.mean")
+    se = F.sqrt(F.col("within") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
+    return two.select(*by, F.col("a.label").alias("label1"), F.col("b.label").alias("label2"),
+                      F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
+                      F.round(difference, 6).alias("difference"), F.round(se, 6).alias("se"),
+                      F.round(F.try_divide(F.abs(difference), se), 6).alias("q"))
+
+
 def quartiles(rows: DataFrame, value: str, by: tuple[str, ...] = ("lmu",),
               weight: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum: the numbers behind a box plot."""
