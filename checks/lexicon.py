@@ -10,3 +10,7 @@ LEXICON = {
 
 # Words with apostrophes and hyphens and emoticons, beside plain ones.
 TOKEN_LEXICON = {**LEXICON, "isn't": -0.5, "well-made": 2.1, ":)": 2.0, ":(": -2.0, ":-d": 2.3}
+
+# Words of the invented prose that stand for boosters, negations and a contrast.
+PROSE_RULES = (("the", "boosts", 0.293), ("thou", "boosts", -0.293), ("on", "negates", 0.0),
+               ("er", "negates", 0.0), ("and", "contrasts", 0.0), ("reor", "boosts", 0.293))

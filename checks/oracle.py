@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import re
 
-from checks.lexicon import LEXICON, TOKEN_LEXICON
+from checks.lexicon import LEXICON, PROSE_RULES, TOKEN_LEXICON
 from checks.views import VIEWS
 from reviewgraph.operators.reduction import CITY_DISTRICTS, CITY_SPELLINGS
-from reviewgraph.operators.sentiment import TOKENS
+from reviewgraph.operators.sentiment import RULES, TOKENS
 
 
 def r2(x: str) -> str:
@@ -911,6 +911,99 @@ QUERIES["reviews_of_first_batch"] = f"""{_CITY_IDS}
 QUERIES["friends_by_batch"] = f"""{_CITY_IDS}
         SELECT (p.split - 1) // 1000 AS batch, f.user_id, f.friend_id
         FROM friend f JOIN city_people p ON p.id = f.user_id"""
+_Q = "'"
+_ORDERED_RULES = ", ".join(f"('{w.replace(_Q, _Q * 2)}', '{e}', {x}::DOUBLE)"
+                           for w, e, x in (*RULES, *PROSE_RULES))
+
+
+def _acted_on() -> str:
+    """A valence after the three words before it, the nearest first."""
+    x = "(v + CASE WHEN mixed AND cap THEN sign(v) * 0.733 ELSE 0.0 END)"
+    for back, share in ((1, "1.0"), (2, "0.95"), (3, "0.9")):
+        boost = f"b{back} * sign(v)"
+        boost = f"({boost} + CASE WHEN mixed AND c{back} THEN sign({boost}) * 0.733 ELSE 0.0 END)"
+        x = (f"({x} + CASE WHEN v{back} IS NULL AND b{back} IS NOT NULL THEN {boost} "
+             f"* {share}::DOUBLE ELSE 0.0 END) * CASE WHEN n{back} THEN -0.74::DOUBLE ELSE 1.0 END")
+    return x
+
+
+_LAGS = ", ".join(f"lag({c}, {k}) OVER w AS {n}{k}" for k in (1, 2, 3)
+                  for c, n in (("v", "v"), ("boost", "b"), ("negates", "n"), ("cap", "c")))
+QUERIES["ordered_sentiment"] = f"""
+        WITH rules AS (
+          SELECT word, max(CASE WHEN effect = 'boosts' THEN size END) AS boost,
+            bool_or(effect = 'negates') AS negates, bool_or(effect = 'contrasts') AS contrasts
+          FROM (VALUES {_ORDERED_RULES}) AS t(word, effect, size) GROUP BY word),
+        parts AS (
+          SELECT conv_id || '/' || turn AS key, text,
+            regexp_extract_all(text, '{TOKENS.replace(_Q, _Q * 2)}') AS raws FROM conversations),
+        raw_words AS (
+          SELECT key, i AS pos, raws[i] AS raw FROM (
+            SELECT key, raws, unnest(range(1, len(raws) + 1)) AS i FROM parts)),
+        marked AS (
+          SELECT r.key, r.pos, l.valence::DOUBLE AS v, u.boost, u.negates, u.contrasts,
+            regexp_full_match(r.raw, '\\p{{Lu}}{{2,}}') AS cap
+          FROM raw_words r LEFT JOIN token_lexicon l ON l.word = lower(r.raw) AND l.valence <> 0
+          LEFT JOIN rules u ON u.word = lower(r.raw)),
+        shapes AS (
+          SELECT key, count(*) AS n_words, count(*) FILTER (WHERE cap) BETWEEN 1 AND count(*) - 1
+            AS mixed, min(pos) FILTER (WHERE contrasts) AS first FROM marked GROUP BY key),
+        near AS (SELECT *, {_LAGS} FROM marked WINDOW w AS (PARTITION BY key ORDER BY pos)),
+        acted AS (
+          SELECT key, floor({_acted_on()}
+            * CASE WHEN pos < first THEN 0.5 WHEN pos > first THEN 1.5 ELSE 1.0 END
+            * 1000000 + 0.5)::BIGINT AS x
+          FROM near JOIN shapes USING (key) WHERE v IS NOT NULL),
+        sums AS (
+          SELECT p.key, coalesce(max(s.n_words), 0) AS n_words,
+            coalesce(sum(x), 0)::DOUBLE / 1000000 AS total,
+            coalesce(sum(CASE WHEN x > 0 THEN x + 1000000 END), 0)::DOUBLE / 1000000 AS up,
+            coalesce(sum(CASE WHEN x < 0 THEN 1000000 - x END), 0)::DOUBLE / 1000000 AS down,
+            coalesce(max(s.n_words), 0) - count(CASE WHEN x <> 0 THEN 1 END) AS flat,
+            least(max(length(text) - length(replace(text, '!', ''))), 4) * 0.292::DOUBLE
+              + max(CASE WHEN length(text) - length(replace(text, '?', '')) <= 1 THEN 0.0
+                WHEN length(text) - length(replace(text, '?', '')) <= 3
+                THEN (length(text) - length(replace(text, '?', ''))) * 0.18::DOUBLE
+                ELSE 0.96 END)::DOUBLE AS more
+          FROM parts p LEFT JOIN shapes s ON s.key = p.key LEFT JOIN acted a ON a.key = p.key
+          GROUP BY p.key),
+        louder AS (
+          SELECT key, n_words, flat, total + sign(total) * more AS total,
+            up + CASE WHEN up > down THEN more ELSE 0 END AS up,
+            down + CASE WHEN down > up THEN more ELSE 0 END AS down FROM sums)
+        SELECT key, n_words, {_share("down")} AS neg, {_share("flat")} AS neu, {_share("up")} AS pos,
+          sign(total) * floor(abs(total / sqrt(total * total + 15)) * 10000 + 0.5) / 10000
+            AS compound FROM louder"""
+_LEARNED = """known AS (
+          SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+          WHERE l.quality IN (0, 1)),
+        seen AS (
+          SELECT DISTINCT doc_id, quality, unnest(regexp_extract_all(lower(text), '\\p{L}+'))
+            AS word FROM known),
+        learned AS (
+          SELECT word, greatest(least(sign(r) * floor(abs(r) * 10000 + 0.5) / 10000, 4.0), -4.0)
+            AS valence
+          FROM (
+            SELECT word, ln(((sum(quality) + 0.5) / (t.ones + 1))
+              / ((count(*) - sum(quality) + 0.5) / (t.n - t.ones + 1))) AS r
+            FROM seen CROSS JOIN (SELECT sum(quality) AS ones, count(*) AS n FROM known) t
+            GROUP BY word, t.ones, t.n HAVING count(*) >= 5))"""
+QUERIES["learned_lexicon"] = f"WITH {_LEARNED} SELECT word, valence FROM learned"
+QUERIES["learned_sentiment"] = f"""
+        WITH {_LEARNED},
+        valued AS (
+          SELECT w.doc_id, w.word, cast(l.valence AS decimal(10, 4)) AS v
+          FROM doc_words w LEFT JOIN learned l ON l.word = w.word WHERE w.word <> ''),
+        sums AS (
+          SELECT d.doc_id, count(w.word) AS n_words, cast(coalesce(sum(v), 0) AS double) AS total,
+            cast(coalesce(sum(CASE WHEN v > 0 THEN v + 1 END), 0) AS double) AS up,
+            cast(coalesce(sum(CASE WHEN v < 0 THEN 1 - v END), 0) AS double) AS down,
+            count(CASE WHEN w.word IS NOT NULL AND coalesce(v, 0) = 0 THEN 1 END) AS flat
+          FROM documents d LEFT JOIN valued w ON w.doc_id = d.doc_id GROUP BY d.doc_id)
+        SELECT doc_id, n_words, {_share("down")} AS neg, {_share("flat")} AS neu,
+          {_share("up")} AS pos,
+          sign(total) * floor(abs(total / sqrt(total * total + 15)) * 10000 + 0.5) / 10000
+            AS compound FROM sums"""
 QUERIES["search_prefix_sorted"] = QUERIES["search_prefix"]
 QUERIES["momentum_kept_up"] = QUERIES["momentum"]
 QUERIES["useful_by_stars_differences"] = """
@@ -1000,7 +1093,7 @@ def statement(name: str) -> str:
     own = re.match(r"WITH\b", sql)
     parts = ", ".join(f"{n} AS ({_PART_NAMES[n].strip()})" for n in found)
     if own:
-        return f"WITH {parts}, {sql[4:].strip()}"
+        return f"WITH {parts}, {sql[4:].strip()}" if parts else sql
     return f"WITH {parts} {sql}" if parts else sql
 
 

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.lexicon import LEXICON, TOKEN_LEXICON
+from checks.lexicon import LEXICON, PROSE_RULES, TOKEN_LEXICON
 from checks.tables import base, tables
 from reviewgraph.functions import display
 from reviewgraph.operators import documents as D
@@ -150,6 +150,31 @@ def _sentiment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         token=T.TOKENS)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir, "conversations").select(
+        F.concat("conv_id", F.lit("/"), "turn").alias("key"), "text")
+
+
+def _ordered_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-aware sentiment of all turns with the fixed lexicon."""
+    lexicon = spark.createDataFrame(list(TOKEN_LEXICON.items()), "word string, valence double")
+    rules = spark.createDataFrame([*T.RULES, *PROSE_RULES],
+                                  "word string, effect string, size double")
+    return T.ordered_sentiment(_turns(spark, sf_dir), lexicon, rules, key="key")
+
+
+def _learned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valences of all words, from the quality labels of documents."""
+    return T.learned_lexicon(base(spark, sf_dir, "documents"), base(spark, sf_dir, "labels"),
+                             "doc_id", "quality")
+
+
+def _learned_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment of all documents with the lexicon learned from them."""
+    lexicon = staged(_learned_lexicon(spark, sf_dir), "lexicon")
+    return T.sentiment(base(spark, sf_dir, "documents"), lexicon, key="doc_id")
+
+
 def _sentiment_by_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = base(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("stars"))
     return T.sentiment_by_stars(_sentiment(spark, sf_dir).join(stars, "doc_id"))
@@ -395,6 +420,9 @@ def queries() -> dict[str, Query]:
         "sentiment": _sentiment,
         "sentiment_by_stars": _sentiment_by_stars,
         "sentiment_tokens": _sentiment_tokens,
+        "ordered_sentiment": _ordered_sentiment,
+        "learned_lexicon": _learned_lexicon,
+        "learned_sentiment": _learned_sentiment,
         "momentum_kept_up": _on_tables(_kept_up),
         "useful_by_stars_differences": _on_tables(lambda t: V.pairwise_differences(
             t.review, label="stars", value="useful")),
