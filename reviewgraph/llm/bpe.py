@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,8 +287,8 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def frequent_pieces(docs: DataFrame, text_col: str = "text",
-                    words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of all texts, at most as many as the lexicon takes.
+                    words: int = LEXICON_WORDS) -> DataFrame:
+    """piece: the most frequent pieces of all texts, at most as many as the lexicon takes.
 
     Lossy counting: a worker passes on what it counted after every COUNTED_PIECES distinct pieces,
     without pieces seen once in that time. Pieces that tie with the first one left out stay out.
@@ -322,19 +323,24 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text",
         if total > words:
             break
         least = row["n"]
-    if not least:
-        return []
-    return [r["piece"] for r in counts.where(F.col("n") >= least).orderBy("piece").collect()]
+    return counts.where(F.col("n") >= least if least else F.lit(False)).select("piece")
 
 
-def compiled(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
+def compiled(docs: DataFrame, vocabulary: Broadcast, text_col: str = "text",
              words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of a corpus's frequent pieces."""
-    encoder = Encoder(vocabulary, compile_words({}))
+    """The transducer of a corpus's frequent pieces; one task compiles it, of at most ``words``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sorted(p for batch in batches for p in batch.column(0).to_pylist())
+        encoder = Encoder(vocabulary.value, compile_words({}))
+        for at in range(0, len(frequent), NEW_PIECES):
+            encoder.learn(frequent[at:at + NEW_PIECES])
+        block = compile_words({p.encode(): encoder.ids_of(p) for p in frequent})
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+
     frequent = frequent_pieces(docs, text_col, words)
-    for at in range(0, len(frequent), NEW_PIECES):
-        encoder.learn(frequent[at:at + NEW_PIECES])
-    return compile_words({p.encode(): encoder.ids_of(p) for p in frequent})
+    made = frequent.repartition(1).mapInArrow(run, "block binary").collect()
+    return bytes(made[0]["block"]) if made else compile_words({})
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -342,13 +348,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """id_col and ids, the token ids of each text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    vocabulary = Vocabulary(tokenizer)
-    shared = spark.sparkContext.broadcast(
-        (vocabulary, compiled(docs, vocabulary, text_col, words)))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(tokenizer))
+    block = spark.sparkContext.broadcast(compiled(docs, vocabulary, text_col, words))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)  # and its memory end with the task
+        encoder = Encoder(vocabulary.value, block.value)  # and its memory end with the task
         for batch in batches:
             texts = _texts(batch.column(1))
             done = 0
