@@ -36,12 +36,14 @@ from reviewgraph.llm.store import one_text_per_id, stored
 # Bytes that stand between terms; all bytes beyond ASCII belong to terms.
 _BETWEEN = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 # Bounds of memory: postings of an index row, postings held by a search task, products summed
-# at once, terms of items that are searched together, bytes of terms handed to every task.
-SLICE_POSTINGS = 200_000
+# at once, terms of items that are searched together, bytes of terms and number of large strata
+# handed to every task.
+SLICE_POSTINGS = 65_536
 HELD_POSTINGS = 2_000_000
 SUMMED = 1_000_000
 BLOCK_TERMS = 200_000
 VOCABULARY_BYTES = 8_000_000
+LARGE_STRATA = 100_000
 
 
 def _byte_table() -> bytes:
@@ -156,10 +158,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count(F.lit(1)).alias("df")))
     m = F.expr(f"100 - 50 + (50 * n * {n_docs}L) div {max(n_terms, 1)}L")
     held = forward.where(F.size("terms") > 0).select("doc_id", "terms", "tfs", m.alias("m"))
-    # Only strata that need more than one slice are looked up.
-    large = (held.groupBy("m").agg(F.sum(F.size("terms").cast("long")).alias("postings"))
-             .withColumn("slices", F.ceil(F.col("postings") / SLICE_POSTINGS))
-             .where(F.col("slices") > 1).select("m", "slices"))
+    # Only strata that need more than one slice are looked up: where they are few, by every task,
+    # so that a stratum of very many documents is never dealt to one.
+    large = stored(held.groupBy("m").agg(F.sum(F.size("terms").cast("long")).alias("postings"))
+                   .withColumn("slices", F.ceil(F.col("postings") / SLICE_POSTINGS))
+                   .where(F.col("slices") > 1).select("m", "slices"))
+    if large.count() <= LARGE_STRATA:
+        large = F.broadcast(large)
     cut = held.join(large, "m", "left").withColumn(
         "slice", F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1).cast("long"))))
     strata = cut.drop("slices").groupBy("m", "slice").applyInArrow(
