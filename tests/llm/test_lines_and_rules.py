@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewgraph.llm import license_scan, quality_rules
-from reviewgraph.llm.line_dedup import drop_repeated_lines
+from reviewgraph.llm.line_dedup import drop_repeated_lines, line_bitmaps
 from reviewgraph.llm.quality_rules import jensen_shannon
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -59,6 +59,34 @@ def test_lines_match_brute_force(spark):
         assert sum(x["length"] for x in r["keep_runs"]) == len(lines) - r["n_dropped"]
 
 
+def test_line_in_a_third_of_all_documents(spark):
+    """Found in every slice of the documents, and kept in the largest of them all."""
+    rows = [(i, f"{LONG}\nown line number {i} of this document" if i % 3 == 0 else f"text {i}")
+            for i in range(600)]
+    got = drop_repeated_lines(frame(spark, rows))
+    told = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got.collect()]
+    assert Counter(told) == Counter(lines_kept(rows))
+    assert [r["doc_id"] for r in got.where("kept_text like 'This line%'").collect()] == [597]
+
+
+def test_bitmaps_are_runs_of_lines(spark):
+    """Every second line of a very long text and then a block of 1,000 go: 2,001 runs."""
+    block = "\n".join(f"the {k}th line of a block of lines" for k in range(1000))
+    alternating = "\n".join(f"own line\n{LONG}" for _ in range(2000))
+    rows = [(1, f"{alternating}\nx\n{block}"), (2, f"{LONG}\n{block}"), (3, f"{LONG}\n{block}")]
+    runs = {r["_ld_id"]: [tuple(x) for x in r["_ld_dropped"]]
+            for r in line_bitmaps(frame(spark, rows)).collect()}
+    assert runs == {1: [(2 * k + 1, 1) for k in range(2000)] + [(4001, 1000)], 2: [(0, 1001)]}
+
+
+def test_lines_are_streamed_in_the_order_of_their_range(spark):
+    """The range exchange feeds a sort and a window, with no exchange between them."""
+    plan = line_bitmaps(frame(spark, LINE_ROWS))._jdf.queryExecution().executedPlan().toString()
+    ranged = [x.strip(" +-:") for x in plan.split("\n")]
+    at = next(i for i, x in enumerate(ranged) if x.startswith("Exchange rangepartitioning"))
+    assert [x.split(" ")[0] for x in ranged[at - 2:at]] == ["Window", "Sort"]
+
+
 def test_lines_of_an_empty_table(spark):
     assert drop_repeated_lines(frame(spark, [])).collect() == []
 
