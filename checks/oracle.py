@@ -548,6 +548,18 @@ def _significant(x: str) -> str:
             f"ELSE printf('%.2f', round({x} / 0.01) / 100) END")
 
 
+def _third_order_sizes(seed: str, other: str) -> str:
+    """Exact sizes of the three busiest seeds; estimates are within the errors allowed."""
+    return f"""
+        WITH three AS (SELECT {seed} AS seed_id, count(DISTINCT {other}) AS first_order
+                       FROM review GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
+        via AS (SELECT DISTINCT s.seed_id, s.first_order, b.{seed} AS via
+                FROM three s JOIN review a ON a.{seed} = s.seed_id
+                JOIN review b ON b.{other} = a.{other})
+        SELECT seed_id, first_order, count(DISTINCT r.{other}) AS exact, true AS within
+        FROM via JOIN review r ON r.{seed} = via.via GROUP BY seed_id, first_order"""
+
+
 def _top_shared(key: str, via: str, names: str, name: str) -> str:
     return f"""
         WITH counted AS (
@@ -753,6 +765,8 @@ QUERIES: dict[str, str] = {
         JOIN business b ON b.id = r.business_id
         WHERE r.user_id IN (SELECT user_id FROM review
                             WHERE business_id IN (SELECT business_id FROM u1))""",
+    "third_order_user_sizes_of_three": _third_order_sizes("business_id", "user_id"),
+    "third_order_business_sizes_of_three": _third_order_sizes("user_id", "business_id"),
     "edge_sample": """
         SELECT business_id, user_id, u.name FROM (
           SELECT business_id, user_id,

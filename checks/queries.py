@@ -20,6 +20,7 @@ from reviewgraph.operators import documents as D
 from reviewgraph.operators import graph as G
 from reviewgraph.operators import mining as M
 from reviewgraph.operators import profiles as P
+from reviewgraph.operators import reach as E
 from reviewgraph.operators import recommend as R
 from reviewgraph.operators import reduction as C
 from reviewgraph.operators import sentiment as T
@@ -388,6 +389,12 @@ def queries() -> dict[str, Query]:
             t, M.busiest(t.review, "business_id", 3), followed=20)),
         "third_order_businesses": _on_tables(
             lambda t: M.third_order_businesses(t, busiest_user(t))),
+        "third_order_user_sizes": _on_tables(E.third_order_user_sizes),
+        "third_order_business_sizes": _on_tables(E.third_order_business_sizes),
+        "third_order_user_sizes_of_three": _on_tables(lambda t: E.checked_sizes(
+            t, M.busiest(t.review, "business_id", 3))),
+        "third_order_business_sizes_of_three": _on_tables(lambda t: E.checked_sizes(
+            t, M.busiest(t.review, "user_id", 3), "user_id")),
         "edge_sample": _on_tables(M.edge_sample),
         "named_reviewers": lambda spark, sf: M.named_reviewers(
             tables(spark, sf), C.CITY,
