@@ -10,7 +10,7 @@ id are one document: they stay or go together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewgraph.llm import bpe, language_id
@@ -24,9 +24,19 @@ from reviewgraph.llm.store import stored
 SHINGLE, PERCENT = 5, 80
 
 
+def _column(name: str, of: str = "") -> Column:
+    """The column of this very name, dots and backticks included; or the field of a struct."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def _all_columns(docs: DataFrame) -> list[Column]:
+    return [_column(c) for c in docs.columns]
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """Id, text and the whole row, whose names cannot clash with those of results."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*_all_columns(docs)).alias("_row"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +53,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
            "n_chars": F.when(changed, F.length("kept_text").cast("long"))
            .otherwise(F.col("_row.n_chars"))}
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, _column(c, "_row")).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near-duplicates; rows without an id stay."""
     groups = jaccard_components(docs, size=SHINGLE, percent=PERCENT)
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*_all_columns(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with no benchmark item in them."""
     leaks = benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti").select(*_all_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewgraph.llm.batches import bounded_batches, slices
 
@@ -224,5 +225,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
                      pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*passed, "lang_pred", "score", "rejected"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed)
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([rows.schema[c] for c in passed])
+    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double")
+                           .add("rejected", "boolean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,10 +15,30 @@ SHARED = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder path below the shared one; without spark.checkpoint.dir, the warehouse."""
+def _session_name(spark: SparkSession) -> str:
+    return "llm_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This session's folder below the shared one; without spark.checkpoint.dir, the warehouse."""
     base = next(x for x in (spark.conf.get(name, None) for name in SHARED) if x)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_session_name(spark)}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder path below the session's."""
+    return f"{session_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this session's operators have written; frames that read it end with it.
+
+    For use when results are stored elsewhere: a result reads its intermediate tables until then.
+    """
+    for kept in spark.catalog.listTables(pattern=f"{_session_name(spark)}_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {kept.name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -48,7 +69,7 @@ def stored(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """The rows written as a table in buckets of a key: joins on the key don't move them again."""
     spark = df.sparkSession
-    name = f"llm_{uuid.uuid4().hex}"
+    name = f"{_session_name(spark)}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _cleaned_shuffles(spark):
         (df.repartition(n, key).write.bucketBy(n, key).option("path", shared_folder(spark))

@@ -1,13 +1,14 @@
 import gzip
 import hashlib
 import io
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reviewgraph.llm import warc
-from reviewgraph.llm.store import shared_folder, stored
+from reviewgraph.llm.store import bucketed, release, session_folder, shared_folder, stored
 
 BIG = "naïve 😀 " * 20_000
 HTML = [(1, "u", "a" * 150), (2, "u", "a" * 150), (3, "v", "short"), (4, "v", "short"),
@@ -96,6 +97,20 @@ def test_intermediate_tables_are_in_the_shared_folder(spark):
     assert base.rsplit("/", 1)[-1] in rows.inputFiles()[0] and rows.count() == 5
 
 
+def test_release_deletes_folders_and_tables(spark):
+    """Afterwards neither files nor tables of the session are left; new ones can be written."""
+    stored(spark.range(5))
+    rows = bucketed(spark.range(9).withColumnRenamed("id", "doc_id"), "doc_id")
+    assert rows.count() == 9
+    folder = Path(session_folder(spark).removeprefix("file:"))
+    assert len(list(folder.iterdir())) >= 2
+    release(spark)
+    assert not folder.exists()
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("llm_")]
+    release(spark)
+    assert stored(spark.range(3)).count() == 3
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
 
@@ -149,6 +164,18 @@ def test_stages_take_effect(spark, corpus):
     assert ids.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    folder = corpus[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({
+        "a.b": F.col("doc_id") * 2, "back`tick": F.lit("y"), "_row": F.lit(1)})
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder))
+        assert docs.columns == names, name
+    odd = docs.where("doc_id is not null").select("doc_id", "`a.b`", "`back``tick`").collect()
+    assert odd and all(r[1] == 2 * r[0] and r[2] == "y" for r in odd)
+
+
 def test_run_is_all_stages(spark, corpus):
     folder, rows, _ = corpus
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()]
