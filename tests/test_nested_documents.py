@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from reviewgraph.functions import numbering
 from reviewgraph.operators import documents as D
 from reviewgraph.sources import schemas
 from tests import toy
@@ -101,3 +102,21 @@ def test_equal_long_children_and_empty_tables(spark, t, monkeypatch):
     assert len(docs["R3"]["reviews"]) == 2 and docs["R1"]["reviews"] == []
     none = t.with_tables(business=t.business.limit(0))
     assert D.nested_business_documents(none).collect() == []
+
+
+def test_texts_move_once_after_numbering(t, spark):
+    """Where a document begins is told to its blocks; no join takes the texts to it."""
+    plan = D.nested_business_documents(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("BroadcastHashJoin [_part", "")
+    assert sum("Exchange hashpartitioning(block" in x for x in plan.split("\n")) == 1
+
+
+def test_columns_for_the_order_only_are_not_written(spark, monkeypatch):
+    written = []
+    real = numbering.staged
+    monkeypatch.setattr(numbering, "staged",
+                        lambda df, name: written.append(df.columns) or real(df, name))
+    rows = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3)], "id string, at int")
+    got = numbering.numbered(rows, [F.col("at")], drop=("at",)).collect()
+    assert {r["id"]: r["number"] for r in got} == {"b": 1, "a": 2, "c": 3}
+    assert written == [["id", "_at"]]
