@@ -42,3 +42,33 @@ def test_third_order_rows_are_read_for_their_number_first(spark, monkeypatch):
     assert asked and asked[0] > 0
     monkeypatch.undo()
     assert toy.rows(R.recommended_restaurants(t, like)) == whole
+
+
+def test_lists_move_instead_of_rows(spark):
+    """What meets a seed by one item crosses the exchange by seed as one row."""
+    rows = spark.createDataFrame([("a", "x", 1, None), ("a", "y", 2, 0.5), ("b", "z", None, 1.5)],
+                                 "key string, who string, n int, score double")
+    lists = ranking.listed(rows, "key")
+    assert lists.count() == 2
+    again = ranking.unlisted(ranking.side_by_side(lists))
+    assert again.columns == rows.columns and toy.rows(again) == toy.rows(rows)
+    seeds = spark.createDataFrame([("s", "a"), ("t", "a"), ("t", "b")], "seed_id string, key string")
+    assert ranking.made_rows(seeds, lists, "key", F.sum(F.size("_list"))) == 5
+    t = toy.tables(spark)
+    like = S.like_users(t)
+    for found in (like, S.like_restaurants(t), R.recommended_restaurants(t, like)):
+        plan = steps(found)
+        assert plan.index("Generate inline") < plan.index("Exchange hashpartitioning(seed_id")
+
+
+def test_hot_keys_do_not_move_the_others(spark):
+    """The few hot keys are broadcast: both sides move once, by key and slice."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(1000).select((F.col("id") % 7).alias("key"), "id")
+        one = spark.range(7).select(F.col("id").alias("key"))
+        joined = ranking.spread_join(many, one, "key", spread="id", per_key=1, slice_rows=100)
+        assert steps(joined).count("SortMergeJoin") == 1
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
