@@ -265,3 +265,21 @@ def test_counts_of_one_do_not_divide_by_zero(spark):
     got = S.like_restaurants(t, toy.seeds(spark, "R1")).collect()
     assert [(r.restaurant_id, r.review_sim_score, r.review_sim_val) for r in got] == [
         ("R2", 1.0, "1 / 1")]
+
+
+def test_pairs_of_users_whose_ratings_are_in_parts(data, t, monkeypatch):
+    """Lists of very many ratings are dealt to parts, of few against many too; nothing is lost."""
+    like = S.like_users(t, limit=4, first_order=2)
+    whole = toy.rows(V.user_pairs(t, like))
+    monkeypatch.setattr(V, "PART_RATINGS", 3)
+    monkeypatch.setattr(V, "SLICE_LISTS", 4)
+    parts = {r.user_id: r.parts for r in V._parts(t).collect()}
+    assert len(set(parts.values())) > 1
+    assert toy.rows(V.user_pairs(t, like)) == whole and whole
+
+
+def test_ratings_of_pairs_move_as_lists(t):
+    """No exchange carries a row for each rating of each pair: they move by user and part."""
+    plan = V.user_pairs(t, S.like_users(t, limit=4, first_order=2))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(long" in text and "hashpartitioning(two" not in text
