@@ -173,11 +173,11 @@ def piece_rows(docs: DataFrame, size: int, percent: int, part: int, parts: int)
 def _shared_keys(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of points (first) whose key stands in other rows too.
 
-    Keys are made twice rather than kept: they take much room, and most are found once.
+    Keys are made and moved once; most are found once and end where they meet.
     """
-    repeated = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
-    return stored(rows.join(repeated, "key", "left_semi")
-                  .join(first.select("doc_id"), "doc_id", "left_semi"))
+    found = F.count(F.lit(1)).over(W.partitionBy("key"))
+    repeated = rows.withColumn("found", found).where(F.col("found") > 1).drop("found")
+    return stored(repeated.join(first.select("doc_id"), "doc_id", "left_semi"))
 
 
 def neighbourhoods(docs: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:

@@ -71,6 +71,17 @@ def test_repeated_and_null_ids(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_keys_are_made_and_moved_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 3, 7), (2, 3, 7), (3, 3, 7), (3, 3, 8), (4, 3, 9)],
+                                 "doc_id long, class int, key long")
+    first = spark.createDataFrame([(1,), (2,), (4,)], "doc_id long")
+    monkeypatch.setattr(jaccard_join, "stored", lambda df: df)
+    kept = jaccard_join._shared_keys(rows, first)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1
+    assert sorted(map(tuple, kept.collect())) == [(1, 3, 7), (2, 3, 7)]
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     got = components.components(spark.createDataFrame(chain, "a long, b long")).collect()
