@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewgraph.functions import ranking
 from reviewgraph.operators import recommend as R
 from reviewgraph.operators import similarity as S
+from reviewgraph.plans import explore as X
 
 
 def steps(df):
@@ -71,3 +72,20 @@ def test_more_voters_than_digits_hold_and_votes_without_stars(spark, monkeypatch
         monkeypatch.setattr(R, "digits_fit", lambda places, bits: False)
         assert toy.rows(R.recommended_restaurants(t, like, **args).fillna(-1)) == few
         monkeypatch.undo()
+
+
+def test_many_chosen_seeds_are_computed_as_all_are(spark, monkeypatch):
+    t = toy.tables(spark)
+    for like, ids in ((S.like_users, ("U0", "U3")), (S.like_restaurants, ("R1", "R3"))):
+        seeds = toy.seeds(spark, *ids)
+        many = like(t, seeds, few=False)
+        assert toy.rows(many) == toy.rows(like(t, seeds))
+        assert "Generate inline" in steps(many)
+    explored = X.explore_user(t)
+    selected = explored.graph.nodes.where("order = 2").select(
+        "seed_id", F.col("id").alias("selected_id"))
+    few = X.likeminded_user_similarity(t, explored, selected).like_nodes
+    monkeypatch.setattr(X, "FEW_SEEDS", 1)
+    many = X.likeminded_user_similarity(t, explored, selected).like_nodes
+    assert "Generate inline" in steps(many) and "Generate inline" not in steps(few)
+    assert few.count() and toy.rows(many) == toy.rows(few)
